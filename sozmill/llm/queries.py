@@ -37,6 +37,35 @@ def p3_counts(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy(F.col("contributor").alias("channel_id")).agg(F.count(F.lit(1)).alias("records"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"))
 
 
+def _packed(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.packing import pack
+
+    length = F.when(~F.isnan("duration") & (F.col("duration") < 1e12), F.ceil(F.col("duration") * 1000 - 1e-6))
+    segments = _segments(spark, base, grp=key("source"), duration=F.col("duration")).select(F.concat(F.lit("segment "), "id").alias("item"), "grp", length.alias("length"))
+    manifest = table(spark, base, "asr_manifest").where("sample_id is not null").groupBy("sample_id").agg(F.max(F.struct("duration", key("source").alias("grp"))).alias("r"))
+    samples = manifest.select(F.concat(F.lit("sample "), F.col("sample_id").cast("string")).alias("item"), F.col("r.grp").alias("grp"), F.col("r.duration").alias("duration"))
+    samples = samples.select("item", "grp", length.alias("length"))
+    limits = table(spark, base, "batch_limits").select(key("source").alias("grp"), F.floor(F.col("capacity_seconds") * 1000 + 1e-6).alias("capacity"))
+    packed = pack(segments.unionByName(samples), limits)
+    return packed.withColumns({"item_kind": F.substring_index("item", " ", 1), "item_key": F.substring(F.col("item"), F.instr("item", " ") + 1, F.length("item"))})
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return _packed(spark, base).where("pieces > 1").select("item_kind", "item_key").distinct()
+
+
+def p4_packed(spark: SparkSession, base: str) -> DataFrame:
+    return _packed(spark, base).select("item_kind", "item_key", F.col("grp").alias("source"), "piece", "pieces", F.col("length").alias("length_ms"), "container")
+
+
+def p4_containers(spark: SparkSession, base: str) -> DataFrame:
+    used = _packed(spark, base).where("container is not null").groupBy("grp", "container").agg(F.sum("length").alias("used"), F.max("capacity").alias("capacity"))
+    return used.groupBy(F.col("grp").alias("source")).agg(
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("used") / F.max("capacity")).alias("least_containers"), F.max(F.col("used") - F.col("capacity")).alias("most_over_ms"),
+        F.round(1 - F.sum("used") / F.sum("capacity"), 5).alias("unused_share"),
+    )
+
+
 def _overlaps(spark: SparkSession, base: str) -> DataFrame:
     from sozmill.llm.contamination import cross_split_overlaps, current_utterances, overlap_pairs
 
@@ -70,7 +99,7 @@ def p6_split(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p5_found, p5_counts, p6_found, p6_split)}
+    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split)}
 
 
 _CURRENT = """current_segments AS (
@@ -86,6 +115,9 @@ ranked AS (SELECT sid, channel, row_number() OVER (PARTITION BY channel ORDER BY
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"""WITH {_CURRENT}, lim AS (SELECT lower(trim(source)) AS src, max(capacity_seconds) AS cap FROM batch_limits GROUP BY 1)
+SELECT DISTINCT 'segment' AS item_kind, sid AS item_key FROM current_segments JOIN lim USING (src) WHERE duration > cap
+UNION ALL SELECT DISTINCT 'sample', CAST(sample_id AS VARCHAR) FROM asr_manifest m JOIN lim ON lim.src = lower(trim(m.source)) WHERE duration > cap""",
         "p3_found": f"{_P3} SELECT sid AS id FROM ranked, limits WHERE r > cap",
         "p3_counts": f"""{_P3} SELECT channel AS channel_id, count(*) AS records, count(*) FILTER (WHERE r <= cap) AS kept,
   count(*) FILTER (WHERE r > cap) AS dropped FROM ranked, limits GROUP BY channel""",
