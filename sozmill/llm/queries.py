@@ -98,8 +98,18 @@ def p6_split(spark: SparkSession, base: str) -> DataFrame:
     return assign_splits(p6_found(spark, base), SPLIT_SHARES)
 
 
+def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.leakage import find_leaks
+
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return p7_leaks(spark, base).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split)}
+    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks)}
 
 
 _CURRENT = """current_segments AS (
