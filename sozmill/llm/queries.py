@@ -108,8 +108,14 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return p7_leaks(spark, base).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.sentences import sentence_units
+
+    return sentence_units(table(spark, base, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p9_found)}
 
 
 _CURRENT = """current_segments AS (
