@@ -16,6 +16,27 @@ def _segments(spark: SparkSession, base: str, **columns) -> DataFrame:
     return latest(table(spark, base, "segments"), "id", "written_at", columns)
 
 
+def _runs(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.language import fit_on, identify
+
+    documents = table(spark, base, "documents")
+    dictionaries = fit_on(documents)
+    docs = documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), F.col("lang").alias("label"), "text")
+    segments = _segments(spark, base, text=F.col("text")).select(F.lit("segment").alias("record_kind"), F.col("id").alias("record_key"), F.lit("uz").alias("label"), "text")
+    return identify(docs, dictionaries).unionByName(identify(segments, dictionaries, "uz"))
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.language import label_language
+
+    wrong = (F.col("parts") > 1) | ~label_language(F.col("label")).eqNullSafe(F.col("lang"))
+    return _runs(spark, base).where(wrong).select("record_kind", "record_key", "part_no", "lang")
+
+
+def p1_runs(spark: SparkSession, base: str) -> DataFrame:
+    return _runs(spark, base)
+
+
 def _capped(spark: SparkSession, base: str, randomness: float) -> DataFrame:
     from sozmill.llm.cap import cap_contributors
 
@@ -115,7 +136,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p9_found)}
 
 
 _CURRENT = """current_segments AS (
