@@ -327,6 +327,18 @@ def _own(part: tuple[str, str], parts: dict, size: dict) -> bool:
     return sum(_cheapest_language(compressor, script, t) == part[1] for t in held) > 0.5 * len(held)
 
 
+def fit_on(documents: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id") -> dict[tuple[str, str], bytes]:
+    """Dictionaries from a hashed sample of at most about FIT_PER_LABEL labelled documents per language."""
+    rows = documents.select(label_language(F.col(label)).alias("label"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("label is not null and text is not null and text <> ''")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, FIT_PER_LABEL / n) * (1 << 30)))])
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share[F.col("label")]).limit(2 * FIT_PER_LABEL * len(LANGUAGES))
+    sample = chosen.select("label", F.substring("text", 1, FIT_CHARS).alias("text"), "id").collect()
+    return fit_dictionaries([(r["label"], r["text"]) for r in sorted(sample, key=lambda r: (r["label"], str(r["id"])))])
+
+
 RUNS = "record_kind string, record_key string, label string, part_no int, parts int, lang string, confidence double, words int"
 
 
