@@ -129,6 +129,18 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return p7_leaks(spark, base).select("doc_id", "item_id")
 
 
+def p8_selection(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.mixing import mix
+
+    return mix(table(spark, base, "documents"), table(spark, base, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    from sozmill.llm.mixing import mix
+
+    return mix(table(spark, base, "documents"), table(spark, base, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     from sozmill.llm.sentences import sentence_units
 
@@ -136,7 +148,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p8_selection, p8_shares, p9_found)}
 
 
 _CURRENT = """current_segments AS (
