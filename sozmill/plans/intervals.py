@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sozmill.functions.keys import key
 from sozmill.operators.coverage import coverage, to_millis
+from sozmill.plans.catalog import Catalog
 from sozmill.session import table
 
 # The labels an event may carry.
@@ -21,10 +22,6 @@ def valid_events(events: DataFrame) -> DataFrame:
     ).drop("score")
 
 
-def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return coverage(valid_events(table(spark, base, "audio_events")), ["clip_id", "label"], "start_ms", "end_ms")
-
-
 _P2 = """WITH e AS (
   SELECT lower(trim(clip_id)) AS clip_id, lower(trim(label)) AS label, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS t
   FROM audio_events WHERE lower(trim(label)) IN ('laughter', 'music', 'applause', 'cough') AND (score IS NULL OR score BETWEEN 0 AND 1)),
@@ -36,5 +33,10 @@ n AS (SELECT *, lead(start_ms) OVER (PARTITION BY clip_id, label ORDER BY start_
 SELECT clip_id, label, 'period' AS kind, start_ms, end_ms FROM n
 UNION ALL SELECT clip_id, label, 'gap', end_ms, next_ms FROM n WHERE next_ms IS NOT NULL"""
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": _P2}
+CATALOG = Catalog()
+add = CATALOG.add
+
+
+@add(_P2)
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return coverage(valid_events(table(spark, base, "audio_events")), ["clip_id", "label"], "start_ms", "end_ms")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from sozmill.plans import intervals
+from sozmill.plans import intervals, texts
 
 FLAGSHIP = "p2_found"
-_MODULES = (intervals,)
+_MODULES = (intervals, texts)
 
 
 def queries() -> dict:
-    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    return {name: f for module in _MODULES for name, f in module.CATALOG.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in _MODULES for name, sql in module.CATALOG.sql.items()}
