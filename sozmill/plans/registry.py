@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sozmill.plans import intervals, texts
+from sozmill.plans import corpus, intervals, texts
 
-FLAGSHIP = "p2_found"
-_MODULES = (intervals, texts)
+FLAGSHIP = "prepare_summary"
+_MODULES = (corpus, intervals, texts)
 
 
 def queries() -> dict:

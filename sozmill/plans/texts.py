@@ -91,21 +91,23 @@ def int_to_words(spark, base):
     return rows.select("n", T.int_to_words(F.col("n").cast("string")).alias("words"))
 
 
-# Oracle for texts whose numbers are single, short and not grouped; the function itself handles all.
-_ONE_NUMBER = "regexp_matches(text, '^[^0-9]*[0-9]{1,6}[^0-9]*$')"
+_NUMBERS = r"[0-9]{1,3}(?:[ ,][0-9]{3})+\b|[0-9]+"
+_FOUND = f"regexp_extract_all(text, '({_NUMBERS})(\\s*%)?')"
+_DIGITS = "CAST(translate(regexp_replace(m, '\\s*%$', ''), ' ,', '') AS BIGINT)"
+_SPELLED = f"list_transform({_FOUND}, lambda m: {_words_macro(_DIGITS)} || CASE WHEN m LIKE '%\\%' ESCAPE '\\' THEN ' foiz' ELSE '' END)"
 
 
 @add(
-    f"SELECT id, regexp_replace(text, '[0-9]+(\\s*%)?', {_words_macro(chr(39).join(['CAST(regexp_extract(text, ', '[0-9]+', ') AS BIGINT)']))} || "
-    f"CASE WHEN regexp_matches(text, '[0-9]\\s*%') THEN ' foiz' ELSE '' END) AS value FROM segments WHERE {_ONE_NUMBER}"
+    f"SELECT id, array_to_string(list_transform(list_zip(string_split_regex(text, '({_NUMBERS})(\\s*%)?'), {_SPELLED}), lambda z: z[1] || coalesce(z[2], '')), '') AS value "
+    "FROM segments WHERE text IS NOT NULL"
 )
 def expand_numbers(spark, base):
-    return _texts(spark, base).where(F.col("text").rlike("^[^0-9]*[0-9]{1,6}[^0-9]*$")).select("id", T.expand_numbers(F.col("text")).alias("value"))
+    return _each(spark, base, T.expand_numbers(F.col("text")))
 
 
 @add()
 def expand_numbers_documents(spark, base):
-    """All numbers of all documents; the SQL oracle covers the single-number form."""
+    """Numbers of whole documents, whose sizes exceed what the SQL words cover."""
     return table(spark, base, "documents").select("doc_id", T.expand_numbers(F.col("text")).alias("value"))
 
 
