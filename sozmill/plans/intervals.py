@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozmill.functions.keys import key
+from sozmill.functions import text as T
+from sozmill.operators import intervals as I
 from sozmill.operators.coverage import coverage, to_millis
 from sozmill.plans.catalog import Catalog
 from sozmill.session import table
@@ -40,3 +42,139 @@ add = CATALOG.add
 @add(_P2)
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return coverage(valid_events(table(spark, base, "audio_events")), ["clip_id", "label"], "start_ms", "end_ms")
+
+
+# Screening thresholds per label.
+SCREEN = {"laughter": 0.05, "music": 0.2, "applause": 0.1, "cough": 0.1}
+
+_E = """e AS (SELECT lower(trim(clip_id)) AS clip_id, lower(trim(label)) AS label, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS t, score
+  FROM audio_events WHERE lower(trim(label)) IN ('laughter', 'music', 'applause', 'cough') AND (score IS NULL OR score BETWEEN 0 AND 1)), v AS (SELECT DISTINCT * FROM e WHERE s >= 0 AND t > s)"""
+_ISLANDS = """r AS (SELECT *, max(t) OVER (PARTITION BY clip_id, label ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+i AS (SELECT *, sum(CASE WHEN s - reach <= 500 THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, label ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS island FROM r),
+p AS (SELECT clip_id, label, min(s) AS start_ms, max(t) AS end_ms, max(score) AS score FROM i GROUP BY clip_id, label, island HAVING max(t) - min(s) >= 200)"""
+
+
+def scored_events(spark: SparkSession, base: str) -> DataFrame:
+    events = table(spark, base, "audio_events")
+    rows = events.select(key("clip_id").alias("clip_id"), key("label").alias("label"), to_millis(F.col("start_s")).alias("start_ms"), to_millis(F.col("end_s")).alias("end_ms"), "score")
+    return rows.where(F.col("label").isin(*EVENT_LABELS) & (F.col("start_ms") >= 0) & (F.col("end_ms") > F.col("start_ms")) & (F.col("score").isNull() | F.col("score").between(0.0, 1.0))).distinct()
+
+
+@add(f"WITH {_E}, {_ISLANDS} SELECT * FROM p")
+def consolidate_intervals(spark, base):
+    return I.consolidate(scored_events(spark, base), ["clip_id", "label"])
+
+
+@add(f"WITH {_E}, {_ISLANDS} SELECT clip_id, to_json(list(struct_pack(start := start_ms, \"end\" := end_ms, label := label) ORDER BY start_ms, end_ms, label)) AS events FROM p GROUP BY clip_id")
+def events_json(spark, base):
+    """Events of a clip as one JSON array in order of time; a clip's array is bounded by its length and the least gap."""
+    rows = consolidate_intervals(spark, base)
+    packed = F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "label")))
+    return rows.groupBy("clip_id").agg(F.to_json(packed).alias("events"))
+
+
+@add(f"WITH {_E} SELECT clip_id, label, max(score) AS best, max(score) >= CASE label WHEN 'laughter' THEN 0.05 WHEN 'music' THEN 0.2 ELSE 0.1 END AS flagged FROM v GROUP BY clip_id, label")
+def screen_flags(spark, base):
+    threshold = F.element_at(F.create_map(*[F.lit(x) for pair in SCREEN.items() for x in pair]), F.col("label"))
+    return scored_events(spark, base).groupBy("clip_id", "label").agg(F.max("score").alias("best")).withColumn("flagged", F.col("best") >= threshold)
+
+
+_DURATIONS = "d AS (SELECT lower(trim(video_id)) AS clip_id, max(CAST(round(duration * 1000) AS BIGINT)) AS dur FROM video_meta GROUP BY 1)"
+
+
+@add(f"WITH {_E}, {_DURATIONS} SELECT clip_id, label, max(score) AS best, count(DISTINCT s // 10000) AS chunks FROM v JOIN d USING (clip_id) WHERE s < 10000 OR dur - s // 10000 * 10000 >= 250 GROUP BY ALL")
+def chunk_max(spark, base):
+    """Best score per clip and label over 10 s chunks; a trailing chunk below 0.25 s counts only if it is the first."""
+    durations = table(spark, base, "video_meta").groupBy(key("video_id").alias("clip_id")).agg(F.max(to_millis(F.col("duration"))).alias("dur"))
+    chunk = F.floor(F.col("start_ms") / 10_000)
+    kept = scored_events(spark, base).join(durations, "clip_id").where((F.col("start_ms") < 10_000) | (F.col("dur") - chunk * 10_000 >= 250))
+    per_chunk = kept.groupBy("clip_id", "label", chunk.alias("chunk")).agg(F.max("score").alias("best"))
+    return per_chunk.groupBy("clip_id", "label").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("chunks"))
+
+
+@add(
+    f"WITH {_E}, c AS (SELECT clip_id, label, s, t, greatest(CAST(ceil((t - s) / 20000.0) AS BIGINT), 1) AS parts FROM v WHERE t - s >= 2000), x AS (SELECT *, unnest(range(parts)) AS part FROM c) "
+    "SELECT clip_id, label, s AS start_ms, part, CAST(s + floor((t - s) * part / parts) AS BIGINT) AS part_start, CAST(s + floor((t - s) * (part + 1) / parts) AS BIGINT) AS part_end FROM x"
+)
+def clamp_spans(spark, base):
+    return I.clamp_spans(scored_events(spark, base), "start_ms", "end_ms", 2_000, 20_000).select("clip_id", "label", "start_ms", "part", "part_start", "part_end")
+
+
+@add(f"WITH {_E} SELECT clip_id, label, s * 16 AS first_frame, t * 16 AS end_frame FROM v")
+def span_frame_bounds(spark, base):
+    return scored_events(spark, base).select("clip_id", "label", (F.col("start_ms") * 16).alias("first_frame"), (F.col("end_ms") * 16).alias("end_frame"))
+
+
+# Words of a segment, equally long, meet the events of the recording it is cut from.
+_WORDS = """w AS (SELECT lower(trim(id)) AS id, regexp_extract(lower(audio_path), '_(v[0-9a-z]{9})_', 1) AS clip_id, CAST(round(duration * 1000) AS BIGINT) AS dur,
+  list_filter(string_split(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM segments WHERE text IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY written_at DESC) = 1)"""
+_HITS = f"""{_E}, {_WORDS}, h AS (SELECT id, words, label, v.s, v.t, (v.s + v.t) // 2 % dur AS mid, dur // len(words) AS step FROM w JOIN v USING (clip_id) WHERE len(words) > 0 AND dur >= len(words)),
+k AS (SELECT *, list_transform(range(len(words) + 1), lambda j: abs(j * step - mid)) AS gaps FROM h), n AS (SELECT *, list_position(gaps, list_min(gaps)) - 1 AS place FROM k)"""
+
+
+def _placed(spark: SparkSession, base: str) -> DataFrame:
+    segments = table(spark, base, "segments").where("text is not null").groupBy(key("id").alias("id")).agg(F.max(F.struct("written_at", "text", "audio_path", "duration")).alias("r"))
+    split = F.filter(F.split(T.collapse(F.col("r.text")), " "), lambda x: x != "")
+    rows = segments.select("id", F.regexp_extract(F.lower("r.audio_path"), "_(v[0-9a-z]{9})_", 1).alias("clip_id"), to_millis(F.col("r.duration")).alias("dur"), split.alias("words"))
+    rows = rows.where((F.size("words") > 0) & (F.col("dur") >= F.size("words")))
+    met = rows.join(scored_events(spark, base), "clip_id")
+    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2) % F.col("dur")
+    step = F.floor(F.col("dur") / F.size("words"))
+    boundaries = F.transform(F.sequence(F.lit(0), F.size("words")), lambda j: j * step)
+    return met.withColumn("place", I.nearest(boundaries, middle))
+
+
+@add(f"WITH {_HITS} SELECT id, label, s AS start_ms, place FROM n")
+def nearest_boundary(spark, base):
+    return _placed(spark, base).select("id", "label", "start_ms", "place")
+
+
+@add(f"WITH {_HITS}, u AS (SELECT DISTINCT id, place, label FROM n), g AS (SELECT id, place, string_agg(label, ' ' ORDER BY label) AS tags FROM u GROUP BY ALL) SELECT id, string_agg(place || ':' || tags, ' ' ORDER BY place) AS tags FROM g GROUP BY id")
+def merge_transcript(spark, base):
+    """Event labels by the word they go before; one label once a place."""
+    placed = _placed(spark, base).groupBy("id", "place").agg(F.array_join(F.array_sort(F.collect_set("label")), " ").alias("tags"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
+    return placed.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["tags"])), " ").alias("tags"))
+
+
+# Embeddings stand for tracks of frame scores.
+_P = "x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * 0.5 + 0.5) AS raw FROM embeddings)"
+_SMOOTH = "m AS (SELECT vec_id, raw, list_transform(range(1, len(raw) + 1), lambda i: list_sort(list_transform(range(i - 2, i + 3), lambda j: raw[greatest(1, least(len(raw), j))]))[3]) AS smooth FROM x)"
+_LEVEL = 0.53
+
+
+def _tracks(spark: SparkSession, base: str) -> DataFrame:
+    raw = F.transform("embedding", lambda e: e.cast("double") * 0.5 + 0.5)
+    return table(spark, base, "embeddings").select("vec_id", raw.alias("raw")).withColumn("smooth", I.median(F.col("raw"), 5))
+
+
+@add(f"WITH {_P}, {_SMOOTH} SELECT vec_id, list_transform(smooth, lambda s: CAST(round(s * 1000000) AS BIGINT)) AS smooth FROM m")
+def median_filter(spark, base):
+    return _tracks(spark, base).select("vec_id", F.transform("smooth", lambda s: F.round(s * 1000000).cast("bigint")).alias("smooth"))
+
+
+_RUNS = f"""WITH {_P}, {_SMOOTH}, f AS (SELECT vec_id, unnest(range(len(raw))) AS frame, unnest(raw) AS r, unnest(smooth) AS s FROM m),
+a AS (SELECT *, frame - row_number() OVER (PARTITION BY vec_id ORDER BY frame) AS island FROM f WHERE s >= {_LEVEL})"""
+
+
+@add(f"{_RUNS} SELECT vec_id, min(frame) AS first, max(frame) + 1 AS last, CAST(round(least(max(r), 1) * 1000000) AS BIGINT) AS score FROM a GROUP BY vec_id, island")
+def frame_runs(spark, base):
+    return I.runs(_tracks(spark, base), "vec_id", "smooth", "raw", _LEVEL).withColumn("score", F.round(F.col("score") * 1000000).cast("bigint"))
+
+
+@add(f"{_RUNS} SELECT vec_id, min(frame) * 40 AS start_ms, least((max(frame) + 1) * 40, 2500) AS end_ms FROM a JOIN embeddings USING (vec_id) WHERE label % 2 = 0 GROUP BY vec_id, island HAVING least((max(frame) + 1) * 40, 2500) > min(frame) * 40")
+def localize_events(spark, base):
+    """Runs of the flagged tracks only, in time, cut to the clip's length."""
+    flagged = table(spark, base, "embeddings").where("label % 2 = 0").select("vec_id")
+    found = I.runs(_tracks(spark, base).join(flagged, "vec_id", "left_semi"), "vec_id", "smooth", "raw", _LEVEL)
+    return found.select("vec_id", (F.col("first") * 40).alias("start_ms"), F.least(F.col("last") * 40, F.lit(2500)).alias("end_ms")).where("end_ms > start_ms")
+
+
+@add(
+    "WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(round(abs(CAST(e AS DOUBLE)) * 1000000) AS BIGINT)) AS a FROM embeddings), "
+    "s AS (SELECT vec_id, list_transform(range(19, 40), lambda i: list_sum(a[i + 1:i + 5])) AS sums FROM x) SELECT vec_id, 19 + list_position(sums, list_min(sums)) - 1 + 2 AS place FROM s"
+)
+def quietest_window(spark, base):
+    values = F.transform("embedding", lambda e: F.round(F.abs(e.cast("double")) * 1000000).cast("bigint"))
+    return table(spark, base, "embeddings").select("vec_id", values.alias("a")).select("vec_id", I.quietest(F.col("a"), 5).alias("place"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sozmill.plans import corpus, intervals, texts
+from sozmill.plans import corpus, feeds, intervals, sampling, scoring, texts
 
 FLAGSHIP = "prepare_summary"
-_MODULES = (corpus, intervals, texts)
+_MODULES = (corpus, feeds, intervals, sampling, scoring, texts)
 
 
 def queries() -> dict:
