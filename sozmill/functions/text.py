@@ -29,6 +29,11 @@ DIGIT = r"[\p{Nd}²³¹⁰-⁹₀-₉①-⑨]"
 _MARK = "\u0001"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def collapse(c: Column) -> Column:
     """One blank for every run of Unicode white space, none outside."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -59,14 +64,25 @@ def clean_raw(c: Column) -> Column:
 
 
 def transliterate(c: Column) -> Column:
-    """Cyrillic to Latin; е is ye at the start of a word and after vowels and signs, capitals follow their neighbours."""
+    """Cyrillic to Latin; е is ye at the start of a word and after vowels and signs, capitals follow their neighbours.
+
+    Texts without Cyrillic pass through, and only texts with adjacent capitals take the longer chain.
+    """
+    capitals = "[ЁЦЧШЩЮЯЕ]\\p{Lu}"
+    return bind(c, lambda x: F.when(~x.rlike("[Ѐ-ӿ]"), x).when(x.rlike(capitals), _latin(x, True)).otherwise(_latin(x, False)))
+
+
+def _latin(c: Column, capitals: bool) -> Column:
     here = rf"(?:(?<!\p{{L}})|(?<=[{E_AFTER}]))"
     c = F.regexp_replace(c, here + "е", "ye")
-    c = F.regexp_replace(F.regexp_replace(c, here + r"Е(?=\p{Lu})", "YE"), here + "Е", "Ye")
+    if capitals:
+        c = F.regexp_replace(c, here + r"Е(?=\p{Lu})", "YE")
+    c = F.regexp_replace(c, here + "Е", "Ye")
     for letter, latin in SEVERAL.items():
         upper = letter.upper()
         c = F.replace(c, F.lit(letter), F.lit(latin))
-        c = F.regexp_replace(c, upper + r"(?=\p{Lu})", latin.upper())
+        if capitals:
+            c = F.regexp_replace(c, upper + r"(?=\p{Lu})", latin.upper())
         c = F.replace(c, F.lit(upper), F.lit(latin[0].upper() + latin[1:]))
     plain, target = SINGLE_FROM + "е", SINGLE_TO + "e"
     return F.translate(c, plain + plain.upper() + "ъЪьЬ", target + target.upper() + TUTUQ * 2)
@@ -104,16 +120,20 @@ NUMBER = r"([0-9]{1,3}(?:[ ,][0-9]{3})+(?![0-9])|[0-9]+)(\s*%)?"
 
 def expand_numbers(c: Column) -> Column:
     """Numbers as words; grouped thousands are one number, a percent sign is spelled. Too large numbers stay as digits."""
+    return bind(c, _expand)
+
+
+def _expand(c: Column) -> Column:
     between = F.split(c, NUMBER, -1)
     found = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
 
     def spelled(m: Column) -> Column:
         digits = F.translate(F.regexp_replace(m, r"\s*%$", ""), " ,", "")
         percent = F.when(F.endswith(m, F.lit("%")), F.lit(" foiz")).otherwise(F.lit(""))
-        return F.coalesce(F.concat(int_to_words(digits), percent), m)
+        return F.coalesce(F.concat(bind(digits, int_to_words), percent), m)
 
     pieces = F.zip_with(between, F.transform(found, spelled), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.size(found) == 0, c).otherwise(F.array_join(pieces, ""))
+    return F.when(~c.rlike("[0-9]"), c).otherwise(F.array_join(pieces, ""))
 
 
 def frontend_normalize(c: Column) -> Column:
