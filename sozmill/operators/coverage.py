@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sozmill.session import cut
+
 SHARD_MS = 600_000
 #: Times beyond this (about 290,000 years in ms) are treated as broken rather than overflowing a cast.
 _LIMIT_S = 9.0e12
@@ -56,6 +58,8 @@ def coverage(events: DataFrame, entity: list[str], start: str, end: str, shard_m
         .groupBy(*keys, "shard", "whole", "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
     )
+    # Read three times below; the islands are fewer than the events, and the scan is not repeated.
+    merged = cut(merged)
     touches = F.col("whole") | (F.col("s") == F.col("shard") * size) | (F.col("e") == (F.col("shard") + 1) * size)
     inside = merged.where(~touches).select(*keys, "s", "e")
 
@@ -69,7 +73,7 @@ def coverage(events: DataFrame, entity: list[str], start: str, end: str, shard_m
         .select(*keys, "s", "e")
     )
     # A whole-shard row may cover islands that touch no boundary of their own shard.
-    periods = _drop_covered(inside, stitched, keys, size).unionByName(stitched)
+    periods = cut(_drop_covered(inside, stitched, keys, size).unionByName(stitched))
 
     by_shard = periods.withColumn("shard", shard_of(F.col("s")))
     inner = Window.partitionBy(*keys, "shard").orderBy("s")
