@@ -5,11 +5,16 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructType
+
+#: Types are objects, as workers import this module without a session to parse DDL.
+HEADER = StructType().add("frames", LongType()).add("rate", IntegerType()).add("channels", IntegerType())
 
 
 def _header(content: bytes | None) -> tuple[int | None, int | None, int | None]:
@@ -20,13 +25,13 @@ def _header(content: bytes | None) -> tuple[int | None, int | None, int | None]:
         return None, None, None
 
 
-@F.pandas_udf("frames long, rate int, channels int")
+@F.pandas_udf(HEADER)
 def wav_header(content: pd.Series) -> pd.DataFrame:
     """Frames, rate and channels of WAV bytes; nulls for anything else."""
     return pd.DataFrame([_header(c) for c in content], columns=["frames", "rate", "channels"]).astype({"frames": "Int64", "rate": "Int32", "channels": "Int32"})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wav_cut(content: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
     """WAV bytes of frames [first, end) clipped to the file; null where nothing is left."""
 
@@ -48,6 +53,12 @@ def wav_cut(content: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
     return pd.Series([one(c, a, b) for c, a, b in zip(content, first, end)])
 
 
+@F.pandas_udf(BooleanType())
+def _finished(folder: pd.Series) -> pd.Series:
+    """Whether a folder of a mounted file system holds a .done file, which Spark's listing hides."""
+    return folder.map(lambda f: Path(f.removeprefix("file:"), ".done").exists())
+
+
 def scan_recordings(spark: SparkSession, root: str) -> DataFrame:
     """root/<channel>/<video>/audio.wav of finished videos (a .done file beside it): ids, duration, and an issue or null."""
     path = F.col("path")
@@ -55,9 +66,8 @@ def scan_recordings(spark: SparkSession, root: str) -> DataFrame:
     listed = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     folder = F.regexp_replace(path, "/[^/]*$", "")
     audio = listed("audio.wav").select(folder.alias("folder"), part(-3).alias("channel"), part(-2).alias("video"), wav_header("content").alias("h"))
-    done = listed(".done").select(folder.alias("folder"))
     seconds = F.try_divide(F.col("h.frames"), F.col("h.rate"))
-    return audio.join(done, "folder", "left_semi").select("folder", "channel", "video", seconds.alias("duration"), F.col("h.rate").alias("sample_rate"), F.when(seconds.isNull(), "unreadable audio").when(seconds == 0, "empty audio").alias("issue"))
+    return audio.where(_finished("folder")).select("folder", "channel", "video", seconds.alias("duration"), F.col("h.rate").alias("sample_rate"), F.when(seconds.isNull(), "unreadable audio").when(seconds == 0, "empty audio").alias("issue"))
 
 
 class TarPartition(InputPartition):
