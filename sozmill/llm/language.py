@@ -196,10 +196,11 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
         found.append(block)
         best = second = None
         if c:
-            ordered = sorted(c.items(), key=lambda x: (x[1], x[0]))
+            ordered = sorted(c.items(), key=lambda x: (x[1], _rank(x[0])))
             best = ordered[0]
             second = ordered[1][1] if len(ordered) > 1 else raw
-        other = raw + 4
+        # A whole sentence in a script of its own is a run however short it is.
+        other = raw + 4 + (4 * SWITCH_INSIDE if whole and script in _SINGLE else 0)
         good = False
         if best:
             if len(c) == 1 or script in _SINGLE and script != "j":
@@ -227,7 +228,7 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
     if len(languages) == 1:
         path = [next(iter(languages))] * len(found)
     else:
-        path = _cheapest(found, costs, sure, sorted(languages))
+        path = _cheapest(found, costs, sure, sorted(languages, key=_rank))
     whole, begin = [], 0
     for i in range(1, len(found) + 1):
         if i == len(found) or found[i][3]:
@@ -246,6 +247,11 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
     return out
 
 
+def _rank(language: str) -> tuple[bool, str]:
+    """Order among equals: text without kana is Chinese sooner than Japanese."""
+    return language == "ja", language
+
+
 def _cheapest(found, costs, sure, languages: list[str]) -> list[str]:
     """Cheapest path of languages over blocks; rejected blocks cost nothing in any language."""
     best = [0.0] * len(languages)
