@@ -297,7 +297,7 @@ def segment(text: str, raw_lines: bool, model: MaxEnt) -> list[tuple[int, int]]:
                 quotes = [m.span() for m in _QUOTE.finditer(text, lo, hi)]
                 for m in _THAI_BLANK.finditer(text, lo, hi):
                     s, e = m.span()
-                    if s == lo or _THAI_DIGIT.match(text[s - 1]) or _THAI_DIGIT.match(text[e]) or text[s - 1] in "]:—–-([" or any(a < s < b for a, b in quotes):
+                    if s == lo or s in numbers or _THAI_DIGIT.match(text[s - 1]) or _THAI_DIGIT.match(text[e]) or text[s - 1] in "]:—–-([" or any(a < s < b for a, b in quotes):
                         continue
                     cuts.append(s)
             cuts.sort()
