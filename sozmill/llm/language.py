@@ -32,6 +32,9 @@ DICTIONARY_BYTES = 131_072
 LEVEL = 3
 #: A script counts for a label if it holds this share of the label's text.
 SCRIPT_SHARE = 0.1
+#: Share of a minor script's text that its own dictionary must pack better by this share of its bytes.
+OWN_WINS = 0.4
+OWN_MARGIN = 0.08
 #: Words of a block; least bytes, and share of the best cost, between the two best languages of a block that counts.
 BLOCK_WORDS = 5
 MARGIN_BYTES = 4
@@ -304,13 +307,14 @@ def fit_dictionaries(labelled: list[tuple[str, str]], rounds: int = 2) -> dict[t
     for (_, label), n in size.items():
         of_label[label] += n
     parts = {k: v for k, v in parts.items() if size[k] >= SCRIPT_SHARE * of_label[k[1]]}
-    parts = {k: v for k, v in parts.items() if size[k] >= 0.5 * of_label[k[1]] or _own(k, parts, size)}
+    main = {k for k in parts if size[k] >= 0.5 * of_label[k[1]]}
+    parts = {k: v for k, v in parts.items() if k in main or _own(k, parts, size)}
     kept = parts
     for _ in range(rounds):
         judges = [Compressor({k: raw for k, v in kept.items() if (raw := _content([t for fold, t in v if fold != half]))}) for half in (0, 1)]
         kept = {k: [(fold, t) for fold, t in v if _cheapest_language(judges[fold], k[0], t) in (None, k[1])] for k, v in parts.items()}
-        # A script of which most was taken out isn't one of the language.
-        kept = {k: v for k, v in kept.items() if 2 * sum(len(t) for _, t in v) >= size[k]}
+        # A minor script of which most was taken out isn't one of the language; its main script always stays.
+        kept = {k: v if 2 * sum(len(t) for _, t in v) >= size[k] else parts[k] for k, v in kept.items() if k in main or 2 * sum(len(t) for _, t in v) >= size[k]}
         parts = {k: v for k, v in parts.items() if k in kept}
     return {k: raw for k, v in kept.items() if (raw := _content([t for _, t in v]))}
 
@@ -323,14 +327,25 @@ def _cheapest_language(compressor: Compressor, script: str, text: str) -> str |
 def _own(part: tuple[str, str], parts: dict, size: dict) -> bool:
     """Whether a label's minor script holds text of its own, rather than wrongly labelled text of a language at home there.
 
-    One half's dictionaries, equally large, are held against each other on the other half.
+    One half's dictionaries, equally large, are held against each other on the other half. Text of its own wins
+    clearly, text of a language at home there about equals that language's.
     """
     script = part[0]
     homes = [k for k in parts if k[0] == script and k != part and size[k] > size[part]]
     half = max(1000, min(size[part] // 2, DICTIONARY_BYTES // 2))
     compressor = Compressor({k: _content([t for fold, t in parts[k] if not fold], half) for k in [part, *homes]})
     held = [t for fold, t in parts[part] if fold][:500]
-    return sum(_cheapest_language(compressor, script, t) == part[1] for t in held) > 0.5 * len(held)
+    return _clear_wins(compressor, part, held) > OWN_WINS * len(held)
+
+
+def _clear_wins(compressor: Compressor, part: tuple[str, str], texts: list[str]) -> int:
+    """Texts that the part's own dictionary packs clearly better than any other."""
+    won = 0
+    for text in texts:
+        costs, raw = compressor.costs(part[0], text)
+        own = costs.pop(part[1], raw)
+        won += own + OWN_MARGIN * raw <= min(costs.values(), default=raw)
+    return won
 
 
 def fit_on(documents: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id") -> dict[tuple[str, str], bytes]:

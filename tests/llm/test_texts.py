@@ -247,3 +247,14 @@ def test_mix(spark):
     picked = chosen.collect()
     assert picked and all(1 <= r["copies"] <= limit[r["source"]] and r["tokens"] > 0 for r in picked)
     assert mix(docs.limit(0), targets)[0].collect() == [] and mix(docs, targets.limit(0))[0].collect() == []
+
+
+def test_minor_scripts_of_wrong_labels_are_dropped():
+    """A sixth of one label's text is another language's; its dictionary there must go, and a true second script must stay."""
+    rng = random.Random(12)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(300)] for k, letters in {"uz": "abdehilmnoqrstuvxyz", "kk": "абвгдежзиклмнопрст", "uzc": "ўқғҳабдеилмнорт", "tr": "çşığüöabcdefgklmn"}.items()}
+    text = lambda k: ". ".join(" ".join(rng.choice(vocabulary[k]) for _ in range(15)) for _ in range(6))
+    rows = [("uz", text("uz")) for _ in range(150)] + [("uz", text("uzc")) for _ in range(40)]
+    rows += [("kk", text("kk")) for _ in range(150)] + [("kk", text("uz")) for _ in range(30)] + [("tr", text("tr")) for _ in range(150)]
+    rng.shuffle(rows)
+    assert set(language.fit_dictionaries(rows)) == {("l", "uz"), ("c", "uz"), ("c", "kk"), ("l", "tr")}
