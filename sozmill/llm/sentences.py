@@ -35,7 +35,8 @@ _QUOTE = re.compile(
 )
 _THAI_BLANK = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
 _THAI_DIGIT = re.compile(r"[\d๐-๙]")
-_DROP = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+#: Tokens are compared without width-less characters and with one apostrophe.
+_DROP = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff")) | dict.fromkeys(map(ord, "`´’‘ʼʻʽ‛′"), "'")
 #: Periods that a token must be seen before a contrast with paragraph ends counts.
 CONTRAST_LEAST = 8
 _FULL = set("。！？।؟")
@@ -102,7 +103,7 @@ def _contexts(text: str, lo: int, hi: int, cased: bool):
         kind = "f" if first in _FULL else "." if marks.rstrip(_CLOSERS) == "." else "E" if first == "…" else "e" if first == "." else "!"
         before = text[max(lo, s - 28) : s].rstrip(_CLOSERS)
         tokens = before.translate(_DROP).split()
-        token = tokens[-1].lstrip(_OPENERS) if tokens else ""
+        token = tokens[-1].lstrip(_OPENERS + "'") if tokens else ""
         scr = _script(token[-1]) if token else "o"
         if scr == "j":
             token = token[-3:]
