@@ -36,6 +36,7 @@ _QUOTE = re.compile(
 _THAI_BLANK = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
 _THAI_DIGIT = re.compile(r"[\d๐-๙]")
 #: Tokens are compared without width-less characters and with one apostrophe.
+_GLUED = re.compile(r"[^\W\d_]['\w]{2}.*[.!?…](\w.*)$")
 _DROP = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff")) | dict.fromkeys(map(ord, "`´’‘ʼʻʽ‛′"), "'")
 #: Periods that a token must be seen before a contrast with paragraph ends counts.
 CONTRAST_LEAST = 8
@@ -104,6 +105,9 @@ def _contexts(text: str, lo: int, hi: int, cased: bool):
         before = text[max(lo, s - 28) : s].rstrip(_CLOSERS)
         tokens = before.translate(_DROP).split()
         token = tokens[-1].lstrip(_OPENERS + "'") if tokens else ""
+        glued = _GLUED.match(token) if len(token) > 5 else None
+        if glued:
+            token = glued.group(1)
         scr = _script(token[-1]) if token else "o"
         if scr == "j":
             token = token[-3:]
