@@ -9,6 +9,8 @@ from sozmill.operators.coverage import coverage
 
 #: Width of the time cells in which events meet the periods that cover them.
 CELL_MS = 10_000
+#: Cells of a period beyond which it isn't expanded into them.
+LONG_CELLS = 1_000
 
 
 def consolidate(events: DataFrame, entity: list[str], gap_ms: int = 500, least_ms: int = 200) -> DataFrame:
@@ -20,9 +22,12 @@ def consolidate(events: DataFrame, entity: list[str], gap_ms: int = 500, least_m
     stretched = events.select(*entity, "start_ms", (F.col("end_ms") + gap_ms).alias("reach"))
     periods = coverage(stretched, entity, "start_ms", "reach").where("kind = 'period'").select(*entity, "start_ms", (F.col("end_ms") - gap_ms).alias("end_ms"))
     cell = lambda c: F.floor(c / CELL_MS)
-    cells = periods.withColumn("cell", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms")))))
+    long = F.col("end_ms") - F.col("start_ms") > LONG_CELLS * CELL_MS
+    cells = periods.where(~long).withColumn("cell", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms")))))
     scored = events.groupBy(*entity, F.col("start_ms").alias("at"), cell(F.col("start_ms")).alias("cell")).agg(F.max("score").alias("score"))
-    met = cells.join(scored, [*entity, "cell"]).where("at between start_ms and end_ms")
+    met = cells.join(scored, [*entity, "cell"]).drop("cell")
+    # Periods of very many cells are few per entity and meet its events by range.
+    met = met.unionByName(periods.where(long).join(scored.drop("cell"), entity)).where("at between start_ms and end_ms")
     best = met.groupBy(*entity, "start_ms", "end_ms").agg(F.max("score").alias("score"))
     return best.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
