@@ -20,6 +20,8 @@ GRID = 120
 DEPTH = 4
 #: Most left-over pieces that one task packs.
 BLOCK = 20_000
+#: Copies of a pattern that one row expands to.
+RUN = 50_000
 
 
 def combinations(grid: int, depth: int, bins: list[int]) -> np.ndarray:
@@ -162,7 +164,11 @@ def pack(items: DataFrame, limits: DataFrame, item: str = "item", group: str = "
     open_ = pieces.where(F.col("bin") < GRID)
     histogram = open_.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     slots = cut(histogram.groupBy("grp").applyInPandas(_slots, "grp string, bin int, first long, times long, pattern int"))
-    places = slots.select("grp", "bin", "first", "pattern", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)).alias("copy"))
+    # Copies are laid out in bounded runs, which are spread before they are expanded.
+    runs = slots.select("grp", "bin", "first", "pattern", "times", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / RUN))).alias("run"))
+    runs = runs.repartition("grp", "bin", "pattern", "run")
+    copies = F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("times")) - 1)
+    places = runs.select("grp", "bin", "first", "pattern", F.explode(copies).alias("copy"))
     places = places.select("grp", "bin", (F.col("first") + F.col("copy")).alias("rank"), F.concat(F.col("grp"), F.lit(":p"), "pattern", F.lit("."), "copy").alias("container"))
     # Longer items of a bin first, so that a container's items come from like ranks.
     ranked = spread_rank(open_, ["grp", "bin"], [F.col("length").desc(), F.col("item").asc(), F.col("piece").asc()])
