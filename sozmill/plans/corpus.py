@@ -77,7 +77,8 @@ _J = f"j AS (SELECT m.*, {_sql_okina()} AS okina FROM m), r AS (SELECT *, {_REAS
 
 def _judged(spark: SparkSession, base: str) -> DataFrame:
     rows = manifest(spark, base)
-    return rows.withColumn("reason", T.reject_reason(F.col("raw"), T.normalize_text(F.col("raw")), F.col("duration")))
+    reason = T.bind(T.normalize_text(F.col("raw")), lambda n: T.reject_reason(F.col("raw"), n, F.col("duration")))
+    return rows.withColumn("reason", reason)
 
 
 @add(f"WITH {_M}, {_J} SELECT sample_id, coalesce(reason, 'kept') AS reason FROM r")
