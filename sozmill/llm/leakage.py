@@ -26,9 +26,9 @@ SEED = 6
 #: Seeds (24 bytes each) that are sent to every task; beyond, hashes are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
 
-_TIME = r"(?:\[|\(|<)?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:\]|\)|>)?"
-_LABEL = r"(?m:^|(?<=[\s»”\"'’.!?…]))(?:[^\W\d_]+(?: \d+)?):(?=\s)"
-_NOISE = re.compile(f"{_TIME}|{_LABEL}")
+_TIME = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])>]?")
+#: One or two words and a colon where a sentence can start: after a terminator, a closing mark, a dash or a blank line.
+_LABEL = re.compile(r"(\A|[.!?…。！？।؟»”\"“)\]—–-]|\n[^\S\n]*\n)\s*(?:[^\W\d_]+ )?[^\W\d_]+:(?=\s)")
 _WORD = re.compile(r"[^\W_]+")
 _MASK = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +37,7 @@ def plain_words(text: str | None) -> list[str]:
     """Words of a text without speaker labels and time marks, folded over case, script, apostrophes and invisible marks."""
     if not text:
         return []
-    low = (_NOISE.sub(" ", text) if ":" in text else text).lower()
+    low = (_LABEL.sub(r"\1 ", _TIME.sub(" ", text)) if ":" in text else text).lower()
     if not low.isascii():
         low = unicodedata.normalize("NFKC", low.replace("´", "'"))
     low = low.translate(_TABLE).replace("ye", "e").replace("ts", "s")
