@@ -172,7 +172,8 @@ def pack(items: DataFrame, limits: DataFrame, item: str = "item", group: str = "
     places = places.select("grp", "bin", (F.col("first") + F.col("copy")).alias("rank"), F.concat(F.col("grp"), F.lit(":p"), "pattern", F.lit("."), "copy").alias("container"))
     # Longer items of a bin first, so that a container's items come from like ranks.
     ranked = spread_rank(open_, ["grp", "bin"], [F.col("length").desc(), F.col("item").asc(), F.col("piece").asc()])
-    matched = cut(ranked.join(places, ["grp", "bin", "rank"], "left").select("item", "grp", "piece", "pieces", "length", "capacity", "container"))
+    # The places grow with the items although they come from few rows; the hint keeps them from being broadcast.
+    matched = cut(ranked.join(places.hint("merge"), ["grp", "bin", "rank"], "left").select("item", "grp", "piece", "pieces", "length", "capacity", "container"))
     planned = matched.where("container is not null")
     left = matched.where("container is null").drop("container")
     blocks = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
