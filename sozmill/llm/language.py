@@ -43,8 +43,15 @@ MARGIN_SHARE = 0.1
 LONG_WORDS = 8
 PURE_SHARE = 0.55
 PURE_MARGIN = 0.2
+#: A block cut from a longer one is looked at word by word unless its best language is ahead by this share of the next one's cost.
+CLEAR_SHARE = 0.3
+#: Words of the window that names the languages within such blocks, and words that are compressed in one go there.
+WINDOW_WORDS = 4
+STRETCH_WORDS = 18
+#: Bytes by which a word beside a run that is just too short may cost more in the run's language and still be its.
+LEVEL_BYTES = 1
 #: Bytes that a change of language costs, within a sentence and between two.
-SWITCH_INSIDE = 14
+SWITCH_INSIDE = 5
 SWITCH_BETWEEN = 9
 #: Words of the shortest run that isn't a whole sentence.
 RUN_WORDS = 5
@@ -145,6 +152,32 @@ class Compressor:
         return {language: len(compress(raw)) for language, compress in self.by_script.get(script, ())}, len(raw)
 
 
+def _by_word(stretch: list[tuple[str, str, int, bool, bool]], compressor: Compressor) -> tuple[list, list, set[str]]:
+    """Blocks of one word in place of successive blocks of a sentence, what each word adds to the size in every language, and
+    the languages that are certain in some window."""
+    script, fresh = stretch[0][0], stretch[0][3]
+    words = [w for block in stretch for w in block[1].split()]
+    added: dict[str, list[int]] = {}
+    for language, compress in compressor.by_script[script]:
+        sizes = [len(compress(b" "))]
+        for k in range(1, len(words) + 1):
+            sizes.append(len(compress(f" {' '.join(words[:k])} ".encode())))
+        added[language] = [b - a for a, b in zip(sizes, sizes[1:])]
+    sure = set()
+    for k in range(max(1, len(words) - WINDOW_WORDS + 1)):
+        first, second = sorted((sum(v[k : k + WINDOW_WORDS]), _rank(language), language) for language, v in added.items())[:2]
+        if second[0] - first[0] >= max(MARGIN_BYTES, MARGIN_SHARE * second[0]):
+            sure.add(first[2])
+    found, costs = [], []
+    for k, word in enumerate(words):
+        c = {language: v[k] for language, v in added.items()}
+        low, next_ = sorted(c.values())[:2]
+        raw = len(word.encode()) + 1
+        found.append((script, f" {word} ", 1, fresh and not k, False))
+        costs.append((c, raw + 4, next_ - low))
+    return found, costs, sure
+
+
 def _runs(path: list[str], found: list, whole: list[tuple[int, int]]) -> list[list]:
     """Runs [language, first block, last block + 1, words] of a path, those too short given to a neighbour."""
     runs: list[list] = []
@@ -185,17 +218,8 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
     costs, sure = [], []
     languages = set()
     total: dict[str, int] = defaultdict(int)
-    todo = blocks(text)[::-1]
-    while todo:
-        block = todo.pop()
-        script, body, n, fresh, whole = block
-        c, raw = compressor.costs(script, body)
-        if n >= LONG_WORDS and script in _SPACED and len(c) > 1:
-            low, next_ = sorted(c.values())[:2]
-            if low > PURE_SHARE * raw or next_ - low < PURE_MARGIN * raw:
-                # Perhaps of several languages: look at it in shorter blocks.
-                todo += _shorter(block)[::-1]
-                continue
+    def keep(block: tuple[str, str, int, bool, bool], c: dict[str, int], raw: int) -> None:
+        script, _, n, _, whole = block
         found.append(block)
         best = second = None
         if c:
@@ -218,6 +242,44 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
             languages.add(best[0])
         for language, size in c.items():
             total[language] += size - raw
+
+    def keep_words(stretch: list[tuple[str, str, int, bool, bool]]) -> None:
+        words, sizes, certain = _by_word(stretch, compressor)
+        found.extend(words)
+        costs.extend(sizes)
+        sure.extend([bool(certain)] * len(words))
+        languages.update(certain)
+        for word, (c, _, _) in zip(words, sizes):
+            for language, size in c.items():
+                total[language] += size - len(word[1].encode()) + 1
+
+    def keep_parts(block: tuple[str, str, int, bool, bool]) -> None:
+        """A long block in shorter ones, those that aren't clear word by word."""
+        stretch: list[tuple[str, str, int, bool, bool]] = []
+        for part in _shorter(block):
+            c, raw = compressor.costs(part[0], part[1])
+            low, next_ = sorted(c.values())[:2]
+            unclear = next_ - low < CLEAR_SHARE * next_
+            if stretch and (not unclear or sum(b[2] for b in stretch) + part[2] > STRETCH_WORDS):
+                keep_words(stretch)
+                stretch = []
+            if unclear:
+                stretch.append(part)
+            else:
+                keep(part, c, raw)
+        if stretch:
+            keep_words(stretch)
+
+    for block in blocks(text):
+        script, body, n, *_ = block
+        c, raw = compressor.costs(script, body)
+        if n >= LONG_WORDS and script in _SPACED and len(c) > 1:
+            low, next_ = sorted(c.values())[:2]
+            if low > PURE_SHARE * raw or next_ - low < PURE_MARGIN * raw:
+                # Perhaps of several languages: look at it in shorter blocks.
+                keep_parts(block)
+                continue
+        keep(block, c, raw)
     if not found:
         return []
     if not languages:
@@ -228,19 +290,29 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
         ordered = sorted(total.items(), key=lambda x: (x[1], x[0]))
         gap = (ordered[1][1] if len(ordered) > 1 else 0) - ordered[0][1]
         return [(ordered[0][0], float(round(1 / (1 + np.exp(-gap / 8)), 4)), sum(f[2] for f in found))]
-    if len(languages) == 1:
-        path = [next(iter(languages))] * len(found)
-    else:
-        path = _cheapest(found, costs, sure, sorted(languages, key=_rank))
-    whole, begin = [], 0
-    for i in range(1, len(found) + 1):
-        if i == len(found) or found[i][3]:
-            # Short sentences count as a run only where their script or margin is certain.
-            if all(sure[begin:i]):
-                whole.append((begin, i))
-            begin = i
+    path, runs = _cut(found, costs, sure, languages)
+    beside = _beside_changes(path, found)
+    if beside:
+        # The borders of a change to the word: the blocks on both sides again, word by word.
+        before = found, costs, sure
+        found, costs, sure = [], [], []
+        stretch: list[tuple[str, str, int, bool, bool]] = []
+        for i, (block, cost, good) in enumerate(zip(*before)):
+            again = i in beside or block[2] == 1 and bool(stretch) and block[0] == stretch[0][0]
+            if stretch and (not again or block[3] or sum(b[2] for b in stretch) + block[2] > STRETCH_WORDS):
+                keep_words(stretch)
+                stretch = []
+            if again:
+                stretch.append(block)
+            else:
+                found.append(block)
+                costs.append(cost)
+                sure.append(good)
+        if stretch:
+            keep_words(stretch)
+        _, runs = _cut(found, costs, sure, languages)
     out = []
-    for language, a, b, n in _runs(path, found, whole):
+    for language, a, b, n in runs:
         margin = 0.0
         for i in range(a, b):
             if sure[i]:
@@ -250,6 +322,46 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
     return out
 
 
+def _cut(found, costs, sure, languages: set[str]) -> tuple[list[str], list[list]]:
+    """The cheapest path over blocks and its runs."""
+    path = _cheapest(found, costs, sure, sorted(languages, key=_rank)) if len(languages) > 1 else [*languages] * len(found)
+    _level(path, found, costs)
+    whole, begin = [], 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or found[i][3]:
+            # Short sentences count as a run only where their script or margin is certain.
+            if all(sure[begin:i]):
+                whole.append((begin, i))
+            begin = i
+    return path, _runs(path, found, whole)
+
+
+def _level(path: list[str], found, costs) -> None:
+    """A run just too short takes the words beside it that cost about as little in its language, until it is long enough."""
+    borders = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+    for begin, end in zip(borders, borders[1:]):
+        n, language = sum(block[2] for block in found[begin:end]), path[begin]
+        if not RUN_WORDS - 2 <= n < RUN_WORDS:
+            continue
+        for at, step in ((begin - 1, -1), (end, 1)):
+            while n < RUN_WORDS and 0 <= at < len(path) and found[at][2] == 1 and not found[at + (step < 0)][3]:
+                c, other, _ = costs[at]
+                if c.get(language, other) > c.get(path[at], other) + LEVEL_BYTES:
+                    break
+                path[at] = language
+                n += 1
+                at += step
+
+
+def _beside_changes(path: list[str], found: list) -> set[int]:
+    """Blocks beside a change of language within a sentence and script; empty if none of them has several words."""
+    beside = set()
+    for i in range(1, len(path)):
+        if path[i] != path[i - 1] and not found[i][3] and found[i][0] == found[i - 1][0] and found[i][0] in _SPACED:
+            beside |= {i - 1, i}
+    return beside if any(found[i][2] > 1 for i in beside) else set()
+
+
 def _rank(language: str) -> tuple[bool, str]:
     """Order among equals: text without kana is Chinese sooner than Japanese."""
     return language == "ja", language

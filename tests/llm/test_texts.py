@@ -51,6 +51,13 @@ def test_runs(compressor):
     assert all(0 <= r[1] <= 1 for r in language.language_runs(f"{UZ}. {RU}.", compressor))
 
 
+def test_runs_inside_unpunctuated_text(compressor):
+    uz, en = UZ.lower().split(), EN.lower().split()
+    assert seen(compressor, " ".join(uz[:6] + en[2:8] + uz[4:])) == ["uz", "en", "uz"]
+    assert seen(compressor, " ".join(uz + en[:7] + uz)) == ["uz", "en", "uz"]
+    assert seen(compressor, " ".join(uz + en[3:5] + uz)) == ["uz"]
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([(x,) for x in ("uz", " UZ", "uzb", "uz-Latn", "zh_Hans", "und", "mul", "", None, "az")], "l string")
     assert [r["v"] for r in rows.select(language.label_language(F.col("l")).alias("v")).collect()] == ["uz", "uz", "uz", "uz", "zh", None, None, None, None, None]
