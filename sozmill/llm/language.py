@@ -39,10 +39,8 @@ OWN_MARGIN = 0.08
 BLOCK_WORDS = 5
 MARGIN_BYTES = 4
 MARGIN_SHARE = 0.1
-#: A block of at least so many words is one language if its best size is below this share of its bytes, and by this share better.
+#: A block of at least so many words is cut into shorter ones.
 LONG_WORDS = 8
-PURE_SHARE = 0.55
-PURE_MARGIN = 0.2
 #: A block cut from a longer one is looked at word by word unless its best language is ahead by this share of the next one's cost.
 CLEAR_SHARE = 0.3
 #: Words of the window that names the languages within such blocks, and words that are compressed in one go there.
@@ -272,14 +270,11 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
 
     for block in blocks(text):
         script, body, n, *_ = block
-        c, raw = compressor.costs(script, body)
-        if n >= LONG_WORDS and script in _SPACED and len(c) > 1:
-            low, next_ = sorted(c.values())[:2]
-            if low > PURE_SHARE * raw or next_ - low < PURE_MARGIN * raw:
-                # Perhaps of several languages: look at it in shorter blocks.
-                keep_parts(block)
-                continue
-        keep(block, c, raw)
+        if n >= LONG_WORDS and script in _SPACED and len(compressor.by_script.get(script, ())) > 1:
+            # Perhaps of several languages: look at it in shorter blocks.
+            keep_parts(block)
+        else:
+            keep(block, *compressor.costs(script, body))
     if not found:
         return []
     if not languages:

@@ -21,7 +21,9 @@ def _runs(spark: SparkSession, base: str) -> DataFrame:
 
     documents = table(spark, base, "documents")
     dictionaries = fit_on(documents)
-    docs = documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), F.col("lang").alias("label"), "text")
+    # Every line of a raw-line source is a sentence.
+    text = F.when(key("source") == "asr_raw_lines", F.regexp_replace("text", "\n", "\n\n")).otherwise(F.col("text")).alias("text")
+    docs = documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), F.col("lang").alias("label"), text)
     segments = _segments(spark, base, text=F.col("text")).select(F.lit("segment").alias("record_kind"), F.col("id").alias("record_key"), F.lit("uz").alias("label"), "text")
     return identify(docs, dictionaries).unionByName(identify(segments, dictionaries, "uz"))
 

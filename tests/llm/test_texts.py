@@ -58,6 +58,12 @@ def test_runs_inside_unpunctuated_text(compressor):
     assert seen(compressor, " ".join(uz + en[3:5] + uz)) == ["uz"]
 
 
+def test_short_run_after_a_long_block(compressor):
+    long = "заргар синфхонада совуқ эртакни ёмғир тинганда баҳам кўрди шанба оқшоми сайёҳ янги бинода узун қўшиқни таъмирлади нонушта вақтида тоғ этагида кичик жияним қувноқ куйни мақтади"
+    assert seen(compressor, f"{long} старый садовник после урока объясняет незнакомый") == ["uz", "ru"]
+    assert seen(compressor, long) == ["uz"]
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([(x,) for x in ("uz", " UZ", "uzb", "uz-Latn", "zh_Hans", "und", "mul", "", None, "az")], "l string")
     assert [r["v"] for r in rows.select(language.label_language(F.col("l")).alias("v")).collect()] == ["uz", "uz", "uz", "uz", "zh", None, None, None, None, None]
