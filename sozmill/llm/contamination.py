@@ -2,15 +2,14 @@
 
 Two texts of n and m folded words match if their word edit distance is at most max(n, m) // 6. A held-out text that may
 differ by k words is cut into k + 1 passages, one of which must then occur unchanged, so passages lose no pair. Passages
-are sharded by their first two words; a training text goes only to the shards its own word pairs name, at most one copy
-per word pair, so the work stays linear however many shards there are.
+are sharded by their hash, and a training text goes only to the shards of passages it may hold: a bit filter of bounded
+size says so in the scan, before anything is shuffled. A shard meets its training texts in as many blocks as those need.
+A passage that many held-out texts share is replaced by its combinations with parts of the rest, so a common opening is
+neither one shard nor a product. Candidates are compared word by word at the end.
 """
 
 from __future__ import annotations
 
-import zlib
-
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -18,165 +17,311 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sozmill.functions.keys import key, latest, split_name
+from sozmill.llm.coded import Coder, bit_filter, mixed, runs, slices, window_hashes
 from sozmill.llm.fold import words
 from sozmill.session import cut
 
 MIN_WORDS = 8
 ONE_IN = 6
-PASSAGES_PER_SHARD = 200_000
-TEXTS_PER_TASK = 40_000
-
-_FOLDED = "id string, split string, source string, class long, n int, words binary"
+#: Passages of one automaton, and words of the training texts that one task scans with it.
+PASSAGES_PER_SHARD = 100_000
+WORDS_PER_TASK = 1_000_000
+#: Edits of a stretch of a long text within which its passages are looked for.
+STRETCH_EDITS = 32
+#: Words a passage may have: a fifth of the stretch's words are edits.
+LENGTHS = (3, 4, 5, 6)
+#: A passage counts as common above this many held-out texts, and above this part of all passages.
+COMMON_TEXTS = 200
+COMMON_ONE_IN = 50_000
+
+_FOLDED = "id string, split string, source string, class binary, n int, words binary"
+_PATTERN = "key long, passage long, class binary, n int, at int, length int, phrase binary, other int, size int, sig0 long, sig1 long"
+_CANDIDATE = "train_class binary, held_class binary, train_words binary, spans binary"
+_MATCHED = "train_class binary, held_class binary, edits int, covered int, held_words int"
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def max_edits(n: int) -> int:
-    """Most word edits that any partner of a text of n words can have: m - n <= m // ONE_IN bounds its length m."""
-    m = n
-    while (m + 1) - n <= (m + 1) // ONE_IN:
-        m += 1
-    return m // ONE_IN
+    """Most word edits of a text of n words and any partner of m: m - n <= m // ONE_IN holds up to m // ONE_IN = n // (ONE_IN - 1)."""
+    return n // (ONE_IN - 1)
+
+
+def passages(n: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """(begin, end, edits, passages) of the stretches of a text of n words.
+
+    The text's edits can't exceed the stretch's number in all of them; within such a stretch one passage is unchanged.
+    """
+    k = max_edits(n)
+    stretches = k // STRETCH_EDITS + 1
+    bounds = [n * i // stretches for i in range(stretches + 1)]
+    out = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        parts = k // stretches + 1
+        cuts = [lo + (hi - lo) * i // parts for i in range(parts + 1)]
+        out.append((lo, hi, parts - 1, list(zip(cuts, cuts[1:]))))
+    return out
+
+
+def others(lo: int, hi: int, edits: int, a: int, b: int, common: np.ndarray) -> list[tuple[int, int]]:
+    """(start, words 1 or 2) within edits + 1 disjoint parts of a stretch outside [a, b), one of which is unchanged.
+
+    Words of common pairs are left out (``common`` says of each word whether it is in one), unless the rest is too short.
+    """
+    want = edits + 1
+    outside = [i for i in range(lo, hi) if not a <= i < b]
+    free = [i for i in outside if not common[i]]
+    if len(free) < want:
+        free = outside
+    ends = [k for k in range(len(free)) if k + 1 == len(free) or free[k + 1] != free[k] + 1]
+    pieces = [(free[k0], free[k1] + 1) for k0, k1 in zip([0, *(k + 1 for k in ends)], ends)]
+    size = len(free) // want
+    while sum((y - x) // size for x, y in pieces) < want:
+        size -= 1
+    return [(x + size * i, min(size, 2)) for x, y in pieces for i in range((y - x) // size)][:want]
 
 
 def _fold_batches(batches):
-    codes: dict[str, int] = {}
+    coder = Coder()
     for pdf in batches:
         rows = []
         for i, split, source, text in zip(pdf["id"], pdf["split"], pdf["source"], pdf["text"]):
             w = words(text)
             if len(w) < MIN_WORDS:
                 continue
-            if len(codes) > 500_000:
-                codes.clear()
-            coded = np.fromiter((codes.get(x) or codes.setdefault(x, (zlib.crc32(x.encode()) & 0x7FFFFFFE) + 1) for x in w), np.int32, len(w))
-            raw = coded.tobytes()
-            rows.append((i, split, source, xxhash.xxh3_64_intdigest(raw) >> 1, len(w), raw))
+            raw = coder(w).tobytes()
+            rows.append((i, split, source, xxhash.xxh3_128_digest(raw), len(w), raw))
         yield pd.DataFrame(rows, columns=["id", "split", "source", "class", "n", "words"])
 
 
-def _passages(batches):
-    """Each held-out class becomes max_edits + 1 passages of near-equal length."""
-    for pdf in batches:
-        rows = []
-        for cls, raw in zip(pdf["class"], pdf["words"]):
-            w = np.frombuffer(raw, np.int32)
-            parts = min(max_edits(len(w)) + 1, len(w))
-            cuts = [len(w) * i // parts for i in range(parts + 1)]
-            for a, b in zip(cuts, cuts[1:]):
-                rows.append((cls, a, b - a, int(w[a]), int(w[min(a + 1, b - 1)]), raw))
-        yield pd.DataFrame(rows, columns=["class", "at", "length", "w0", "w1", "words"])
-
-
-def _shard(a, b, shards: int):
-    return ((a.astype(np.int64) * 1_000_003 + b) % 2_147_483_647) % shards
-
-
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edit distance, or most + 1 if it is greater; only the diagonal band of width most is filled."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    a, b = a.tolist(), b.tolist()
-    far = most + 1
-    prev = {j: j for j in range(min(m, most) + 1)}
-    for i in range(1, n + 1):
-        cur = {}
-        lo, hi = max(0, i - most), min(m, i + most)
-        for j in range(lo, hi + 1):
-            if j == 0:
-                cur[0] = i
-                continue
-            best = prev.get(j - 1, far) + (a[i - 1] != b[j - 1])
-            best = min(best, prev.get(j, far) + 1, cur.get(j - 1, far) + 1)
-            cur[j] = best
-        if min(cur.values()) > most:
-            return far
-        prev = cur
-    return min(prev.get(m, far), far)
-
-
-def _signatures(texts: list[np.ndarray]) -> np.ndarray:
-    """128-bit sets of words, as two 64-bit columns."""
-    sig = np.zeros((len(texts), 2), np.uint64)
-    for i, t in enumerate(texts):
-        h = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
-        low = h < 64
-        sig[i, 0] = np.bitwise_or.reduce(np.uint64(1) << h[low]) if low.any() else 0
-        sig[i, 1] = np.bitwise_or.reduce(np.uint64(1) << (h[~low] - np.uint64(64))) if (~low).any() else 0
-    return sig
-
-
-_MATCHED = "train_class long, held_class long, edits int, covered int, held_words int"
+def _signatures(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """128-bit sets of words, as two numbers, of the texts that begin there in ``flat``."""
+    h = (flat * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    sides = [np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), begin) for side in (h < 64, h >= 64)]
+    return np.stack(sides, axis=1)
+
+
+def _isin(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys if len(ordered) else np.zeros(len(keys), bool)
+
+
+def _joint(passage: np.ndarray, part: np.ndarray, words: int) -> np.ndarray:
+    """Key of a common passage together with one or two words outside it."""
+    return mixed(passage * _PAIR + np.uint64(words), part)
+
+
+def _patterns(common: np.ndarray, pairs: np.ndarray):
+    """Held-out classes as passages; a common passage once with each of the parts outside it."""
+
+    def run(batches):
+        for pdf in (part for whole in batches for part in slices(whole, whole["words"].map(len).to_numpy() // 8)):
+            rows = []
+            for cls, raw in zip(pdf["class"], pdf["words"]):
+                w = np.frombuffer(raw, np.uint64)
+                two, often = window_hashes(w, 2), np.zeros(len(w), bool)
+                sig = _signatures(w, np.zeros(1, np.int64))[0].view(np.int64).tolist()
+                if len(common):
+                    at = _isin(two, pairs)
+                    often[:-1] |= at
+                    often[1:] |= at
+                for lo, hi, edits, cuts in passages(len(w)):
+                    for a, b in cuts:
+                        passage = window_hashes(w[a:b], b - a)
+                        rest = [cls, len(w), a, b - a, w[a:b].tobytes()]
+                        number = int(passage.view(np.int64)[0])
+                        if _isin(passage, common)[0]:
+                            for other, size in others(lo, hi, edits, a, b, often):
+                                joint = _joint(passage, (two if size == 2 else w)[other : other + 1], size)
+                                rows.append((int(joint.view(np.int64)[0]), number, *rest, other, size, *sig))
+                        else:
+                            rows.append((number, number, *rest, -1, 0, *sig))
+            yield pd.DataFrame(rows, columns=["key", "passage", "class", "n", "at", "length", "phrase", "other", "size", "sig0", "sig1"])
+
+    return run
+
+
+def _routes(shards: int, known, common: np.ndarray):
+    """Training texts with each shard that has a passage they may hold."""
+
+    def run(batches):
+        passes = known.value
+        for whole in batches:
+            for pdf in slices(whole, whole["n"].to_numpy()):
+                n = pdf["n"].to_numpy(np.int64)
+                flat = np.frombuffer(b"".join(pdf["words"]), np.uint64)
+                row, end = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
+                pairs = window_hashes(flat, 2)
+                found = []
+                for size in LENGTHS:
+                    h = window_hashes(flat, size)
+                    inside = np.flatnonzero(np.arange(len(h)) + size <= end[: len(h)])
+                    hit = inside[passes(h[inside])]
+                    found.append((row[hit], h[hit]))
+                    hit = inside[_isin(h[inside], common)]
+                    for part in np.array_split(hit, len(hit) // 20_000 + 1):
+                        r = row[part]
+                        at, owner = runs(end[part] - n[r], n[r])
+                        for words_, other in ((1, flat[at]), (2, np.append(pairs, pairs[-1:])[at])):
+                            k = _joint(h[part][owner], other, words_)
+                            good = passes(k)
+                            found.append((r[owner[good]], k[good]))
+                r, k = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                route = np.unique(r * np.int64(shards) + (k % np.uint64(shards)).astype(np.int64)) if len(r) else np.empty(0, np.int64)
+                take = pdf.iloc[route // shards]
+                yield pd.DataFrame({"shard": (route % shards).astype(np.int32), "class": take["class"].to_numpy(), "n": take["n"].to_numpy(), "words": take["words"].to_numpy()})
+
+    return run
+
+
+def _parts(many: np.ndarray, most: int = 500_000) -> list[np.ndarray]:
+    """Places of ``many`` in parts whose numbers add up to about ``most``, those of nothing left out."""
+    some = np.flatnonzero(many)
+    return np.split(some, np.flatnonzero(np.diff(np.cumsum(many[some]) // most)) + 1) if len(some) else []
 
 
 def _scan(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """One automaton over a shard's passages, run over a bounded block of training texts."""
     import ahocorasick
 
-    columns = ["train_class", "held_class", "edits", "covered", "held_words"]
+    columns = ["train_class", "held_class", "train_words", "spans"]
     if not len(train) or not len(held):
         return pd.DataFrame([], columns=columns)
-    classes: dict[int, int] = {}
-    texts: list[np.ndarray] = []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    patterns: list[list[tuple[int, int]]] = []
-    lengths: list[int] = []
-    for cls, at, length, raw in zip(held["class"], held["at"], held["length"], held["words"]):
-        k = classes.get(cls)
-        if k is None:
-            k = classes[cls] = len(texts)
-            texts.append(np.frombuffer(raw, np.int32))
-        phrase = tuple(texts[k][at : at + length].tolist())
-        number = automaton.get(phrase, None)
-        if number is None:
-            number = len(patterns)
-            automaton.add_word(phrase, number)
-            patterns.append([])
-            lengths.append(length)
-        patterns[number].append((k, at))
+    passage, phrase, length = (held[c].to_numpy() for c in ("passage", "phrase", "length"))
+    numbers, first, number = np.unique(passage, return_index=True, return_inverse=True)
+    # The automaton takes small numbers: a word's place among the shard's own words, 0 for any other.
+    own = np.unique(np.frombuffer(b"".join(phrase[first]), np.uint64))
+
+    def numbered(w: np.ndarray) -> tuple[int, ...]:
+        place = np.minimum(np.searchsorted(own, w), len(own) - 1)
+        return tuple(np.where(own[place] == w, place + 1, 0).tolist())
+
+    for j, i in enumerate(first.tolist()):
+        automaton.add_word(numbered(np.frombuffer(phrase[i], np.uint64)), j)
     automaton.make_automaton()
-    start = np.cumsum([0] + [len(p) for p in patterns])
-    owner = np.array([k for p in patterns for k, _ in p], np.int64)
-    owner_at = np.array([at for p in patterns for _, at in p], np.int64)
-    lengths_a = np.array(lengths, np.int64)
-    held_class = np.array(list(classes), np.int64)
-    held_n = np.array([len(t) for t in texts], np.int64)
-    held_sig = _signatures(texts)
+    n, at, other, size = (held[c].to_numpy(np.int64) for c in ("n", "at", "other", "size"))
+    sig = held[["sig0", "sig1"]].to_numpy(np.int64).view(np.uint64)
+    # Plain rows by number of their passage; rows of common passages by their key.
+    plain = np.flatnonzero(other < 0)
+    plain = plain[np.argsort(number[plain], kind="stable")]
+    begin = np.searchsorted(number[plain], np.arange(len(numbers) + 1))
+    paired = np.flatnonzero(other >= 0)
+    keys = held["key"].to_numpy(np.int64).view(np.uint64)
+    paired = paired[np.argsort(keys[paired], kind="stable")]
+    keys = keys[paired]
+    common = np.zeros(len(numbers), bool)
+    common[number[paired]] = True
 
     out = []
-    raws, ids = train["words"].tolist(), train["class"].tolist()
-    for lo in range(0, len(ids), 2000):
-        block = [np.frombuffer(r, np.int32) for r in raws[lo : lo + 2000]]
-        hits = []
-        for t, w in enumerate(block):
-            hits += [(t, end, number) for end, number in automaton.iter(tuple(w.tolist()))]
-        if not hits:
+    classes = held["class"].to_numpy()
+    for block in slices(train, train["n"].to_numpy(), 50_000):
+        raws, m = block["words"].tolist(), block["n"].to_numpy(np.int64)
+        flat, starts = np.frombuffer(b"".join(raws), np.uint64), np.cumsum(m) - m
+        # Texts stand end to end; what reaches over a border is no hit.
+        hits = np.array(list(automaton.iter(numbered(flat))), np.int64).reshape(-1, 2)
+        here, j = hits[:, 0] - length[first[hits[:, 1]]] + 1, hits[:, 1]
+        t = np.searchsorted(starts, hits[:, 0], "right") - 1
+        whole = here >= starts[t]
+        t, j, here = t[whole], j[whole], (here - starts[t])[whole]
+        if not len(t):
             continue
-        h = np.array(hits, np.int64)
-        many = start[h[:, 2] + 1] - start[h[:, 2]]
-        row = np.repeat(np.arange(len(h)), many)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[h[:, 2]], many)
-        t, k, here, there = h[row, 0], owner[at], h[row, 1] - lengths_a[h[row, 2]] + 1, owner_at[at]
-        n = np.array([len(w) for w in block], np.int64)[t]
-        most = np.maximum(n, held_n[k]) // ONE_IN
-        ok = (np.abs(n - held_n[k]) <= most) & (np.abs(here - there) <= most)
-        t, k, there, number, most = t[ok], k[ok], there[ok], h[row, 2][ok], most[ok]
-        sig = _signatures(block)
-        missing = np.bitwise_count(held_sig[k] & ~sig[t]).sum(1)
-        extra = np.bitwise_count(sig[t] & ~held_sig[k]).sum(1)
-        ok = (missing <= most) & (extra <= most)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for a, b, p, q in zip(t[ok].tolist(), k[ok].tolist(), there[ok].tolist(), number[ok].tolist()):
-            found.setdefault((a, b), []).append((p, p + lengths[q]))
-        for (a, b), spans in found.items():
-            limit = max(len(block[a]), len(texts[b])) // ONE_IN
-            edits = edit_distance(block[a], texts[b], limit)
+        mine = _signatures(flat, starts)
+        found: dict[tuple[int, bytes], set[tuple[int, int]]] = {}
+
+        def judge(t, k, here, place):
+            """Keep what length, places and words in common allow to be near."""
+            most = np.maximum(m[t], n[k]) // ONE_IN
+            ok = (np.abs(m[t] - n[k]) <= most) & (np.abs(here - at[k]) <= most)
+            ok &= (other[k] < 0) | (np.abs((place - here) - (other[k] - at[k])) <= most)
+            t, k, most = t[ok], k[ok], most[ok]
+            ok = (np.bitwise_count(sig[k] & ~mine[t]).sum(1) <= most) & (np.bitwise_count(mine[t] & ~sig[k]).sum(1) <= most)
+            for a, b in zip(t[ok].tolist(), k[ok].tolist()):
+                spans = found.setdefault((a, classes[b]), set())
+                spans.add((int(at[b]), int(at[b] + length[b])))
+                if other[b] >= 0:
+                    spans.add((int(other[b]), int(other[b] + size[b])))
+
+        many = begin[j + 1] - begin[j]
+        for part in _parts(many):
+            which, h = runs(begin[j[part]], many[part])
+            judge(t[part][h], plain[which], here[part][h], np.zeros(len(h), np.int64))
+        for i in np.flatnonzero(common[j]).tolist():
+            w = flat[starts[t[i]] : starts[t[i]] + m[t[i]]]
+            one = np.repeat(passage.view(np.uint64)[first[j[i]]], len(w))
+            probe = np.concatenate([_joint(one, w, 1), _joint(one[1:], window_hashes(w, 2), 2)])
+            low, high = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
+            for part in _parts(high - low):
+                which, place = runs(low[part], high[part] - low[part])
+                place = part[place]
+                judge(np.full(len(which), t[i]), paired[which], np.full(len(which), here[i]), np.where(place < len(w), place, place - len(w)))
+        ids = block["class"].tolist()
+        out += [(ids[a], b, raws[a], np.array(sorted(spans), np.int32).tobytes()) for (a, b), spans in found.items()]
+    return pd.DataFrame(out, columns=columns)
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Word edit distance, or most + 1 if it is greater; common ends are dropped and the band doubles until it holds the path."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    size = min(n, m)
+    differ = np.flatnonzero(a[:size] != b[:size])
+    head = int(differ[0]) if len(differ) else size
+    a, b = a[head:], b[head:]
+    size = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:size] != b[::-1][:size])
+    tail = int(differ[0]) if len(differ) else size
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    band = max(1, abs(n - m))
+    while True:
+        band = min(band, most)
+        found = _banded(a, b, band)
+        if found <= band or band == most:
+            return min(found, most + 1)
+        band *= 2
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Distance within the diagonals -band .. band; anything above ``band`` says only that it is greater."""
+    n, m, width = len(a), len(b), 2 * band + 1
+    far = n + m + 1
+    steps = np.arange(width)
+    # Cell d of row i is column i + d - band; the band beyond b's ends never matches and is too far.
+    padded = np.concatenate([np.zeros(band, np.uint64), b, np.zeros(band + max(0, n - m) + 1, np.uint64)])
+    row = np.where(steps >= band, steps - band, far)
+    row[band + m + 1 :] = far
+    for i in range(1, n + 1):
+        fresh = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
+        np.minimum(fresh[:-1], row[1:] + 1, out=fresh[:-1])
+        first = band - i
+        if first >= 0:
+            fresh[:first] = far
+            fresh[first] = i
+        if i + band > m:
+            fresh[m - i + band + 1 :] = far
+        row = np.minimum.accumulate(fresh - steps) + steps
+        if row.min() > band:
+            return band + 1
+    return int(row[m - n + band])
+
+
+def _verify(batches):
+    """Exact word distance of candidates, and the held-out words inside unchanged passages."""
+    for pdf in batches:
+        rows = []
+        for train, held, raw, other, spans in zip(pdf["train_class"], pdf["held_class"], pdf["train_words"], pdf["words"], pdf["spans"]):
+            a, b = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
+            limit = max(len(a), len(b)) // ONE_IN
+            edits = edit_distance(a, b, limit)
             if edits <= limit:
                 covered, reach = 0, 0
-                for x, y in sorted(spans):
+                for x, y in sorted(s for part in spans for s in np.frombuffer(part, np.int32).reshape(-1, 2).tolist()):
                     covered += max(0, y - max(x, reach))
                     reach = max(reach, y)
-                out.append((ids[lo + a], int(held_class[b]), edits, covered, len(texts[b])))
-    return pd.DataFrame(out, columns=columns)
+                rows.append((train, held, edits, covered, len(b)))
+        yield pd.DataFrame(rows, columns=["train_class", "held_class", "edits", "covered", "held_words"])
 
 
 def current_utterances(segments: DataFrame, splits: DataFrame) -> DataFrame:
@@ -186,6 +331,46 @@ def current_utterances(segments: DataFrame, splits: DataFrame) -> DataFrame:
     return text.join(named, "id").select("id", "split", "source", "text")
 
 
+def _word_pairs(batches):
+    for pdf in batches:
+        found = [np.unique(window_hashes(np.frombuffer(raw, np.uint64), 2)) for raw in pdf["words"]]
+        yield pd.DataFrame({"pair": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+
+
+def _common(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Sorted hashes that more than COMMON_TEXTS rows and one in COMMON_ONE_IN have, hence at most that many; rows in all."""
+    counted = cut(hashes.groupBy(column).agg(F.count(F.lit(1)).alias("texts")))
+    total = counted.agg(F.sum("texts").alias("n")).first()["n"] or 0
+    often = counted.where(F.col("texts") > max(COMMON_TEXTS, total // COMMON_ONE_IN)).select(column).collect()
+    return np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)), total
+
+
+def routed_texts(folded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(held classes, their patterns with shard and block, training classes with shard and block)."""
+    spark = folded.sparkSession
+    held = cut(folded.where("split <> 'train'").groupBy("class").agg(F.first("words").alias("words")))
+    none = np.empty(0, np.uint64)
+    plain = held.mapInPandas(_patterns(none, none), _PATTERN)
+    common, total = _common(plain, "passage")
+    if len(common):
+        patterns = cut(held.mapInPandas(_patterns(common, _common(held.mapInPandas(_word_pairs, "pair long"), "pair")[0]), _PATTERN))
+    else:
+        patterns = plain
+    count = patterns.count() if len(common) else total
+    shards = count // PASSAGES_PER_SHARD + 1
+    known = spark.sparkContext.broadcast(bit_filter(patterns, "key", count))
+    routed = folded.where("split = 'train'").select("class", "n", "words").mapInPandas(_routes(shards, known, common), "shard int, class binary, n int, words binary")
+    routed = cut(routed.groupBy("shard", "class").agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    blocks = routed.groupBy("shard").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / WORDS_PER_TASK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    train = routed.join(blocks, "shard").select("shard", block.alias("block"), "class", "n", "words")
+    # The routes take keys as unsigned, so the remainder of a negative long is put right.
+    shard = F.pmod(F.pmod("key", F.lit(shards)) + F.when(F.col("key") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
+    copies = blocks.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = patterns.withColumn("shard", shard.cast("int")).join(copies, "shard")
+    return held, placed, train
+
+
 def cross_split_overlaps(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members and class pairs of all overlaps between train and val or test.
 
@@ -196,44 +381,45 @@ def cross_split_overlaps(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     folded = cut(utterances.select("id", "split", "source", "text").mapInPandas(_fold_batches, _FOLDED))
     members = folded.select("id", "split", "source", "class")
-    train = folded.where("split = 'train'").groupBy("class").agg(F.first("words").alias("words"))
-    held = folded.where("split <> 'train'").groupBy("class").agg(F.first("words").alias("words"))
-    counts = folded.groupBy((F.col("split") == "train").alias("t")).agg(F.approx_count_distinct("class").alias("n"), F.sum(F.col("n") / 4).alias("p")).collect()
-    n_train = sum(r["n"] for r in counts if r["t"])
-    n_passages = sum(r["p"] for r in counts if not r["t"])
-    shards = int((n_passages or 0) // PASSAGES_PER_SHARD) + 1
-    salts = int(n_train // TEXTS_PER_TASK) + 1
-
-    @F.pandas_udf("array<int>")
-    def routes(raw: pd.Series) -> pd.Series:
-        def of(r):
-            w = np.frombuffer(r, np.int32)
-            return np.unique(_shard(np.concatenate([w[:-1], w]), np.concatenate([w[1:], w]), shards)).astype(np.int32)
-
-        return raw.map(of)
-
-    if shards > 1:
-        train = train.withColumn("shard", F.explode(routes("words")))
-    else:
-        train = train.withColumn("shard", F.lit(0))
-    train = train.select("shard", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int").alias("salt"), "class", "words")
-
-    def passages(batches):
-        for pdf in _passages(batches):
-            pdf["shard"] = _shard(pdf["w0"].to_numpy(np.int64), pdf["w1"].to_numpy(np.int64), shards).astype(np.int32)
-            yield pdf[["shard", "class", "at", "length", "words"]]
-
-    held = held.mapInPandas(passages, "shard int, class long, at int, length int, words binary")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = train.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(_scan, _MATCHED)
-    merged = pairs.groupBy("train_class", "held_class").agg(
-        F.min("edits").alias("edits"), F.least(F.sum("covered"), F.max("held_words")).cast("int").alias("covered"), F.max("held_words").alias("held_words")
-    )
-    return members, merged
+    held, patterns, train = routed_texts(folded)
+    candidates = train.groupBy("shard", "block").cogroup(patterns.groupBy("shard", "block")).applyInPandas(_scan, _CANDIDATE)
+    merged = candidates.groupBy("train_class", "held_class").agg(F.first("train_words").alias("train_words"), F.collect_set("spans").alias("spans"))
+    pairs = merged.join(held.withColumnRenamed("class", "held_class"), "held_class").mapInPandas(_verify, _MATCHED)
+    return members, cut(pairs)
 
 
-def overlap_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of records (train_id, held_id with splits and sources) of matched classes."""
+def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     train = members.where("split = 'train'").select(F.col("class").alias("train_class"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
     held = members.where("split <> 'train'").select(F.col("class").alias("held_class"), F.col("id").alias("held_id"), F.col("split").alias("held_split"), F.col("source").alias("held_source"))
+    return train, held
+
+
+def overlap_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of records (train_id, held_id with splits and sources) of matched classes."""
+    train, held = _sides(members)
     return pairs.join(train, "train_class").join(held, "held_class").where(F.col("train_id") != F.col("held_id"))
+
+
+def overlap_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(held_id, held_split, held_source, partners, edits, coverage) of the held-out records with a partner.
+
+    Partners are counted from the sizes of the classes, so copies on both sides are never paired. An id that is also in
+    train isn't its own partner.
+    """
+    train, held = _sides(members)
+    sizes = train.groupBy("train_class").agg(F.count(F.lit(1)).alias("size"))
+    share = F.col("covered") / F.col("held_words")
+    same = F.col("train_class") == F.col("held_class")
+    met = pairs.join(sizes, "train_class").groupBy("held_class").agg(
+        F.coalesce(F.sum(F.when(same, F.col("size"))), F.lit(0)).alias("copies"), F.coalesce(F.sum(F.when(~same, F.col("size"))), F.lit(0)).alias("others"),
+        F.min(F.when(~same, F.col("edits"))).alias("edits"), F.max(F.when(~same, share)).alias("coverage"), F.max(F.when(same, share)).alias("own_coverage"),
+    )
+    own = train.select(F.col("train_id").alias("held_id"), F.col("train_class").alias("held_class"), F.lit(1).alias("itself")).distinct()
+    rows = held.join(own, ["held_id", "held_class"], "left").join(met, "held_class")
+    copies = F.col("copies") - F.coalesce("itself", F.lit(0))
+    rows = rows.withColumn("copies", copies).withColumn("partners", F.col("copies") + F.col("others")).where("partners > 0")
+    exact = F.col("copies") > 0
+    return rows.select(
+        "held_id", "held_split", "held_source", "partners", F.when(exact, 0).otherwise(F.col("edits")).alias("edits"),
+        F.when(exact, F.greatest("own_coverage", F.coalesce("coverage", F.lit(0.0)))).otherwise(F.col("coverage")).alias("coverage"),
+    )

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sozmill.llm.coded import Coder, window_hashes
 from sozmill.llm.fold import _TABLE
 from sozmill.session import cut
 
@@ -30,7 +31,6 @@ _TIME = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])>]?")
 #: One or two words and a colon where a sentence can start: after a terminator, a closing mark, a dash or a blank line.
 _LABEL = re.compile(r"(\A|[.!?…。！？।؟»”\"“)\]—–-]|\n[^\S\n]*\n)\s*(?:[^\W\d_]+ )?[^\W\d_]+:(?=\s)")
 _WORD = re.compile(r"[^\W_]+")
-_MASK = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -44,38 +44,6 @@ def plain_words(text: str | None) -> list[str]:
     return _WORD.findall(low)
 
 
-class Coder:
-    """Word numbers: a stable 64-bit hash per word, remembered while the vocabulary stays small."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, w in enumerate(words):
-                if out[i] is None:
-                    out[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array(out, np.uint64)
-
-
-def window_hashes(codes: np.ndarray, size: int = SEED) -> np.ndarray:
-    """Hash of every window of ``size`` words."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out = (out ^ codes[i : i + n]) * _MASK
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, differ: int = -1, skip: int = -1) -> np.ndarray:
     """Best local alignment score of each pair of rows; 0 pads rows of ``a`` and 1 rows of ``b``."""
     best = np.zeros(len(a), np.int32)
@@ -153,7 +121,7 @@ def _aligned(pairs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]])
 
 def _seed_table(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted seed hashes with item number and position."""
-    hashes = [window_hashes(codes) for _, codes in items]
+    hashes = [window_hashes(codes, SEED) for _, codes in items]
     h = np.concatenate([np.empty(0, np.uint64), *hashes])
     owner = np.concatenate([np.empty(0, np.int64), *[np.full(len(x), i, np.int64) for i, x in enumerate(hashes)]])
     at = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in hashes]])
@@ -164,7 +132,7 @@ def _seed_table(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.nda
 def _joined(codes: np.ndarray, seeds) -> list[tuple[int, list[tuple[int, int]]]]:
     """Item numbers with hits (document position, item position), rarest seed first."""
     h, owner, at = seeds
-    mine = window_hashes(codes)
+    mine = window_hashes(codes, SEED)
     if not len(mine) or not len(h):
         return []
     low = np.searchsorted(h, mine, "left")
@@ -224,7 +192,7 @@ def _shuffled(docs: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
             for pdf in batches:
                 ids, at, hs = [], [], []
                 for i, t in zip(pdf[name].tolist(), pdf["text"].tolist()):
-                    h = window_hashes(coder(plain_words(t)))
+                    h = window_hashes(coder(plain_words(t)), SEED)
                     ids.append(np.full(len(h), i, np.int64))
                     at.append(np.arange(len(h), dtype=np.int64))
                     hs.append(h.view(np.int64))

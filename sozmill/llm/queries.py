@@ -89,22 +89,23 @@ def p4_containers(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def _overlaps(spark: SparkSession, base: str) -> DataFrame:
-    from sozmill.llm.contamination import cross_split_overlaps, current_utterances, overlap_pairs
+def _overlaps(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    from sozmill.llm.contamination import cross_split_overlaps, current_utterances
 
-    return overlap_pairs(*cross_split_overlaps(current_utterances(table(spark, base, "segments"), table(spark, base, "segment_splits"))))
+    return cross_split_overlaps(current_utterances(table(spark, base, "segments"), table(spark, base, "segment_splits")))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    pairs = _overlaps(spark, base)
+    from sozmill.llm.contamination import overlap_pairs
+
+    pairs = overlap_pairs(*_overlaps(spark, base))
     return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, base: str) -> DataFrame:
-    pairs = _overlaps(spark, base).groupBy("held_split", "held_source", "held_id").agg(
-        F.count(F.lit(1)).alias("partners"), F.max(F.col("covered") / F.col("held_words")).alias("coverage"), F.min("edits").alias("edits")
-    )
-    return pairs.groupBy(F.col("held_split").alias("split"), F.col("held_source").alias("source")).agg(
+    from sozmill.llm.contamination import overlap_records
+
+    return overlap_records(*_overlaps(spark, base)).groupBy(F.col("held_split").alias("split"), F.col("held_source").alias("source")).agg(
         F.count(F.lit(1)).alias("records"), F.sum("partners").alias("pairs"), F.count_if(F.col("edits") == 0).alias("exact_records"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
     )
 

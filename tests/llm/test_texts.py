@@ -1,6 +1,8 @@
 """Language runs, sentence units, leaks, cross-split overlaps and mixing on small fixtures with known answers."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,15 +233,81 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     want = {(a, b) for a in train for b in held if abs(len(folded[a]) - len(folded[b])) < 9 and plain(folded[a], folded[b]) <= max(len(folded[a]), len(folded[b])) // 6}
     assert len(want) > 20
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, split string, source string, text string, class int")
-    for shard, block in ((200_000, 40_000), (20, 25)):  # one shard, and many shards and blocks
+    # Large and many small shards and blocks, and every passage shared by two texts taken as common.
+    for shard, block, common in ((200_000, 2_000_000, 200), (20, 300, 200), (20, 300, 1)):
         monkeypatch.setattr(contamination, "PASSAGES_PER_SHARD", shard)
-        monkeypatch.setattr(contamination, "TEXTS_PER_TASK", block)
+        monkeypatch.setattr(contamination, "WORDS_PER_TASK", block)
+        monkeypatch.setattr(contamination, "COMMON_TEXTS", common)
         pairs = contamination.overlap_pairs(*contamination.cross_split_overlaps(df)).collect()
         assert {(r["train_id"], r["held_id"]) for r in pairs} == want
         assert all(0 < r["covered"] <= r["held_words"] for r in pairs)
+    members, matched = contamination.cross_split_overlaps(df)
+    records = {r["held_id"]: r["partners"] for r in contamination.overlap_records(members, matched).collect()}
+    assert records == Counter(b for _, b in want)
     assert contamination.overlap_pairs(*contamination.cross_split_overlaps(df.limit(0))).collect() == []
 
 
+def test_passages_lose_nothing():
+    for n in [*range(8, 400), 1999, 30_000]:
+        stretches = contamination.passages(n)
+        flat = [p for *_, cuts in stretches for p in cuts]
+        assert flat[0][0] == 0 and flat[-1][1] == n and all(a[1] == b[0] for a, b in zip(flat, flat[1:]))
+        assert all(b - a in contamination.LENGTHS for a, b in flat)
+        # Were each stretch to have one edit more than it may, the text would have more than it may.
+        assert sum(edits + 1 for _, _, edits, _ in stretches) > contamination.max_edits(n)
+        often = np.arange(n) % 7 < 3
+        for lo, hi, edits, cuts in stretches[:3]:
+            for a, b in cuts:
+                for common in (often, ~often, often | True):
+                    places = contamination.others(lo, hi, edits, a, b, common)
+                    assert len(places) == edits + 1 and all(lo <= p and p + s <= hi and (p + s <= a or p >= b) for p, s in places)
+                    assert all(p + s <= q for (p, s), (q, _) in zip(places, places[1:]))
+
+
+def test_edit_distance_of_long_texts():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = rng.integers(1, 4, rng.integers(1, 14)).astype(np.uint64)
+        b = rng.integers(1, 4, rng.integers(1, 14)).astype(np.uint64)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + int(x != y)))
+            row = new
+        for most in (1, 3, 20):
+            assert contamination.edit_distance(a, b, most) == min(row[-1], most + 1)
+    a = rng.integers(1, 1 << 60, 30_000).astype(np.uint64)
+    b = np.delete(a, rng.choice(30_000, 700, replace=False))
+    began = time.time()
+    assert contamination.edit_distance(a, b, 5_000) == 700
+    assert time.time() - began < 20
+
+
+def test_routes_grow_with_the_rows(spark, monkeypatch):
+    """Texts sent to automata, and automata, at most double when the rows do; an opening that all texts share makes no difference."""
+    monkeypatch.setattr(contamination, "PASSAGES_PER_SHARD", 20)
+    monkeypatch.setattr(contamination, "WORDS_PER_TASK", 5_000)
+    monkeypatch.setattr(contamination, "COMMON_TEXTS", 10)
+    rng = random.Random(14)
+    letters = ["".join(rng.choice("abdefghiklmnoprstuvxz") for _ in range(7)) for _ in range(150_000)]
+    text = lambda n: [rng.choice(letters) for _ in range(n)]
+    opening = text(6)
+    for shared in (False, True):
+        sent, automata, held_rows = [], [], []
+        for n in (1_000, 2_000, 4_000, 8_000):
+            rows = [(i, "val" if i % 20 == 0 else "train", "s", " ".join((opening if shared and i % 3 == 0 else []) + text(14))) for i in range(n)]
+            rows += [(n + i, "train", "s", rows[20 * i][3]) for i in range(n // 40)]
+            df = spark.createDataFrame([(str(i), *r) for i, *r in rows], "id string, split string, source string, text string")
+            folded = contamination.cut(df.mapInPandas(contamination._fold_batches, contamination._FOLDED))
+            _, patterns, train = contamination.routed_texts(folded)
+            sent.append(train.count())
+            automata.append(patterns.select("shard", "block").distinct().count())
+            held_rows.append(patterns.count())
+        for counts in (sent, automata, held_rows):
+            assert all(b <= 2.3 * a + 20 for a, b in zip(counts, counts[1:])), (shared, sent, automata, held_rows)
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
