@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,27 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a private one only where none is set."""
+    """This application's folder in the shared one that spark.checkpoint.dir names; it is deleted when the application ends.
+
+    Only a local session may do without the setting: it gets a folder of its own machine, which is all there is.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sozmill-checkpoint-"))
+    files, path = _file_system(spark, context.getCheckpointDir())
+    files.deleteOnExit(path)
     return context.getCheckpointDir()
 
 
@@ -51,6 +65,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a compressed Parquet table beside the checkpoints: for wide rows of which later stages read some columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def parallelism(df: DataFrame) -> int:
     """Partitions for an explicit repartitioning: the session's shuffle setting, never below the cluster's slots."""
     spark = df.sparkSession
