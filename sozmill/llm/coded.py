@@ -1,4 +1,4 @@
-"""Words as 64-bit numbers, hashes of word windows, and bit filters over such hashes."""
+"""Words as 64-bit numbers, hashes of word windows, and a filter over the hashes of placed passages."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(29)
 #: Words that a task works on at once, whatever the number of rows they come from.
 WORDS_AT_ONCE = 1_000_000
-#: A filter has this many bits for each hash, between the two bounds; the upper one is 32 MB that every task gets.
-BITS_PER_HASH = 64
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: A filter has this many slots of 32 bits for each passage, between the two bounds; the upper one is 32 MB that every task gets.
+SLOTS_PER_HASH = 8
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 
 
 class Coder:
@@ -72,41 +72,62 @@ def slices(pdf: pd.DataFrame, n: np.ndarray, most: int = WORDS_AT_ONCE) -> Itera
         yield pdf.iloc[begin:]
 
 
-class BitFilter:
-    """Says of a hash whether it may be in a set; two bits for each, never a wrong no."""
+def _turned(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Sixteen bits of which ``width`` are set from number ``low`` on, going round."""
+    width = np.minimum(width, 16).astype(np.uint32)
+    bits = ((np.uint32(1) << width) - np.uint32(1)) << (low % 16).astype(np.uint32)
+    return (bits | (bits >> np.uint32(16))) & np.uint32(0xFFFF)
 
-    def __init__(self, bits: int, words: np.ndarray) -> None:
-        self.bits, self.words = np.uint64(bits - 1), words
+
+def _length_bucket(n: np.ndarray) -> np.ndarray:
+    """Texts whose lengths differ by a fifth at most are in the same or neighbouring buckets."""
+    return (np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+
+
+class PassageFilter:
+    """Says of a hash at a place of a text whether a passage of a near text may have it; never a wrong no.
+
+    A hash has two slots, a slot the buckets of text length and of place of all passages that share it.
+    """
+
+    def __init__(self, slots: np.ndarray) -> None:
+        self.slots, self.last = slots, np.uint64(len(slots) - 1)
 
     @staticmethod
-    def positions(keys: np.ndarray, bits: int) -> np.ndarray:
-        mask = np.uint64(bits - 1)
-        return np.concatenate([keys & mask, (keys >> np.uint64(33)) & mask])
+    def marks(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        one = np.ones(len(n), np.int64)
+        return _turned(_length_bucket(n), one) | (_turned(at // 4, one) << np.uint32(16))
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for at in (keys & self.bits, (keys >> np.uint64(33)) & self.bits):
-            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
+    def __call__(self, keys: np.ndarray, n: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """``most`` is by how much places may differ."""
+        seen = self.slots[keys & self.last] & self.slots[(keys >> np.uint64(33)) & self.last]
+        out = np.flatnonzero(seen)
+        low = np.maximum(at[out] - most[out], 0) // 4
+        length, place = _turned(_length_bucket(n[out]) - 1, np.full(len(out), 3)), _turned(low, (at[out] + most[out]) // 4 - low + 1)
+        return out[((seen[out] & length) != 0) & (((seen[out] >> np.uint32(16)) & place) != 0)]
 
 
-def bit_filter(hashes: DataFrame, column: str, count: int) -> BitFilter:
-    """A filter of ``count`` hashes (longs), summed up in the cluster; what reaches the driver is at most MOST_BITS bits.
+def passage_filter(passages: DataFrame, count: int) -> PassageFilter:
+    """A filter of ``count`` passages (key long, n int, at int), summed up in the cluster; the driver gets MOST_SLOTS slots at most.
 
-    Beyond MOST_BITS / BITS_PER_HASH hashes it lets more through, and loses nothing.
+    Beyond MOST_SLOTS / SLOTS_PER_HASH passages it lets more through, and loses nothing.
     """
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, BITS_PER_HASH * count):
-        bits *= 2
+    size = LEAST_SLOTS
+    while size < min(MOST_SLOTS, SLOTS_PER_HASH * count):
+        size *= 2
 
     def touched(batches):
         for pdf in batches:
-            at = np.unique(BitFilter.positions(pdf[column].to_numpy(np.int64).view(np.uint64), bits))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            ored = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.empty(0, np.uint64)
-            yield pd.DataFrame({"word": word.astype(np.int32), "bits": ored.view(np.int64)})
-
-    found = hashes.select(column).mapInPandas(touched, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return BitFilter(bits, words)
+            keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
+            marks = PassageFilter.marks(pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64))
+            last = np.uint64(size - 1)
+            slot, marks = np.concatenate([keys & last, (keys >> np.uint64(33)) & last]), np.concatenate([marks, marks])
+            order = np.argsort(slot, kind="stable")
+            slot, first = np.unique(slot[order], return_index=True)
+            ored = np.bitwise_or.reduceat(marks[order], first) if len(slot) else marks
+            yield pd.DataFrame({"slot": slot.astype(np.int32), "marks": ored.view(np.int32)})
+
+    found = passages.select("key", "n", "at").mapInPandas(touched, "slot int, marks int").groupBy("slot").agg(F.bit_or("marks").alias("marks")).toArrow()
+    slots = np.zeros(size, np.uint32)
+    slots[found["slot"].to_numpy()] = found["marks"].to_numpy().view(np.uint32)
+    return PassageFilter(slots)

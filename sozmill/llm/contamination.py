@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sozmill.functions.keys import key, latest, split_name
-from sozmill.llm.coded import Coder, bit_filter, mixed, runs, slices, window_hashes
+from sozmill.llm.coded import Coder, mixed, passage_filter, runs, slices, window_hashes
 from sozmill.llm.fold import words
-from sozmill.session import cut
+from sozmill.session import cut, cut_to_table
 
 MIN_WORDS = 8
 ONE_IN = 6
@@ -34,9 +34,9 @@ LENGTHS = (3, 4, 5, 6)
 COMMON_TEXTS = 200
 COMMON_ONE_IN = 50_000
 
-_FOLDED = "id string, split string, source string, class binary, n int, words binary"
+_FOLDED = "id string, split string, source string, class binary, n int, text string"
 _PATTERN = "key long, passage long, class binary, n int, at int, length int, phrase binary, other int, size int, sig0 long, sig1 long"
-_CANDIDATE = "train_class binary, held_class binary, train_words binary, spans binary"
+_CANDIDATE = "train_class binary, held_class binary, train_text string, spans binary"
 _MATCHED = "train_class binary, held_class binary, edits int, covered int, held_words int"
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,16 +81,15 @@ def others(lo: int, hi: int, edits: int, a: int, b: int, common: np.ndarray) ->
 
 
 def _fold_batches(batches):
-    coder = Coder()
     for pdf in batches:
         rows = []
         for i, split, source, text in zip(pdf["id"], pdf["split"], pdf["source"], pdf["text"]):
             w = words(text)
             if len(w) < MIN_WORDS:
                 continue
-            raw = coder(w).tobytes()
-            rows.append((i, split, source, xxhash.xxh3_128_digest(raw), len(w), raw))
-        yield pd.DataFrame(rows, columns=["id", "split", "source", "class", "n", "words"])
+            folded = " ".join(w)
+            rows.append((i, split, source, xxhash.xxh3_128_digest(folded), len(w), folded))
+        yield pd.DataFrame(rows, columns=["id", "split", "source", "class", "n", "text"])
 
 
 def _signatures(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -101,6 +100,11 @@ def _signatures(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.stack(sides, axis=1)
 
 
+def _flat(texts: pd.Series, coder: Coder) -> np.ndarray:
+    """Numbers of the words of folded texts end to end."""
+    return coder(" ".join(texts).split(" ")) if len(texts) else np.empty(0, np.uint64)
+
+
 def _isin(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys if len(ordered) else np.zeros(len(keys), bool)
 
@@ -114,10 +118,11 @@ def _patterns(common: np.ndarray, pairs: np.ndarray):
     """Held-out classes as passages; a common passage once with each of the parts outside it."""
 
     def run(batches):
-        for pdf in (part for whole in batches for part in slices(whole, whole["words"].map(len).to_numpy() // 8)):
+        coder = Coder()
+        for pdf in (part for whole in batches for part in slices(whole, whole["n"].to_numpy())):
             rows = []
-            for cls, raw in zip(pdf["class"], pdf["words"]):
-                w = np.frombuffer(raw, np.uint64)
+            for cls, text in zip(pdf["class"], pdf["text"]):
+                w = coder(text.split(" "))
                 two, often = window_hashes(w, 2), np.zeros(len(w), bool)
                 sig = _signatures(w, np.zeros(1, np.int64))[0].view(np.int64).tolist()
                 if len(common):
@@ -141,34 +146,40 @@ def _patterns(common: np.ndarray, pairs: np.ndarray):
 
 
 def _routes(shards: int, known, common: np.ndarray):
-    """Training texts with each shard that has a passage they may hold."""
+    """Training texts with each shard that has a passage they may hold; a task sends a copy on once while its memory of classes lasts."""
 
     def run(batches):
-        passes = known.value
+        passes, sent, coder = known.value, set(), Coder()
         for whole in batches:
+            fresh = [c not in sent and not sent.add(c) for c in whole["class"]]
+            if len(sent) > 500_000:
+                sent.clear()
+            whole = whole[fresh]
             for pdf in slices(whole, whole["n"].to_numpy()):
                 n = pdf["n"].to_numpy(np.int64)
-                flat = np.frombuffer(b"".join(pdf["words"]), np.uint64)
-                row, end = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
+                flat = _flat(pdf["text"], coder)
+                start = np.cumsum(n) - n
+                row = np.repeat(np.arange(len(n)), n)
                 pairs = window_hashes(flat, 2)
                 found = []
+
+                def send(r: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
+                    good = passes(keys, n[r], at, max_edits(n[r]))
+                    found.append(np.unique(r[good] * np.int64(shards) + (keys[good] % np.uint64(shards)).astype(np.int64)))
+
                 for size in LENGTHS:
                     h = window_hashes(flat, size)
-                    inside = np.flatnonzero(np.arange(len(h)) + size <= end[: len(h)])
-                    hit = inside[passes(h[inside])]
-                    found.append((row[hit], h[hit]))
+                    inside = np.flatnonzero(row[: len(h)] == row[len(row) - len(h) :])
+                    send(row[inside], h[inside], inside - start[row[inside]])
                     hit = inside[_isin(h[inside], common)]
-                    for part in np.array_split(hit, len(hit) // 20_000 + 1):
-                        r = row[part]
-                        at, owner = runs(end[part] - n[r], n[r])
+                    for part in _parts(n[row[hit]]):
+                        p = hit[part]
+                        at, owner = runs(start[row[p]], n[row[p]])
                         for words_, other in ((1, flat[at]), (2, np.append(pairs, pairs[-1:])[at])):
-                            k = _joint(h[part][owner], other, words_)
-                            good = passes(k)
-                            found.append((r[owner[good]], k[good]))
-                r, k = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                route = np.unique(r * np.int64(shards) + (k % np.uint64(shards)).astype(np.int64)) if len(r) else np.empty(0, np.int64)
+                            send(row[p][owner], _joint(h[p][owner], other, words_), (p - start[row[p]])[owner])
+                route = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
                 take = pdf.iloc[route // shards]
-                yield pd.DataFrame({"shard": (route % shards).astype(np.int32), "class": take["class"].to_numpy(), "n": take["n"].to_numpy(), "words": take["words"].to_numpy()})
+                yield pd.DataFrame({"shard": (route % shards).astype(np.int32), "class": take["class"].to_numpy(), "n": take["n"].to_numpy(), "text": take["text"].to_numpy()})
 
     return run
 
@@ -183,9 +194,10 @@ def _scan(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """One automaton over a shard's passages, run over a bounded block of training texts."""
     import ahocorasick
 
-    columns = ["train_class", "held_class", "train_words", "spans"]
+    columns = ["train_class", "held_class", "train_text", "spans"]
     if not len(train) or not len(held):
         return pd.DataFrame([], columns=columns)
+    train = train.drop_duplicates("class")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     passage, phrase, length = (held[c].to_numpy() for c in ("passage", "phrase", "length"))
     numbers, first, number = np.unique(passage, return_index=True, return_inverse=True)
@@ -212,11 +224,11 @@ def _scan(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     common = np.zeros(len(numbers), bool)
     common[number[paired]] = True
 
-    out = []
+    out, coder = [], Coder()
     classes = held["class"].to_numpy()
     for block in slices(train, train["n"].to_numpy(), 50_000):
-        raws, m = block["words"].tolist(), block["n"].to_numpy(np.int64)
-        flat, starts = np.frombuffer(b"".join(raws), np.uint64), np.cumsum(m) - m
+        m = block["n"].to_numpy(np.int64)
+        flat, starts = _flat(block["text"], coder), np.cumsum(m) - m
         # Texts stand end to end; what reaches over a border is no hit.
         hits = np.array(list(automaton.iter(numbered(flat))), np.int64).reshape(-1, 2)
         here, j = hits[:, 0] - length[first[hits[:, 1]]] + 1, hits[:, 1]
@@ -245,17 +257,23 @@ def _scan(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         for part in _parts(many):
             which, h = runs(begin[j[part]], many[part])
             judge(t[part][h], plain[which], here[part][h], np.zeros(len(h), np.int64))
-        for i in np.flatnonzero(common[j]).tolist():
-            w = flat[starts[t[i]] : starts[t[i]] + m[t[i]]]
-            one = np.repeat(passage.view(np.uint64)[first[j[i]]], len(w))
-            probe = np.concatenate([_joint(one, w, 1), _joint(one[1:], window_hashes(w, 2), 2)])
-            low, high = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-            for part in _parts(high - low):
-                which, place = runs(low[part], high[part] - low[part])
-                place = part[place]
-                judge(np.full(len(which), t[i]), paired[which], np.full(len(which), here[i]), np.where(place < len(w), place, place - len(w)))
-        ids = block["class"].tolist()
-        out += [(ids[a], b, raws[a], np.array(sorted(spans), np.int32).tobytes()) for (a, b), spans in found.items()]
+        hot = np.flatnonzero(common[j])
+        pairs = window_hashes(flat, 2)
+        for part in _parts(m[t[hot]]):
+            i = hot[part]
+            at_word, owner = runs(starts[t[i]], m[t[i]])
+            i = i[owner]
+            for words_, values in ((1, flat), (2, np.append(pairs, pairs[-1:]))):
+                probe = _joint(passage.view(np.uint64)[first[j[i]]], values[at_word], words_)
+                low = np.searchsorted(keys, probe, "left")
+                met = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == probe)
+                many_ = np.searchsorted(keys, probe[met], "right") - low[met]
+                for few in _parts(many_):
+                    which, h = runs(low[met[few]], many_[few])
+                    x = met[few][h]
+                    judge(t[i[x]], paired[which], here[i[x]], at_word[x] - starts[t[i[x]]])
+        ids, texts = block["class"].tolist(), block["text"].tolist()
+        out += [(ids[a], b, texts[a], np.array(sorted(spans), np.int32).tobytes()) for (a, b), spans in found.items()]
     return pd.DataFrame(out, columns=columns)
 
 
@@ -289,7 +307,7 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     far = n + m + 1
     steps = np.arange(width)
     # Cell d of row i is column i + d - band; the band beyond b's ends never matches and is too far.
-    padded = np.concatenate([np.zeros(band, np.uint64), b, np.zeros(band + max(0, n - m) + 1, np.uint64)])
+    padded = np.concatenate([np.zeros(band, b.dtype), b, np.zeros(band + max(0, n - m) + 1, b.dtype)])
     row = np.where(steps >= band, steps - band, far)
     row[band + m + 1 :] = far
     for i in range(1, n + 1):
@@ -311,8 +329,10 @@ def _verify(batches):
     """Exact word distance of candidates, and the held-out words inside unchanged passages."""
     for pdf in batches:
         rows = []
-        for train, held, raw, other, spans in zip(pdf["train_class"], pdf["held_class"], pdf["train_words"], pdf["words"], pdf["spans"]):
-            a, b = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
+        for train, held, text, other, spans in zip(pdf["train_class"], pdf["held_class"], pdf["train_text"], pdf["text"], pdf["spans"]):
+            # The pair's own words by number, so words are compared as they are.
+            numbers: dict[str, int] = {}
+            a, b = (np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split(" ")], np.int64) for t in (text, other))
             limit = max(len(a), len(b)) // ONE_IN
             edits = edit_distance(a, b, limit)
             if edits <= limit:
@@ -332,8 +352,9 @@ def current_utterances(segments: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def _word_pairs(batches):
+    coder = Coder()
     for pdf in batches:
-        found = [np.unique(window_hashes(np.frombuffer(raw, np.uint64), 2)) for raw in pdf["words"]]
+        found = [np.unique(window_hashes(coder(text.split(" ")), 2)) for text in pdf["text"]]
         yield pd.DataFrame({"pair": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
 
 
@@ -348,7 +369,7 @@ def _common(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
 def routed_texts(folded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(held classes, their patterns with shard and block, training classes with shard and block)."""
     spark = folded.sparkSession
-    held = cut(folded.where("split <> 'train'").groupBy("class").agg(F.first("words").alias("words")))
+    held = cut_to_table(folded.where("split <> 'train'").groupBy("class").agg(F.first("n").alias("n"), F.first("text").alias("text")))
     none = np.empty(0, np.uint64)
     plain = held.mapInPandas(_patterns(none, none), _PATTERN)
     common, total = _common(plain, "passage")
@@ -358,12 +379,11 @@ def routed_texts(folded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         patterns = plain
     count = patterns.count() if len(common) else total
     shards = count // PASSAGES_PER_SHARD + 1
-    known = spark.sparkContext.broadcast(bit_filter(patterns, "key", count))
-    routed = folded.where("split = 'train'").select("class", "n", "words").mapInPandas(_routes(shards, known, common), "shard int, class binary, n int, words binary")
-    routed = cut(routed.groupBy("shard", "class").agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    known = spark.sparkContext.broadcast(passage_filter(patterns, count))
+    routed = cut_to_table(folded.where("split = 'train'").select("class", "n", "text").mapInPandas(_routes(shards, known, common), "shard int, class binary, n int, text string"))
     blocks = routed.groupBy("shard").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / WORDS_PER_TASK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    train = routed.join(blocks, "shard").select("shard", block.alias("block"), "class", "n", "words")
+    train = routed.join(blocks, "shard").select("shard", block.alias("block"), "class", "n", "text")
     # The routes take keys as unsigned, so the remainder of a negative long is put right.
     shard = F.pmod(F.pmod("key", F.lit(shards)) + F.when(F.col("key") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
     copies = blocks.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -379,11 +399,11 @@ def cross_split_overlaps(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared once. Returns (members: id, split, source, class) and (pairs: train_class, held_class, edits, covered,
     held_words), ``covered`` being the held-out words inside unchanged passages. Empty inputs give empty results.
     """
-    folded = cut(utterances.select("id", "split", "source", "text").mapInPandas(_fold_batches, _FOLDED))
+    folded = cut_to_table(utterances.select("id", "split", "source", "text").mapInPandas(_fold_batches, _FOLDED))
     members = folded.select("id", "split", "source", "class")
     held, patterns, train = routed_texts(folded)
     candidates = train.groupBy("shard", "block").cogroup(patterns.groupBy("shard", "block")).applyInPandas(_scan, _CANDIDATE)
-    merged = candidates.groupBy("train_class", "held_class").agg(F.first("train_words").alias("train_words"), F.collect_set("spans").alias("spans"))
+    merged = candidates.groupBy("train_class", "held_class").agg(F.first("train_text").alias("train_text"), F.collect_set("spans").alias("spans"))
     pairs = merged.join(held.withColumnRenamed("class", "held_class"), "held_class").mapInPandas(_verify, _MATCHED)
     return members, cut(pairs)
 

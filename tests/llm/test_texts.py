@@ -299,7 +299,7 @@ def test_routes_grow_with_the_rows(spark, monkeypatch):
             rows = [(i, "val" if i % 20 == 0 else "train", "s", " ".join((opening if shared and i % 3 == 0 else []) + text(14))) for i in range(n)]
             rows += [(n + i, "train", "s", rows[20 * i][3]) for i in range(n // 40)]
             df = spark.createDataFrame([(str(i), *r) for i, *r in rows], "id string, split string, source string, text string")
-            folded = contamination.cut(df.mapInPandas(contamination._fold_batches, contamination._FOLDED))
+            folded = contamination.cut_to_table(df.mapInPandas(contamination._fold_batches, contamination._FOLDED))
             _, patterns, train = contamination.routed_texts(folded)
             sent.append(train.count())
             automata.append(patterns.select("shard", "block").distinct().count())
