@@ -5,31 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sozmill.operators.coverage import coverage
-
-#: Width of the time cells in which events meet the periods that cover them.
-CELL_MS = 10_000
-#: Cells of a period beyond which it isn't expanded into them.
-LONG_CELLS = 1_000
-
+from sozmill.operators.coverage import scored_periods
 
 def consolidate(events: DataFrame, entity: list[str], gap_ms: int = 500, least_ms: int = 200) -> DataFrame:
     """entity..., start_ms, end_ms, score: intervals at most ``gap_ms`` apart joined, shorter results dropped, best score kept.
 
-    ``events`` has the entity columns, start_ms, end_ms and score. Ends are stretched by the gap, covered, and drawn back;
-    scores reach their period by a join on time cells, in which periods are few because a gap parts them.
+    ``events`` has the entity columns, start_ms, end_ms and score. Ends are stretched by the gap, covered, and drawn back.
     """
-    stretched = events.select(*entity, "start_ms", (F.col("end_ms") + gap_ms).alias("reach"))
-    periods = coverage(stretched, entity, "start_ms", "reach").where("kind = 'period'").select(*entity, "start_ms", (F.col("end_ms") - gap_ms).alias("end_ms"))
-    cell = lambda c: F.floor(c / CELL_MS)
-    long = F.col("end_ms") - F.col("start_ms") > LONG_CELLS * CELL_MS
-    cells = periods.where(~long).withColumn("cell", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms")))))
-    scored = events.groupBy(*entity, F.col("start_ms").alias("at"), cell(F.col("start_ms")).alias("cell")).agg(F.max("score").alias("score"))
-    met = cells.join(scored, [*entity, "cell"]).drop("cell")
-    # Periods of very many cells are few per entity and meet its events by range.
-    met = met.unionByName(periods.where(long).join(scored.drop("cell"), entity)).where("at between start_ms and end_ms")
-    best = met.groupBy(*entity, "start_ms", "end_ms").agg(F.max("score").alias("score"))
-    return best.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    stretched = events.select(*entity, "start_ms", (F.col("end_ms") + gap_ms).alias("reach"), F.col("score").cast("double").alias("score"))
+    periods = scored_periods(stretched, entity, "start_ms", "reach", "score")
+    return periods.withColumn("end_ms", F.col("end_ms") - gap_ms).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
 def clamp_spans(spans: DataFrame, start: str, end: str, least: int, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sozmill.operators.coverage import coverage
+from sozmill.operators.coverage import coverage, scored_periods
 
 
 def direct(rows):
@@ -47,3 +47,15 @@ def test_nulls_repeats_touching_and_empty(spark):
     rows = [(None, 1, 2), ("a", None, 2), ("a", 1, None), ("a", 5, 5), ("a", 9, 3), ("a", 0, 100), ("a", 100, 200), ("a", 0, 100), ("a", 0, 100), ("a", 250, 260)]
     assert run(spark, rows) == [("a", "gap", 200, 250), ("a", "period", 0, 200), ("a", "period", 250, 260)]
     assert run(spark, []) == []
+
+
+def test_scores_reach_their_period(spark):
+    """Scores of islands inside whole covered shards, of pieces on both sides of a boundary, and nulls."""
+    rng = random.Random(5)
+    rows = [("hot", s := rng.randrange(20_000), s + rng.randrange(1, 90), rng.choice([None, rng.random()])) for _ in range(400)] + [("hot", 3_010, 9_020, 0.2), ("b", 5, 7, None), ("c", 0, 5_000, None), ("c", 410, 420, 0.7)]
+    df = spark.createDataFrame(rows, "k string, s long, e long, score double")
+    want = []
+    for k, _, a, b in (r for r in direct([r[:3] for r in rows]) if r[1] == "period"):
+        want.append((k, a, b, max((r[3] for r in rows if r[0] == k and a <= r[1] < b and r[3] is not None), default=None)))
+    got = [tuple(r) for r in scored_periods(df, ["k"], "s", "e", "score", 100).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
