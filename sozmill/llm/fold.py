@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from sozmill.functions import text as T
+
 # Cyrillic letters of the corpus languages and the Latin letters they are compared as.
 CYRILLIC_TO_LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "j", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
@@ -18,22 +20,28 @@ APOSTROPHES = "'`´’‘ʼʻʽ‛′ʹˈ＇"
 INVISIBLE = "­​‌‍‎‏⁠﻿‪‫‬‭‮"
 
 _TABLE = str.maketrans({**CYRILLIC_TO_LATIN, **{c: "" for c in APOSTROPHES + INVISIBLE}})
-_TAG = re.compile(r"\[[^\[\]]{0,40}\]|<[^<>]{0,40}>")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
+_TAG = re.compile(r"\[[^\[\]\n]*\]|<[^<>\n]*>")
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
-_MARKS = re.compile(r"[̀-ͯ]")
+#: In plain Latin text anything but letters and digits parts words.
+_PARTS = {c: None if chr(c) in APOSTROPHES else c if chr(c).isalnum() else " " for c in range(128)}
+
+
+def _bare(words: list[str]) -> list[str]:
+    """Number words as folded text spells them."""
+    return [w.translate(_TABLE).replace("ye", "e") for w in words]
+
 
-# Uzbek number words.
-_ONES = ["", "bir", "ikki", "uch", "tort", "besh", "olti", "yetti", "sakkiz", "toqqiz"]
-_TENS = ["", "on", "yigirma", "ottiz", "qirq", "ellik", "oltmish", "yetmish", "sakson", "toqson"]
-_SCALES = ["", "ming", "million", "milliard", "trillion"]
+_ONES, _TENS, _SCALES = _bare(T.ONES), _bare(T.TENS), _bare(T.SCALES)
 
 
 def number_words(digits: str) -> str:
-    """Uzbek words of a whole number, spelled as folded text is; very long digit strings are read digit by digit."""
-    n = int(digits) if len(digits) <= 15 else None
-    if n is None:
+    """Uzbek words of a whole number, spelled as folded text is; numbers beyond the largest scale are read digit by digit."""
+    digits = digits.lstrip("0") or "0"
+    if len(digits) > 3 * len(_SCALES):
         return " ".join(_ONES[int(d)] or "nol" for d in digits)
+    n = int(digits)
     if n == 0:
         return "nol"
     groups = []
@@ -51,16 +59,32 @@ def number_words(digits: str) -> str:
 
 
 def fold(text: str) -> str:
-    """Lower-cased Latin text without apostrophes and width-less characters; ``ye`` and ``ts`` count as ``e`` and ``s``."""
-    low = unicodedata.normalize("NFKC", text.replace("´", "'")).lower().translate(_TABLE)
+    """Lower-cased Latin text without apostrophes and width-less characters; ``ye`` and ``ts`` count as ``e`` and ``s``.
+
+    Most texts are plain Latin or have few other characters, so each kind takes the shortest way to the same result.
+    """
+    if text.isascii():
+        low = text.lower().replace("'", "").replace("`", "")
+    else:
+        low = unicodedata.normalize("NFKC", text.replace("´", "'")).lower()
+        if _CYRILLIC.search(low):
+            low = low.translate(_TABLE)
+        else:
+            for c in APOSTROPHES + INVISIBLE:
+                low = low.replace(c, "")
     return low.replace("ye", "e").replace("ts", "s")
 
 
+def split_words(low: str) -> list[str]:
+    """Words of a folded text."""
+    return low.translate(_PARTS).split() if low.isascii() else _WORD.findall(low)
+
+
 def words(text: str | None, numbers: bool = True) -> list[str]:
     """The comparable words of a text: tags in brackets dropped, punctuation ignored, digits spelled as Uzbek words."""
     if not text:
         return []
-    low = fold(_TAG.sub(" ", text))
-    if numbers and any(c.isdigit() for c in low):
-        low = _DIGITS.sub(lambda m: " " + number_words(m.group()).replace("ye", "e") + " ", low)
-    return _WORD.findall(low)
+    low = fold(_TAG.sub(" ", text) if "[" in text or "<" in text else text)
+    if numbers and _DIGITS.search(low):
+        low = _DIGITS.sub(lambda m: " " + number_words(m.group()) + " ", low)
+    return split_words(low)

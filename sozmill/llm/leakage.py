@@ -9,7 +9,6 @@ make one stretch; rarer seeds come first, and a stretch is aligned once.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sozmill.llm.coded import Coder, window_hashes
-from sozmill.llm.fold import _TABLE
+from sozmill.llm.fold import fold, split_words
 from sozmill.session import cut
 
 WINDOW = 18
@@ -30,18 +29,13 @@ BROADCAST_SEEDS = 2_000_000
 _TIME = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])>]?")
 #: One or two words and a colon where a sentence can start: after a terminator, a closing mark, a dash or a blank line.
 _LABEL = re.compile(r"(\A|[.!?…。！？।؟»”\"“)\]—–-]|\n[^\S\n]*\n)\s*(?:[^\W\d_]+ )?[^\W\d_]+:(?=\s)")
-_WORD = re.compile(r"[^\W_]+")
 
 
 def plain_words(text: str | None) -> list[str]:
     """Words of a text without speaker labels and time marks, folded over case, script, apostrophes and invisible marks."""
     if not text:
         return []
-    low = (_LABEL.sub(r"\1 ", _TIME.sub(" ", text)) if ":" in text else text).lower()
-    if not low.isascii():
-        low = unicodedata.normalize("NFKC", low.replace("´", "'"))
-    low = low.translate(_TABLE).replace("ye", "e").replace("ts", "s")
-    return _WORD.findall(low)
+    return split_words(fold(_LABEL.sub(r"\1 ", _TIME.sub(" ", text)) if ":" in text else text))
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, differ: int = -1, skip: int = -1) -> np.ndarray:
