@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IDENTIFIER = "^[a-z0-9][a-z0-9_-]*$"
 # Enumerations of the manifest.
 QUALITY_TAGS = ("clean", "medium", "noisy")
 LICENSES = ("owned", "licensed", "public_domain", "web_scraped")
+GENRES = ("conversation", "news", "education", "vlog", "audiobook", "other")
+SCRIPTS = ("latin", "cyrillic", "mixed")
+STATUSES = ("candidate", "approved", "rejected")
 
 
 def _text_missing(c: str) -> Column:
@@ -41,10 +44,49 @@ def segment_issues() -> Column:
     return F.concat_ws("; ", *[F.when(_bad(condition), message) for condition, message in rules])
 
 
+def channel_issues(host_ok: Column) -> Column:
+    """Messages of all violated rules of one registry row; the reason's rule counts only where every field is sound.
+
+    ``host_ok`` says whether the address is of the video site.
+    """
+    unknown = lambda c, values: (F.col(c).isNull() | ~F.col(c).isin(*values), f"{c}: unknown")
+    rules = [
+        (F.col("channel_id").isNull() | ~F.col("channel_id").rlike(IDENTIFIER), "channel_id: bad identifier"),
+        (~F.coalesce(host_ok, F.lit(False)), "url: other host"),
+        (_text_missing("name"), "name: blank"),
+        unknown("genre", GENRES), unknown("script", SCRIPTS), unknown("est_quality", QUALITY_TAGS), unknown("status", STATUSES),
+        (F.trim("reject_reason") == "", "reject_reason: blank"),
+        (F.trim("notes") == "", "notes: blank"),
+    ]
+    fields = F.concat_ws("; ", *[F.when(_bad(condition), message) for condition, message in rules])
+    rejected = F.col("status") == "rejected"
+    reason = F.when(rejected & F.col("reject_reason").isNull(), "reject_reason missing").when(~rejected & F.col("reject_reason").isNotNull(), "reject_reason without rejection").otherwise("")
+    return F.when(fields != "", fields).otherwise(reason)
+
+
+def outside_bounds(seconds: Column, least: float | None = None, most: float | None = None) -> Column:
+    """Why a duration is rejected, or null; a bound that is None or 0 doesn't count."""
+    out = F.lit(None).cast("string")
+    if most:
+        out = F.when(seconds > most, F.format_string(f"duration %.0fs > max {most:.0f}s", seconds)).otherwise(out)
+    if least:
+        out = F.when(seconds < least, F.format_string(f"duration %.0fs < min {least:.0f}s", seconds)).otherwise(out)
+    return out
+
+
+def exclusion_rows(maps: DataFrame, column: str) -> DataFrame:
+    """(parquet, row_no) of JSON maps of file to rows, each once; text that isn't such a map excludes nothing."""
+    parsed = maps.select(F.explode(F.from_json(column, "map<string, array<bigint>>")).alias("parquet", "rows"))
+    return parsed.select("parquet", F.explode("rows").alias("row_no")).dropna().distinct()
+
+
 def later_duplicates(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Rows that repeat a key met earlier; the first of a key isn't reported."""
-    position = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("position", position).where("position > 1")
+    """Rows that repeat a key met earlier; the first of a key isn't reported.
+
+    The first is a minimum per key, so a key of any number of rows is reduced before it is shuffled.
+    """
+    first = df.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order)).alias("_first"))
+    return df.withColumn("_at", F.struct(*order)).join(first, F.col(key) == F.col("_k")).where("_at > _first").drop("_k", "_at", "_first")
 
 
 def last_wins(df: DataFrame, key: Column, order: Column, columns: list[str]) -> DataFrame:

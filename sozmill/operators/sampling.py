@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sozmill.session import cut, parallelism
+from sozmill.operators.ranking import spread_before
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -15,20 +15,8 @@ def seeded(seed: int, key: Column) -> Column:
 
 
 def spread_prefix(df: DataFrame, group: list[str], order: list[Column], value: str, name: str = "before") -> DataFrame:
-    """Sum of ``value`` over the rows before each one in its group, no group being gathered in one task.
-
-    Rows are range-partitioned by group and order; a table of one row per partition and group carries the offsets.
-    """
-    placed = cut(df.repartitionByRange(parallelism(df), *[F.col(g).asc_nulls_first() for g in group], *order).withColumn("_part", F.spark_partition_id()))
-    sums = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    local = F.sum(value).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    condition = F.col("_part") == F.col("_p")
-    for i, g in enumerate(group):
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = placed.withColumn("_local", F.coalesce(local, F.lit(0))).join(offsets, condition)
-    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
+    """Sum of ``value`` over the rows before each one in its group, no group being gathered in one task."""
+    return spread_before(df, group, order, {name: value})
 
 
 def cap_by_budget(df: DataFrame, group: str, budgets: DataFrame, value: str, order: list[Column]) -> DataFrame:
@@ -41,6 +29,15 @@ def cap_by_budget(df: DataFrame, group: str, budgets: DataFrame, value: str, ord
     return limited.where("before < budget").select(*df.columns).unionByName(free.select(*df.columns))
 
 
+def cap_from_base(df: DataFrame, group: str, base: DataFrame, value: str, order: list[Column], cap: float) -> DataFrame:
+    """Rows with ``taken``: whether what their group has already, and the rows before, are still below ``cap``.
+
+    ``base`` has the group column and ``base``, at most one row a group, in the unit of ``value``; a group without starts at 0.
+    """
+    summed = spread_prefix(df, [group], order, value).join(base, group, "left")
+    return summed.withColumn("taken", F.col("before") + F.coalesce("base", F.lit(0)) < cap).select(*df.columns, "taken")
+
+
 def greedy_batches(df: DataFrame, shard: str, order: list[str], cost: str, budget: float, columns: list[str]) -> DataFrame:
     """Batches of consecutive rows per shard: a batch closes when its longest cost times its rows would exceed the budget.
 

@@ -28,9 +28,15 @@ _V = "v AS (SELECT DISTINCT * FROM video_meta)"
 _MS = "CAST(round(duration * 1000) AS BIGINT)"
 
 
-def manifest(spark: SparkSession, base: str) -> DataFrame:
+def manifest_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The manifest as stored, repeats included; columns are pruned by what is selected."""
     raw = F.coalesce(F.nullif("text_raw", F.lit("")), F.col("text"))
-    return table(spark, base, "asr_manifest").select("sample_id", "parquet", "row_no", "audio_filepath", "duration", "text", raw.alias("raw"), key("source").alias("source"), key("split").alias("split")).distinct()
+    return table(spark, base, "asr_manifest").select("sample_id", "parquet", "row_no", "audio_filepath", "duration", "text", raw.alias("raw"), key("source").alias("source"), key("split").alias("split"))
+
+
+def manifest(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """sample_id and the named columns, exact repeats once; what a query computes from texts goes in before, so texts aren't shuffled."""
+    return manifest_rows(spark, base).select("sample_id", *columns).distinct()
 
 
 def segments(spark: SparkSession, base: str) -> DataFrame:
@@ -76,28 +82,43 @@ _J = f"j AS (SELECT m.*, {_sql_okina()} AS okina FROM m), r AS (SELECT *, {_REAS
 
 
 def _judged(spark: SparkSession, base: str) -> DataFrame:
-    rows = manifest(spark, base)
+    """Stored manifest rows with their reason, repeats included."""
     reason = T.bind(T.normalize_text(F.col("raw")), lambda n: T.reject_reason(F.col("raw"), n, F.col("duration")))
-    return rows.withColumn("reason", reason)
+    return manifest_rows(spark, base).withColumn("reason", reason)
 
 
 @add(f"WITH {_M}, {_J} SELECT sample_id, coalesce(reason, 'kept') AS reason FROM r")
 def reject_reasons(spark, base):
-    return _judged(spark, base).select("sample_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    return _judged(spark, base).select("sample_id", F.coalesce("reason", F.lit("kept")).alias("reason")).distinct()
+
+
+_EXCLUDED = "x AS (SELECT DISTINCT parquet, row_no FROM m WHERE split IN ('val', 'dev', 'test') AND parquet IS NOT NULL)"
+_FULL = """CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.parquet = r.parquet AND x.row_no = r.row_no) THEN 'excluded' WHEN parquet IS NULL AND audio_filepath IS NULL THEN 'missing_audio'
+ WHEN coalesce(duration, 0) <= 0 THEN 'no_duration' ELSE coalesce(reason, 'kept') END"""
 
 
-_FULL = "CASE WHEN parquet IS NULL AND audio_filepath IS NULL THEN 'missing_audio' WHEN coalesce(duration, 0) <= 0 THEN 'no_duration' ELSE coalesce(reason, 'kept') END"
+def exclusions(spark: SparkSession, base: str) -> DataFrame:
+    """Pointers of held-out rows, as an exclusion file would list them, read back from its JSON."""
+    held = manifest(spark, base, "parquet", "row_no", "split").where("split in ('val', 'dev', 'test') and parquet is not null")
+    # A file's rows are listed in many short maps, none of which grows with the file.
+    listed = held.groupBy("parquet", F.floor(F.col("row_no") / 64).alias("part")).agg(F.collect_set("row_no").alias("rows"))
+    return M.exclusion_rows(listed.select(F.to_json(F.create_map("parquet", "rows")).alias("json")), "json")
 
 
-@add(f"WITH {_M}, {_J} SELECT source, {_FULL} AS reason, count(*) AS rows FROM r GROUP BY ALL")
+@add(f"WITH {_M}, {_J}, {_EXCLUDED} SELECT source, {_FULL} AS reason, count(*) AS rows FROM r GROUP BY ALL")
 def reject_reasons_full(spark, base):
+    """The whole cascade: excluded pointers, missing audio, no duration, then the reasons of the text."""
     reason = F.when(F.col("parquet").isNull() & F.col("audio_filepath").isNull(), "missing_audio").when(F.coalesce("duration", F.lit(0.0)) <= 0, "no_duration").otherwise(F.coalesce("reason", F.lit("kept")))
-    return _judged(spark, base).groupBy("source", reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = _judged(spark, base).select("sample_id", "parquet", "row_no", "source", reason.alias("reason")).distinct()
+    listed = exclusions(spark, base).withColumn("listed", F.lit(True))
+    marked = rows.join(listed, ["parquet", "row_no"], "left")
+    return marked.groupBy("source", F.when(F.col("listed"), "excluded").otherwise(F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @add(f"WITH {_M}, {_J} SELECT source, coalesce(reason, 'kept') AS reason, count(*) AS rows, sum({_MS}) AS millis FROM r GROUP BY ALL")
 def reject_histogram(spark, base):
-    return _judged(spark, base).groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"), F.sum(_millis()).alias("millis"))
+    rows = _judged(spark, base).select("sample_id", "source", F.coalesce("reason", F.lit("kept")).alias("reason"), _millis().alias("millis")).distinct()
+    return rows.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("rows"), F.sum("millis").alias("millis"))
 
 
 _BUCKET = "CAST(('0x' || substr(sha1(source || ':' || CAST(sample_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
@@ -106,11 +127,15 @@ _SPLIT = f"CASE WHEN {_BUCKET} < 96 THEN 'train' WHEN {_BUCKET} < 98 THEN 'val'
 
 @add(f"WITH {_M} SELECT sample_id, source, {_SPLIT} AS new_split FROM m")
 def hash_split(spark, base):
-    return manifest(spark, base).select("sample_id", "source", T.hash_split(F.concat_ws(":", "source", F.col("sample_id").cast("string"))).alias("new_split"))
+    return manifest(spark, base, "source").select("sample_id", "source", T.hash_split(F.concat_ws(":", "source", F.col("sample_id").cast("string"))).alias("new_split"))
 
 
 @add(f"WITH {_M}, {_J} SELECT sample_id, parquet, row_no, audio_filepath, {_MS} AS millis, {_N} AS text, {sql_raw('raw')} AS text_raw, source, {_SPLIT} AS split FROM r WHERE reason IS NULL")
 def prepare_manifest(spark, base):
+    return _prepared(spark, base).distinct()
+
+
+def _prepared(spark: SparkSession, base: str) -> DataFrame:
     kept = _judged(spark, base).where("reason is null")
     return kept.select(
         "sample_id", "parquet", "row_no", "audio_filepath", _millis().alias("millis"), T.normalize_text(F.col("raw")).alias("text"), T.clean_raw(F.col("raw")).alias("text_raw"), "source",
@@ -121,51 +146,49 @@ def prepare_manifest(spark, base):
 @add(f"WITH {_M}, {_J}, k AS (SELECT {_SPLIT} AS split, duration FROM r WHERE reason IS NULL) SELECT split, count(*) AS rows, sum({_MS}) AS millis FROM k GROUP BY split")
 def prepare_summary(spark, base):
     """Flagship: normalise, reject, split, summarise."""
-    return prepare_manifest(spark, base).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("millis").alias("millis"))
+    return _prepared(spark, base).select("sample_id", "split", "millis").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("millis").alias("millis"))
 
 
 @add(f"WITH {_M}, d AS (SELECT unnest(['train', 'val', 'test']) AS split) SELECT d.split, count(m.sample_id) AS rows FROM d LEFT JOIN m ON d.split = CASE m.split WHEN 'dev' THEN 'val' WHEN 'validation' THEN 'val' ELSE m.split END GROUP BY ALL")
 def split_counts(spark, base):
     names = spark.createDataFrame([("train",), ("val",), ("test",)], "split string")
-    counts = manifest(spark, base).groupBy(split_name("split").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    counts = manifest(spark, base, "split").groupBy(split_name("split").alias("split")).agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(names).join(counts, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("rows"))
 
 
 @add(f"WITH {_M} SELECT coalesce(split, '(none)') AS split, source, count(*) AS rows, sum({_MS}) AS millis FROM m GROUP BY ALL")
 def snapshot_stats(spark, base):
-    return manifest(spark, base).groupBy(F.coalesce("split", F.lit("(none)")).alias("split"), "source").agg(F.count(F.lit(1)).alias("rows"), F.sum(_millis()).alias("millis"))
+    return manifest(spark, base, "split", "source", "duration").groupBy(F.coalesce("split", F.lit("(none)")).alias("split"), "source").agg(F.count(F.lit(1)).alias("rows"), F.sum(_millis()).alias("millis"))
 
 
 @add(f"WITH {_M} SELECT sample_id, parquet, row_no FROM m WHERE parquet IS NOT NULL")
 def source_scan_pointer(spark, base):
-    return manifest(spark, base).where("parquet is not null").select("sample_id", "parquet", "row_no")
+    return manifest(spark, base, "parquet", "row_no").where("parquet is not null")
 
 
 @add(f"WITH {_M}, x AS (SELECT DISTINCT parquet, row_no FROM m WHERE split IN ('val', 'dev', 'test') AND parquet IS NOT NULL) SELECT count(*) AS kept, (SELECT count(*) FROM m) - count(*) AS excluded FROM m WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.parquet = m.parquet AND x.row_no = m.row_no)")
 def exclusion_anti_join(spark, base):
-    rows = manifest(spark, base)
-    exclusions = rows.where("split in ('val', 'dev', 'test') and parquet is not null").groupBy("parquet").agg(F.collect_set("row_no").alias("rows"))
-    listed = exclusions.select("parquet", F.explode("rows").alias("row_no"))
-    kept = rows.join(listed, ["parquet", "row_no"], "left_anti").agg(F.count(F.lit(1)).alias("kept"))
+    rows = manifest(spark, base, "parquet", "row_no")
+    kept = rows.join(exclusions(spark, base), ["parquet", "row_no"], "left_anti").agg(F.count(F.lit(1)).alias("kept"))
     return kept.crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("excluded"))
 
 
 @add(f"WITH {_M} SELECT a.sample_id, b.sample_id AS other_id FROM m a JOIN m b ON a.parquet = b.parquet AND a.row_no = b.row_no")
 def pointer_join(spark, base):
-    rows = manifest(spark, base).select("sample_id", "parquet", "row_no")
+    rows = manifest(spark, base, "parquet", "row_no")
     return rows.join(rows.withColumnRenamed("sample_id", "other_id"), ["parquet", "row_no"]).select("sample_id", "other_id")
 
 
 @add(f"WITH {_M}, d AS (SELECT DISTINCT parquet FROM m WHERE split = 'val' AND parquet IS NOT NULL) SELECT m.parquet, count(*) AS rows FROM m WHERE parquet IS NOT NULL AND parquet NOT IN (SELECT parquet FROM d) GROUP BY ALL")
 def shard_resume(spark, base):
-    rows = manifest(spark, base).where("parquet is not null")
+    rows = manifest(spark, base, "parquet", "split").where("parquet is not null")
     done = rows.where("split = 'val'").select("parquet").distinct()
     return rows.join(done, "parquet", "left_anti").groupBy("parquet").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @add(f"WITH {_M}, {_SEG} SELECT 'manifest' AS kind, source, count(*) AS rows FROM m GROUP BY source UNION ALL SELECT 'segments', source, count(*) FROM s GROUP BY source")
 def union_sources(spark, base):
-    a = manifest(spark, base).select(F.lit("manifest").alias("kind"), "source")
+    a = manifest(spark, base, "source").select(F.lit("manifest").alias("kind"), "source")
     b = segments(spark, base).select(F.lit("segments").alias("kind"), "source")
     return a.unionByName(b).groupBy("kind", "source").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -202,8 +225,8 @@ def manifest_scan(spark, base):
 
 @add("SELECT lower(trim(id)) AS key, count(*) - 1 AS later FROM segments GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark, base):
-    rows = table(spark, base, "segments").select(key("id").alias("key"), "written_at", "audio_path")
-    return M.later_duplicates(rows, "key", [F.col("written_at"), F.col("audio_path")]).groupBy("key").agg(F.count(F.lit(1)).alias("later"))
+    rows = table(spark, base, "segments").select(key("id").alias("key"))
+    return rows.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("later")).where("later > 0")
 
 
 @add(f"WITH {_SEG} SELECT coalesce(channel_id, '(none)') AS channel_id, count(*) AS rows, round(sum({_MS}) / 3600000.0, 6) AS hours FROM s GROUP BY ALL")
@@ -225,19 +248,29 @@ def segment_projection(spark, base):
     return segments(spark, base).select(F.concat(F.lit("ch_"), digest).alias("id"), F.concat(F.coalesce("channel_id", F.lit("none")), F.lit("_c0")).alias("speaker_id"), F.replace("audio_path", F.lit("\\"), F.lit("/")).alias("audio_path"), _millis().alias("millis"))
 
 
-@add(f"WITH {_SEG} SELECT id, nullif(trim(text), '') AS text, greatest(asr_compression_ratio, 0.01) AS ratio, least(greatest(lang_prob, 0), 1) AS lang_prob FROM s")
+@add(f"WITH {_SEG} SELECT id, nullif(trim(text), '') AS text, CASE WHEN asr_compression_ratio < 0.01 THEN 0.01 ELSE asr_compression_ratio END AS ratio, CASE WHEN lang_prob < 0 THEN 0 WHEN lang_prob > 1 THEN 1 ELSE lang_prob END AS lang_prob FROM s")
 def clamp_diagnostics(spark, base):
-    ratio = F.when(F.col("asr_compression_ratio").isNull(), 0.01).otherwise(F.greatest("asr_compression_ratio", F.lit(0.01)))
-    prob = F.when(F.col("lang_prob").isNull(), 0.0).otherwise(F.least(F.greatest("lang_prob", F.lit(0.0)), F.lit(1.0)))
-    return segments(spark, base).select("id", F.nullif(F.trim("text"), F.lit("")).alias("text"), ratio.alias("ratio"), prob.alias("lang_prob"))
+    """Blank texts and diagnostics out of range put right; what is missing stays missing."""
+    at_least = lambda c, low: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(low)))
+    prob = F.when(F.col("lang_prob").isNotNull(), F.least(at_least("lang_prob", 0.0), F.lit(1.0)))
+    return segments(spark, base).select("id", F.nullif(F.trim("text"), F.lit("")).alias("text"), at_least("asr_compression_ratio", 0.01).alias("ratio"), prob.alias("lang_prob"))
 
 
-@add(f"WITH {_SEG} SELECT channel_id, round(sum(asr_avg_logprob * greatest(duration, 0.01)) / sum(CASE WHEN asr_avg_logprob IS NOT NULL THEN greatest(duration, 0.01) END), 6) AS logprob, coalesce(max(asr_compression_ratio), 1) AS ratio FROM s GROUP BY ALL")
+@add(f"WITH {_SEG} SELECT channel_id, coalesce(round(sum(asr_avg_logprob * greatest(duration, 0.01)) / sum(CASE WHEN asr_avg_logprob IS NOT NULL THEN greatest(duration, 0.01) END), 6), -10) AS logprob, coalesce(max(asr_compression_ratio), 1) AS ratio FROM s GROUP BY ALL")
 def weighted_mean(spark, base):
+    """Duration-weighted log probability, -10 where there is none, and the greatest compression ratio."""
     weight = F.greatest("duration", F.lit(0.01))
-    return segments(spark, base).groupBy("channel_id").agg(
-        F.round(F.sum(F.col("asr_avg_logprob") * weight) / F.sum(F.when(F.col("asr_avg_logprob").isNotNull(), weight)), 6).alias("logprob"), F.coalesce(F.max("asr_compression_ratio"), F.lit(1.0)).alias("ratio")
-    )
+    mean = F.sum(F.col("asr_avg_logprob") * weight) / F.sum(F.when(F.col("asr_avg_logprob").isNotNull(), weight))
+    return segments(spark, base).groupBy("channel_id").agg(F.coalesce(F.round(mean, 6), F.lit(-10.0)).alias("logprob"), F.coalesce(F.max("asr_compression_ratio"), F.lit(1.0)).alias("ratio"))
+
+
+@add(f"WITH {_SEG}, t AS (SELECT coalesce(nullif(regexp_extract(lower(audio_path), '_(v[0-9a-z]{{9}})_', 1), ''), audio_path) AS recording, id, trim(text) AS text FROM s) SELECT recording, string_agg(text, ' ' ORDER BY id) AS text, count(*) AS parts FROM t WHERE text <> '' GROUP BY recording")
+def joined_texts(spark, base):
+    """Texts of one recording's parts in order; a recording is bounded by its audio."""
+    video = F.nullif(F.regexp_extract(F.lower("audio_path"), "_(v[0-9a-z]{9})_", 1), F.lit(""))
+    rows = segments(spark, base).where(F.trim("text") != "").select(F.coalesce(video, F.col("audio_path")).alias("recording"), "id", F.trim("text").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "text")))
+    return rows.groupBy("recording").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("parts"))
 
 
 @add(f"WITH {_SEG} SELECT s.id FROM s WHERE text IS NOT NULL AND id NOT IN (SELECT id FROM s WHERE text_normalized IS NOT NULL)")
@@ -254,9 +287,21 @@ def semi_join_yield(spark, base):
     return rows.groupBy("source").agg(F.sum(_millis()).alias("millis"), F.count(F.lit(1)).alias("rows")).join(part, "source", "left")
 
 
-@add(f"WITH {_SEG} SELECT id, CASE WHEN duration < 2 THEN 'below 2 s' WHEN duration > 20 THEN 'above 20 s' ELSE 'ok' END AS verdict FROM s")
+@add(f"WITH {_SEG}, w AS (SELECT regexp_extract(lower(audio_path), '_(v[0-9a-z]{{9}})_', 1) AS video, count(*) AS segments, sum({_MS}) AS speech FROM s GROUP BY 1), {_V.replace('v AS', 'vm AS')}, r AS (SELECT lower(trim(video_id)) AS video, max({_MS}) AS raw FROM vm GROUP BY 1) SELECT count(*) AS videos, sum(raw) AS raw_millis, sum(speech) AS speech_millis, round(sum(speech) * 100.0 / sum(raw), 1) AS percent, sum(segments) AS segments FROM r JOIN w USING (video)")
+def segment_yield(spark, base):
+    """Raw time of the videos that were cut, the speech that came of them, its percentage and the segments."""
+    cut_ = segments(spark, base).groupBy(F.regexp_extract(F.lower("audio_path"), "_(v[0-9a-z]{9})_", 1).alias("video")).agg(F.count(F.lit(1)).alias("segments"), F.sum(_millis()).alias("speech"))
+    raw = table(spark, base, "video_meta").groupBy(F.lower(F.trim("video_id")).alias("video")).agg(F.max(_millis()).alias("raw"))
+    both = raw.join(cut_, "video")
+    return both.agg(
+        F.count(F.lit(1)).alias("videos"), F.sum("raw").alias("raw_millis"), F.sum("speech").alias("speech_millis"),
+        F.round(F.try_divide(F.sum("speech") * F.lit(100.0), F.sum("raw")), 1).alias("percent"), F.sum("segments").alias("segments"),
+    )
+
+
+@add(f"WITH {_SEG} SELECT id, CASE WHEN duration < 2 THEN format('duration {{:.0f}}s < min 2s', duration) WHEN duration > 20 THEN format('duration {{:.0f}}s > max 20s', duration) END AS verdict FROM s")
 def duration_bounds(spark, base):
-    return segments(spark, base).select("id", F.when(F.col("duration") < 2, "below 2 s").when(F.col("duration") > 20, "above 20 s").otherwise("ok").alias("verdict"))
+    return segments(spark, base).select("id", M.outside_bounds(F.col("duration"), 2.0, 20.0).alias("verdict"))
 
 
 @add(f"""WITH {_SEG} SELECT source, count(*) FILTER (WHERE duration BETWEEN 2 AND 20 AND asr_avg_logprob > -1 AND asr_compression_ratio < 2.4 AND length(text) / duration BETWEEN 5 AND 25 AND lang_prob > 0.8) AS clean, count(*) AS rows FROM s GROUP BY source""")
@@ -268,15 +313,17 @@ def planned_filter(spark, base):
 
 # --- registry and reports --------------------------------------------------------------------------------------------
 
-_BADC = f"""concat_ws('; ', CASE WHEN NOT coalesce(regexp_matches(lower(url), '^https?://([^/]*\\.)?video\\.example(/|$)'), false) THEN 'url: other host' END,
- CASE WHEN lower(trim(status)) = 'rejected' AND reject_reason IS NULL THEN 'reject_reason missing' END, CASE WHEN lower(trim(status)) <> 'rejected' AND reject_reason IS NOT NULL THEN 'reject_reason without rejection' END)"""
+_BADC = r"""concat_ws('; ', CASE WHEN channel_id IS NULL OR NOT regexp_matches(channel_id, '^[a-z0-9][a-z0-9_-]*$') THEN 'channel_id: bad identifier' END,
+ CASE WHEN NOT coalesce(regexp_matches(lower(url), '^https?://(([^/]*\.)?video\.example|v\.example)([/?#]|$)'), false) THEN 'url: other host' END, CASE WHEN name IS NULL OR trim(name) = '' THEN 'name: blank' END,
+ CASE WHEN genre IS NULL OR genre NOT IN ('conversation', 'news', 'education', 'vlog', 'audiobook', 'other') THEN 'genre: unknown' END, CASE WHEN script IS NULL OR script NOT IN ('latin', 'cyrillic', 'mixed') THEN 'script: unknown' END,
+ CASE WHEN est_quality IS NULL OR est_quality NOT IN ('clean', 'medium', 'noisy') THEN 'est_quality: unknown' END, CASE WHEN status IS NULL OR status NOT IN ('candidate', 'approved', 'rejected') THEN 'status: unknown' END,
+ CASE WHEN trim(reject_reason) = '' THEN 'reject_reason: blank' END, CASE WHEN trim(notes) = '' THEN 'notes: blank' END)"""
+_BADR = f"CASE WHEN {_BADC} <> '' THEN {_BADC} WHEN status = 'rejected' AND reject_reason IS NULL THEN 'reject_reason missing' WHEN status <> 'rejected' AND reject_reason IS NOT NULL THEN 'reject_reason without rejection' ELSE '' END"
 
 
-@add(f"SELECT channel_id, {_BADC} AS issues FROM channels")
+@add(f"SELECT channel_id, {_BADR} AS issues FROM channels")
 def registry_validate(spark, base):
-    rejected = key("status") == "rejected"
-    issues = F.concat_ws("; ", F.when(~U.is_video_host(F.col("url"), SITE, SHORT), "url: other host"), F.when(rejected & F.col("reject_reason").isNull(), "reject_reason missing"), F.when(~rejected & F.col("reject_reason").isNotNull(), "reject_reason without rejection"))
-    return table(spark, base, "channels").select("channel_id", issues.alias("issues"))
+    return table(spark, base, "channels").select("channel_id", M.channel_issues(U.is_video_host(F.col("url"), SITE, SHORT)).alias("issues"))
 
 
 @add(f"WITH {_C} SELECT status, genre, count(*) AS channels FROM c GROUP BY ALL")
@@ -289,14 +336,16 @@ def stats_last_wins(spark, base):
     return stats(spark, base)
 
 
-_J3 = f"WITH {_C}, {_STAT}, {_SEG}, sp AS (SELECT channel_id, sum({_MS}) AS speech_millis FROM s WHERE channel_id IS NOT NULL GROUP BY 1)"
+_J3 = f"WITH {_C}, {_STAT}, {_SEG}, {_V}, ih AS (SELECT {_S('channel_id')} AS channel_id, sum({_MS}) AS raw_millis FROM v WHERE {_S('channel_id')} IS NOT NULL GROUP BY 1), sp AS (SELECT channel_id, sum({_MS}) AS speech_millis FROM s WHERE channel_id IS NOT NULL GROUP BY 1)"
 
 
-@add(f"{_J3} SELECT c.channel_id, c.genre, st.hours AS counted_hours, coalesce(sp.speech_millis, 0) AS speech_millis FROM c LEFT JOIN st USING (channel_id) LEFT JOIN sp USING (channel_id)")
+@add(f"{_J3} SELECT c.channel_id, c.genre, st.hours AS counted_hours, coalesce(ih.raw_millis, 0) AS raw_millis, coalesce(sp.speech_millis, 0) AS speech_millis FROM c LEFT JOIN st USING (channel_id) LEFT JOIN ih USING (channel_id) LEFT JOIN sp USING (channel_id)")
 def channel_left_joins(spark, base):
+    """Counted hours (missing stays null), raw and speech time of every channel."""
     speech = segments(spark, base).where("channel_id is not null").groupBy("channel_id").agg(F.sum(_millis()).alias("speech_millis"))
-    joined = channels(spark, base).join(stats(spark, base), "channel_id", "left").join(speech, "channel_id", "left")
-    return joined.select("channel_id", "genre", F.col("hours").alias("counted_hours"), F.coalesce("speech_millis", F.lit(0)).alias("speech_millis"))
+    raw = videos(spark, base).select(key("channel_id").alias("channel_id"), _millis().alias("m")).where("channel_id is not null").groupBy("channel_id").agg(F.sum("m").alias("raw_millis"))
+    joined = channels(spark, base).join(stats(spark, base), "channel_id", "left").join(raw, "channel_id", "left").join(speech, "channel_id", "left")
+    return joined.select("channel_id", "genre", F.col("hours").alias("counted_hours"), F.coalesce("raw_millis", F.lit(0)).alias("raw_millis"), F.coalesce("speech_millis", F.lit(0)).alias("speech_millis"))
 
 
 @add(f"WITH {_C}, {_STAT} SELECT channel_id FROM c WHERE status <> 'rejected' AND channel_id NOT IN (SELECT channel_id FROM st)")
@@ -315,12 +364,20 @@ def genre_report(spark, base):
     return rolled.crossJoin(F.broadcast(total)).select(F.coalesce("genre", F.lit("total")).alias("genre"), "channels", "videos", F.round("h", 6).alias("hours"), F.round(F.col("h") / F.col("all"), 6).alias("share"))
 
 
-# Wanted shares of hours per genre, in percent.
-GENRE_BANDS = {"conversation": (40.0, 60.0), "news": (5.0, 15.0), "education": (10.0, 20.0), "vlog": (10.0, 20.0), "audiobook": (5.0, 10.0), "other": (0.0, 10.0)}
-_BANDS = ", ".join(f"('{g}', {a}, {b})" for g, (a, b) in GENRE_BANDS.items())
+@add(f"{_GENRE} SELECT round(coalesce(sum(hours), 0), 6) AS hours, (SELECT count(*) FROM c WHERE status <> 'rejected' AND channel_id NOT IN (SELECT channel_id FROM st)) AS missing, coalesce(sum(hours), 0) >= 1000.0 AS met FROM k")
+def hours_gate(spark, base):
+    """Counted hours of the channels that aren't rejected, those without a count, and whether the wanted hours are reached."""
+    joined = channels(spark, base).where("status <> 'rejected'").join(stats(spark, base), "channel_id", "left")
+    total = F.coalesce(F.sum("hours"), F.lit(0.0))
+    return joined.agg(F.round(total, 6).alias("hours"), F.count_if(F.col("video_count").isNull() & F.col("hours").isNull()).alias("missing"), (total >= RAW_HOURS).alias("met"))
+
+
+# Hours wanted in all, and shares of hours per genre in percent.
+RAW_HOURS = 1000.0
+GENRE_BANDS = {"conversation": (40.0, 50.0), "education": (15.0, 25.0), "vlog": (10.0, 15.0), "news": (5.0, 15.0), "audiobook": (5.0, 10.0), "other": (0.0, 5.0)}
 
 
-@add(f"{_GENRE}, b(genre, low, high) AS (VALUES {_BANDS}), h AS (SELECT genre, sum(hours) / (SELECT sum(hours) FROM k) * 100 AS share FROM k GROUP BY 1) SELECT b.genre, round(coalesce(share, 0), 6) AS share, CASE WHEN coalesce(share, 0) < low THEN 'low' WHEN share > high THEN 'high' ELSE 'ok' END AS verdict FROM b LEFT JOIN h USING (genre)")
+@add(f"{_GENRE}, b(genre, low, high) AS (VALUES ('conversation', 40, 50), ('education', 15, 25), ('vlog', 10, 15), ('news', 5, 15), ('audiobook', 5, 10), ('other', 0, 5)), h AS (SELECT genre, sum(hours) / (SELECT sum(hours) FROM k) * 100 AS share FROM k GROUP BY 1) SELECT b.genre, round(coalesce(share, 0), 6) AS share, CASE WHEN coalesce(share, 0) < low THEN 'low' WHEN share > high THEN 'high' ELSE 'ok' END AS verdict FROM b LEFT JOIN h USING (genre)")
 def genre_verdict(spark, base):
     bands = spark.createDataFrame([(g, *band) for g, band in GENRE_BANDS.items()], "genre string, low double, high double")
     counted = channels(spark, base).where("status <> 'rejected'").join(stats(spark, base), "channel_id")
@@ -330,11 +387,16 @@ def genre_verdict(spark, base):
     return joined.select("genre", F.round("share", 6).alias("share"), F.when(F.col("share") < F.col("low"), "low").when(F.col("share") > F.col("high"), "high").otherwise("ok").alias("verdict"))
 
 
-@add(f"WITH {_C}, {_STAT} SELECT count(*) FILTER (WHERE status = 'candidate') AS candidate, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, round(sum(hours) FILTER (WHERE status <> 'rejected'), 6) AS available, count(*) FILTER (WHERE status <> 'rejected' AND hours IS NULL) AS missing FROM c LEFT JOIN st USING (channel_id)")
+@add(f"{_J3} SELECT count(*) FILTER (WHERE status = 'candidate') AS candidate, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, round(sum(hours) FILTER (WHERE status <> 'rejected'), 6) AS available, count(*) FILTER (WHERE status <> 'rejected' AND hours IS NULL) AS missing, coalesce(round((SELECT sum(speech_millis) FROM sp) * 100.0 / (SELECT sum(raw_millis) FROM ih), 6), 0) AS speech_percent FROM c LEFT JOIN st USING (channel_id)")
 def status_summary(spark, base):
+    """Channels by status, hours available, channels without a count, and speech as a percentage of the ingested time."""
     joined = channels(spark, base).join(stats(spark, base), "channel_id", "left")
     active = F.col("status") != "rejected"
-    return joined.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("candidate", "approved", "rejected")], F.round(F.sum(F.when(active, F.col("hours"))), 6).alias("available"), F.count_if(active & F.col("hours").isNull()).alias("missing"))
+    counts = joined.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("candidate", "approved", "rejected")], F.round(F.sum(F.when(active, F.col("hours"))), 6).alias("available"), F.count_if(active & F.col("hours").isNull()).alias("missing"))
+    speech = segments(spark, base).where("channel_id is not null").agg(F.sum(_millis()).alias("speech"))
+    raw = videos(spark, base).where(key("channel_id").isNotNull()).agg(F.sum(_millis()).alias("raw"))
+    percent = F.coalesce(F.round(F.try_divide(F.col("speech") * F.lit(100.0), F.col("raw")), 6), F.lit(0.0))
+    return counts.crossJoin(speech).crossJoin(raw).select(*counts.columns, percent.alias("speech_percent"))
 
 
 @add(f"WITH {_C}, {_STAT} SELECT c.channel_id, coalesce(st.video_count, 0) AS video_count, CASE WHEN st.channel_id IS NULL THEN 'fetch' ELSE 'cached' END AS origin FROM c LEFT JOIN st USING (channel_id) WHERE status <> 'rejected'")

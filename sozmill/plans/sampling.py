@@ -9,7 +9,7 @@ from sozmill.functions.keys import key
 from sozmill.operators import sampling as S
 from sozmill.operators.ranking import spread_rank
 from sozmill.plans.catalog import Catalog
-from sozmill.plans.corpus import _M, _MS, _S, _V, _millis, manifest, videos
+from sozmill.plans.corpus import _M, _MS, _S, _SEG, _V, _millis, manifest, manifest_rows, segments, videos
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -23,8 +23,8 @@ _ORDER = f"sha1('{SEED}:' || CAST(sample_id AS VARCHAR))"
 _OK = f"WITH {_M}, d AS (SELECT *, {_MS} AS millis FROM m WHERE duration > 0)"
 
 
-def _timed(spark, base):
-    return manifest(spark, base).where("duration > 0").select("sample_id", "source", "parquet", "audio_filepath", "row_no", "text", "raw", _millis().alias("millis"))
+def _timed(spark, base, *columns):
+    return manifest_rows(spark, base).where("duration > 0").select("sample_id", *columns, _millis().alias("millis")).distinct()
 
 
 _CAP = " ".join(f"WHEN '{s}' THEN {int(h * 3_600_000)}" for s, h in HOURS.items())
@@ -32,7 +32,7 @@ _CAP = " ".join(f"WHEN '{s}' THEN {int(h * 3_600_000)}" for s, h in HOURS.items(
 
 @add(f"{_OK}, p AS (SELECT *, coalesce(sum(millis) OVER (PARTITION BY source ORDER BY {_ORDER}, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) SELECT sample_id, source FROM p WHERE before < CASE source {_CAP} ELSE 1e18 END")
 def source_hour_cap(spark, base):
-    rows = _timed(spark, base).select("sample_id", "source", "millis")
+    rows = _timed(spark, base, "source")
     budgets = spark.createDataFrame([(s, int(h * 3_600_000)) for s, h in HOURS.items()], "source string, budget long")
     return S.cap_by_budget(rows, "source", budgets, "millis", [S.seeded(SEED, F.col("sample_id")), F.col("sample_id")]).select("sample_id", "source")
 
@@ -48,35 +48,37 @@ _VC = f"{_S('channel_id')}"
 
 
 @add(
-    f"WITH {_V}, o AS (SELECT {_VC} AS channel_id, video_id, CAST(round(duration * 1000) AS BIGINT) AS millis FROM v WHERE channel_id IS NOT NULL), "
-    f"p AS (SELECT *, coalesce(sum(millis) OVER (PARTITION BY channel_id ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o) "
-    f"SELECT channel_id, count(*) FILTER (WHERE before < {CHANNEL_HOURS * 3_600_000}) AS taken, count(*) FILTER (WHERE before >= {CHANNEL_HOURS * 3_600_000}) AS remaining FROM p GROUP BY ALL"
+    f"WITH {_V}, {_SEG}, o AS (SELECT {_VC} AS channel_id, video_id, CAST(round(duration * 1000) AS BIGINT) AS millis FROM v WHERE channel_id IS NOT NULL), "
+    f"f AS (SELECT channel_id, sum({_MS}) AS base FROM s WHERE channel_id IS NOT NULL GROUP BY 1), "
+    f"p AS (SELECT o.channel_id, coalesce(base, 0) + coalesce(sum(millis) OVER (PARTITION BY o.channel_id ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o LEFT JOIN f ON f.channel_id = o.channel_id) "
+    f"SELECT channel_id, count(*) FILTER (WHERE before < 72000000) AS taken, count(*) FILTER (WHERE before >= 72000000) AS remaining FROM p GROUP BY ALL"
 )
 def channel_hour_cap(spark, base):
+    """Videos each channel may still bring, its finished speech counting first, and how many remain when the cap is met."""
     rows = videos(spark, base).where("channel_id is not null").select(key("channel_id").alias("channel_id"), "video_id", _millis().alias("millis"))
-    summed = S.spread_prefix(rows, ["channel_id"], [F.col("video_id")], "millis")
-    below = F.col("before") < CHANNEL_HOURS * 3_600_000
-    return summed.groupBy("channel_id").agg(F.count_if(below).alias("taken"), F.count_if(~below).alias("remaining"))
+    finished = segments(spark, base).where("channel_id is not null").groupBy("channel_id").agg(F.sum(_millis()).alias("base"))
+    capped = S.cap_from_base(rows, "channel_id", finished, "millis", [F.col("video_id")], CHANNEL_HOURS * 3_600_000)
+    return capped.groupBy("channel_id").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("remaining"))
 
 
 @add(f"WITH {_M} SELECT sample_id FROM m WHERE source IN ('youtube', 'radio_archive') AND regexp_matches(raw, '[.,?!]')")
 def keep_rows(spark, base):
-    return manifest(spark, base).where(F.col("source").isin("youtube", "radio_archive") & F.col("raw").rlike("[.,?!]")).select("sample_id")
+    return manifest_rows(spark, base).where(F.col("source").isin("youtube", "radio_archive") & F.col("raw").rlike("[.,?!]")).select("sample_id").distinct()
 
 
 @add(f"WITH {_M} SELECT sample_id FROM m WHERE source = 'youtube' ORDER BY sample_id LIMIT 50")
 def filter_limit(spark, base):
-    return manifest(spark, base).where("source = 'youtube'").orderBy("sample_id").limit(50).select("sample_id")
+    return manifest(spark, base, "source").where("source = 'youtube'").orderBy("sample_id").limit(50).select("sample_id")
 
 
 @add(f"{_OK} SELECT sample_id FROM d WHERE millis BETWEEN 500 AND 30000 ORDER BY source, sample_id LIMIT 200")
 def kept_limit(spark, base):
-    return _timed(spark, base).where("millis between 500 and 30000").orderBy("source", "sample_id").limit(200).select("sample_id")
+    return _timed(spark, base, "source").where("millis between 500 and 30000").orderBy("source", "sample_id").limit(200).select("sample_id")
 
 
 @add(f"WITH {_M} SELECT sample_id FROM m WHERE split IN ('val', 'dev') ORDER BY {_ORDER}, sample_id LIMIT 20")
 def seeded_sample(spark, base):
-    return manifest(spark, base).where("split in ('val', 'dev')").orderBy(S.seeded(SEED, F.col("sample_id")), "sample_id").limit(20).select("sample_id")
+    return manifest(spark, base, "split").where("split in ('val', 'dev')").orderBy(S.seeded(SEED, F.col("sample_id")), "sample_id").limit(20).select("sample_id")
 
 
 @add(f"WITH {_M} SELECT sample_id, row_number() OVER (ORDER BY sha1('9:' || CAST(sample_id AS VARCHAR)), sample_id) AS place FROM m")
@@ -90,7 +92,7 @@ _FILE = "coalesce(parquet, audio_filepath)"
 
 @add(f"WITH {_M} SELECT sample_id, row_number() OVER (ORDER BY sha1('8:' || {_FILE}), {_FILE}, row_no, sample_id) AS place FROM m")
 def epoch_file_order(spark, base):
-    rows = manifest(spark, base).select("sample_id", F.coalesce("parquet", "audio_filepath").alias("file"), F.coalesce("row_no", F.lit(-1)).alias("row_no"), F.lit(1).alias("all"))
+    rows = manifest(spark, base, "parquet", "audio_filepath", "row_no").select("sample_id", F.coalesce("parquet", "audio_filepath").alias("file"), F.coalesce("row_no", F.lit(-1)).alias("row_no"), F.lit(1).alias("all"))
     return spread_rank(rows, ["all"], [S.seeded(SEED + 1, F.col("file")), F.col("file"), F.col("row_no"), F.col("sample_id")], "place").select("sample_id", "place")
 
 
@@ -98,7 +100,7 @@ def epoch_file_order(spark, base):
 def crc_shard(spark, base):
     """Rows each of four workers owns, by CRC-32 of their file; DuckDB has no CRC-32."""
     owner = F.pmod(F.crc32(F.coalesce("parquet", "audio_filepath").cast("binary")), F.lit(4))
-    return manifest(spark, base).groupBy(owner.alias("worker")).agg(F.count(F.lit(1)).alias("rows"))
+    return manifest(spark, base, "parquet", "audio_filepath").groupBy(owner.alias("worker")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 _BATCHES = f"""{_OK}, f AS (SELECT {_FILE} AS file, sample_id, millis, row_number() OVER (PARTITION BY {_FILE} ORDER BY sample_id) AS n FROM d)"""
@@ -115,14 +117,14 @@ _BATCHES = f"""{_OK}, f AS (SELECT {_FILE} AS file, sample_id, millis, row_numbe
 SELECT file, sample_id, batch FROM b"""
 )
 def greedy_batches(spark, base):
-    rows = _timed(spark, base).select(F.coalesce("parquet", "audio_filepath").alias("file"), "sample_id", "millis")
+    rows = _timed(spark, base, F.coalesce("parquet", "audio_filepath").alias("file"))
     return S.greedy_batches(rows, "file", ["sample_id"], "millis", 60_000, []).select("file", "sample_id", "batch")
 
 
 @add()
 def pad_targets(spark, base):
     """Encoded targets of every batch padded to its longest, with their lengths."""
-    rows = _timed(spark, base).select(F.coalesce("parquet", "audio_filepath").alias("file"), "sample_id", "millis", "text")
+    rows = _timed(spark, base, F.coalesce("parquet", "audio_filepath").alias("file"), "text")
     batched = S.greedy_batches(rows, "file", ["sample_id"], "millis", 60_000, ["text"])
     from sozmill.plans.texts import VOCABULARY
 

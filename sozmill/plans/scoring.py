@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozmill.functions import text as T
-from sozmill.operators.ranking import spread_rank
-from sozmill.operators.sampling import spread_prefix
+from sozmill.operators.ranking import spread_before, spread_rank
 from sozmill.plans.catalog import Catalog, sql_normalize
-from sozmill.plans.corpus import _M, manifest
+from sozmill.plans.corpus import _M, manifest_rows
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -30,7 +29,7 @@ def _sql_words(ref: str, hyp: str) -> tuple[str, str]:
 
 def pairs(spark: SparkSession, base: str) -> DataFrame:
     """(sample_id, source, ref, hyp) without a window over a whole source: ranks are joined to the next rank."""
-    rows = manifest(spark, base).select("sample_id", "source", F.translate(T.normalize_text(F.col("raw")), "ʻʼ", "''").alias("t"))
+    rows = manifest_rows(spark, base).select("sample_id", "source", F.translate(T.normalize_text(F.col("raw")), "ʻʼ", "''").alias("t")).distinct()
     ranked = spread_rank(rows, ["source"], [F.col("sample_id").asc()])
     following = ranked.select("source", (F.col("rank") - 1).alias("rank"), F.col("t").alias("hyp"))
     return ranked.join(following, ["source", "rank"]).select("sample_id", "source", F.col("t").alias("ref"), "hyp").where("ref <> ''")
@@ -80,9 +79,7 @@ def wer_quantiles(spark, base):
 )
 def running_wer(spark, base):
     ref, hyp = T.words(F.col("ref")), T.words(F.col("hyp"))
-    rows = pairs(spark, base).select("sample_id", "source", T.word_distance(ref, hyp).alias("e"), F.size(ref).alias("u"), F.lit(1).alias("one"))
-    order = [F.col("sample_id").asc()]
-    summed = spread_prefix(rows, ["source"], order, "e", "e0")
-    summed = spread_prefix(spread_prefix(summed, ["source"], order, "u", "u0"), ["source"], order, "one", "n0")
+    rows = pairs(spark, base).select("sample_id", "source", T.word_distance(ref, hyp).alias("e"), F.size(ref).alias("u"))
+    summed = spread_before(rows, ["source"], [F.col("sample_id").asc()], {"e0": "e", "u0": "u", "n0": None})
     n = F.col("n0") + 1
     return summed.where(n % 50 == 0).select("source", n.alias("rows"), (F.col("e0") + F.col("e")).alias("edits"), (F.col("u0") + F.col("u")).alias("units"))
