@@ -98,9 +98,11 @@ def _triples() -> list[str]:
 
 
 def int_to_words(digits: Column) -> Column:
-    """Words of a string of digits; null beyond 18 significant digits or for anything else."""
+    """Words of a string of digits, a minus sign before it allowed; null beyond 18 significant digits or for anything else."""
     table = F.array(*[F.lit(t) for t in _triples()])
-    short = F.ltrim(digits, F.lit("0"))
+    negative = F.startswith(digits, F.lit("-"))
+    plain = F.when(negative, F.substring(digits, 2, 1 << 30)).otherwise(digits)
+    short = F.ltrim(plain, F.lit("0"))
     padded = F.lpad(short, 18, "0")
     groups = []
     for i in range(6):
@@ -111,11 +113,20 @@ def int_to_words(digits: Column) -> Column:
         else:
             words = F.when(n == 1, F.lit(scale if scale == "ming" else f"bir {scale}")).otherwise(F.concat(F.element_at(table, n + 1), F.lit(f" {scale}")))
         groups.append(F.when(n > 0, words))
-    ok = digits.rlike("^[0-9]+$") & (F.length(short) <= 18)
-    return F.when(ok, F.when(short == "", F.lit("nol")).otherwise(F.concat_ws(" ", *groups)))
+    ok = plain.rlike("^[0-9]+$") & (F.length(short) <= 18)
+    return F.when(ok, F.when(short == "", F.lit("nol")).otherwise(F.concat_ws(" ", F.when(negative, F.lit("minus")), *groups)))
 
 
-NUMBER = r"([0-9]{1,3}(?:[ ,][0-9]{3})+(?![0-9])|[0-9]+)(\s*%)?"
+def _other_digits() -> tuple[str, str]:
+    """Decimal digits of all other scripts, and the plain digits they stand for."""
+    import sys
+    import unicodedata
+
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
+NUMBER = r"(\p{Nd}{1,3}(?:[ ,]\p{Nd}{3})+(?!\p{Nd})|\p{Nd}+)([\s\x0B\x1C-\x1F\x85\p{Z}]*%)?"
 
 
 def expand_numbers(c: Column) -> Column:
@@ -127,13 +138,15 @@ def _expand(c: Column) -> Column:
     between = F.split(c, NUMBER, -1)
     found = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
 
+    other, plain = _other_digits()
+
     def spelled(m: Column) -> Column:
-        digits = F.translate(F.regexp_replace(m, r"\s*%$", ""), " ,", "")
+        digits = F.translate(F.regexp_replace(m, r"[\s\x0B\x1C-\x1F\x85\p{Z}]*%$", ""), " ,", "")
         percent = F.when(F.endswith(m, F.lit("%")), F.lit(" foiz")).otherwise(F.lit(""))
-        return F.coalesce(F.concat(bind(digits, int_to_words), percent), m)
+        return F.coalesce(F.concat(bind(F.translate(digits, other, plain), int_to_words), percent), m)
 
     pieces = F.zip_with(between, F.transform(found, spelled), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(~c.rlike("[0-9]"), c).otherwise(F.array_join(pieces, ""))
+    return F.when(~c.rlike(r"\p{Nd}"), c).otherwise(F.array_join(pieces, ""))
 
 
 def frontend_normalize(c: Column) -> Column:
@@ -147,11 +160,17 @@ def join_clitics(c: Column) -> Column:
     return F.regexp_replace(collapse(c), f"(?<=[^ ]) (?=(?:{'|'.join(CLITICS)})(?: |$))", "")
 
 
+SENTENCE_START = r"(?:^[\s\x0B\x1C-\x1F\x85\p{Z}]*|[.?!][\s\x0B\x1C-\x1F\x85\p{Z}]+)[a-z]"
+
+
 def capitalize_sentences(c: Column) -> Column:
-    """First letter a-z of the text, and after . ? ! and one blank, as a capital."""
-    head = F.regexp_extract(c, r"^\s*", 0)
-    rest = F.substring(c, F.length(head) + F.lit(1), F.length(c))
-    return F.concat(head, F.array_join(F.transform(F.split(rest, r"(?<=[.?!] )", -1), lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)), ""))
+    """First letter a-z of the text, and after . ? ! and any white space, as a capital."""
+    return bind(c, _capitalized)
+
+
+def _capitalized(c: Column) -> Column:
+    starts = F.transform(F.regexp_extract_all(c, F.lit(SENTENCE_START), F.lit(0)), lambda m: F.concat(F.left(m, F.length(m) - 1), F.upper(F.right(m, F.lit(1)))))
+    return F.array_join(F.zip_with(F.split(c, SENTENCE_START, -1), starts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def punct_target(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a link, a hashtag and a video id look like.
 LINK = r"https?://[^\s<>()\"']+"
 TAG = r"#([\p{L}\p{N}_'ʼ’ʻ-]+)"
 VIDEO_ID = r"^[A-Za-z0-9_-]{11}$"
@@ -72,3 +73,23 @@ def extract_tags(text: Column) -> Column:
 def extract_links(text: Column) -> Column:
     """Links of a text in order, trailing punctuation dropped, each once."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.rtrim(u, F.lit(".,;:!?"))))
+
+
+#: Playlists within playlists that are followed.
+PLAYLIST_DEPTH = 6
+
+
+def playlist_ids(info: Column, depth: int = PLAYLIST_DEPTH) -> Column:
+    """Ids of the videos of a playlist given as JSON, entries of entries included, in order; entries without an id are left out."""
+    entry = "struct<id:string>"
+    for _ in range(depth):
+        entry = f"struct<id:string,entries:array<{entry}>>"
+
+    def ids(entries: Column, left: int) -> Column:
+        own = lambda e: F.filter(F.array(e["id"]), lambda x: x.isNotNull() & (x != ""))
+        if not left:
+            return F.flatten(F.transform(entries, own))
+        return F.flatten(F.transform(entries, lambda e: F.when(F.coalesce(F.size(e["entries"]), F.lit(-1)) > 0, ids(e["entries"], left - 1)).otherwise(own(e))))
+
+    found = F.from_json(info, f"entries array<{entry}>")["entries"]
+    return F.coalesce(ids(F.filter(found, lambda e: e.isNotNull()), depth), F.array().cast("array<string>"))

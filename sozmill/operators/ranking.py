@@ -73,3 +73,13 @@ def spread_before(df: DataFrame, group: list[str], order: list[Column], names: d
 def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in its group, however large the group is."""
     return spread_before(df, group, order, {name: None}, partitions).withColumn(name, F.col(name) + 1)
+
+
+def newest(df: DataFrame, group: str, order: Column, keep: int) -> DataFrame:
+    """The ``keep`` greatest rows of each group by ``order``; a null group or order is left out.
+
+    A window with a rank limit keeps at most ``keep`` rows of a group in each task before the shuffle.
+    """
+    rows = df.where(F.col(group).isNotNull() & order.isNotNull())
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order.desc(), *[F.col(c).desc() for c in df.columns if c != group]))
+    return rows.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sozmill.functions import urls as U
 from sozmill.functions.keys import key
-from sozmill.operators.ranking import spread_rank
+from sozmill.operators.ranking import newest, spread_rank
 from sozmill.plans.catalog import Catalog
 from sozmill.plans.corpus import BASE_URL, SHORT, SITE, _S, _V, channels, segments, videos, _SEG
 from sozmill.session import table
@@ -18,10 +18,9 @@ add = CATALOG.add
 
 # Genre of each hashtag.
 TAG_GENRES = {
-    "podkast": "conversation", "podcast": "conversation", "suhbat": "conversation", "intervyu": "conversation", "tokshou": "conversation", "conversation": "conversation",
-    "talim": "education", "dars": "education", "maruza": "education", "kurs": "education", "education": "education", "vlog": "vlog", "flog": "vlog", "sayohat": "vlog",
-    "kundalik": "vlog", "food": "vlog", "yangilik": "news", "yangiliklar": "news", "news": "news", "hikoya": "audiobook", "hikoyalar": "audiobook", "audiokitob": "audiobook",
-    "audiobook": "audiobook", "ertak": "audiobook",
+    "podkast": "conversation", "podcast": "conversation", "suhbat": "conversation", "intervyu": "conversation", "tokshou": "conversation", "talim": "education", "dars": "education",
+    "maruza": "education", "kurs": "education", "vlog": "vlog", "flog": "vlog", "sayohat": "vlog", "kundalik": "vlog", "food": "vlog", "yangilik": "news", "yangiliklar": "news", "news": "news",
+    "hikoya": "audiobook", "hikoyalar": "audiobook", "audiokitob": "audiobook", "ertak": "audiobook",
 }
 
 # Every registry row as a post: its name, its genre as a hashtag, its address.
@@ -44,7 +43,9 @@ def extract_links(spark, base):
     return posts(spark, base).select("post_id", F.array_join(U.extract_links(F.col("text")), " ").alias("links"))
 
 
-_GENRE_SQL = "CASE " + " ".join(f"WHEN t = '{t}' THEN '{g}'" for t, g in TAG_GENRES.items()) + " ELSE 'education' END"
+_GENRE_SQL = """CASE WHEN t IN ('podkast', 'podcast', 'suhbat', 'intervyu', 'tokshou') THEN 'conversation' WHEN t IN ('talim', 'dars', 'maruza', 'kurs') THEN 'education'
+ WHEN t IN ('vlog', 'flog', 'sayohat', 'kundalik', 'food') THEN 'vlog' WHEN t IN ('yangilik', 'yangiliklar', 'news') THEN 'news'
+ WHEN t IN ('hikoya', 'hikoyalar', 'audiokitob', 'ertak') THEN 'audiobook' ELSE 'education' END"""
 
 
 @add(f"WITH {_POSTS}, t AS (SELECT post_id, regexp_replace(lower(regexp_extract(text, '#([^ ]+) #', 1)), '[^a-z0-9_]', '', 'g') AS t FROM p) SELECT post_id, {_GENRE_SQL} AS genre FROM t")
@@ -112,11 +113,9 @@ def sorted_compaction(spark, base):
 
 @add(f"WITH x AS (SELECT DISTINCT {_S('channel_id')} AS channel_id, counted_at FROM channel_stats) SELECT channel_id, counted_at FROM x QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY counted_at DESC) <= 2")
 def retention_topk(spark, base):
-    """The two newest counts of every channel, kept by a bounded aggregate instead of a window over a channel."""
+    """The two newest counts of every channel."""
     rows = table(spark, base, "channel_stats").select(key("channel_id").alias("channel_id"), "counted_at").distinct()
-    newest = rows.groupBy("channel_id").agg(F.max("counted_at").alias("counted_at"))
-    second = rows.join(newest.withColumnRenamed("counted_at", "_max"), "channel_id").where("counted_at < _max").groupBy("channel_id").agg(F.max("counted_at").alias("counted_at"))
-    return newest.unionByName(second)
+    return newest(rows, "channel_id", F.col("counted_at"), 2)
 
 
 @add(f"WITH {_POSTS} SELECT post_id, post_id AS chat, text FROM p")
@@ -128,12 +127,19 @@ def posts_parse(spark, base):
     return parse_updates(made, "update").select("post_id", "chat", "text")
 
 
-@add(f"WITH {_V} SELECT coalesce({_S('channel_id')}, '(none)') AS channel_id, video_id FROM v")
+@add(f"WITH {_V}, x AS (SELECT coalesce({_S('channel_id')}, '(none)') AS channel_id, video_id, CAST(coalesce(floor(duration), 0) AS BIGINT) % 4 AS depth FROM v) SELECT channel_id, video_id FROM x UNION ALL SELECT channel_id, video_id || 'b' FROM x WHERE depth > 0")
 def playlist_flatten(spark, base):
-    """Playlists nested in playlists, flattened level by level; a playlist is one channel and year, the outer one a channel."""
-    rows = videos(spark, base).select(F.coalesce(key("channel_id"), F.lit("(none)")).alias("channel_id"), F.substring(F.coalesce("upload_date", F.lit("none")), 1, 4).alias("year"), "video_id")
-    inner = rows.groupBy("channel_id", "year").agg(F.collect_list("video_id").alias("ids"))
-    return inner.select("channel_id", F.explode("ids").alias("video_id"))
+    """Videos of playlists nested up to three deep, some beside a playlist of their own level."""
+    depth = F.coalesce(F.floor("duration"), F.lit(0)) % 4
+    entry = F.concat(F.lit('{"id":"'), "video_id", F.lit('"}'))
+    nested = F.when(depth == 0, entry)
+    for d in range(1, 4):
+        inner = entry
+        for _ in range(d):
+            inner = F.concat(F.lit('{"entries":['), inner, F.lit("]}"))
+        nested = nested.when(depth == d, F.concat(inner, F.lit(',null,{"id":"'), "video_id", F.lit('b"}')))
+    rows = videos(spark, base).select(F.coalesce(key("channel_id"), F.lit("(none)")).alias("channel_id"), F.concat(F.lit('{"entries":['), nested, F.lit("]}")).alias("playlist"))
+    return rows.select("channel_id", F.explode(U.playlist_ids(F.col("playlist"))).alias("video_id"))
 
 
 @add("SELECT t.label AS wanted, list_sort(list(DISTINCT lower(trim(a.label)))) AS found FROM (VALUES ('laugh'), ('music'), ('cough'), ('none')) t(label) LEFT JOIN audio_events a ON starts_with(lower(trim(a.label)), t.label) GROUP BY 1")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sozmill.functions.keys import key
+from sozmill.functions.keys import key, latest
 from sozmill.functions import text as T
 from sozmill.operators import intervals as I
 from sozmill.operators.coverage import coverage, to_millis
+from sozmill.operators.sampling import spread_prefix
 from sozmill.plans.catalog import Catalog
 from sozmill.session import table
 
@@ -82,12 +83,15 @@ def screen_flags(spark, base):
 _DURATIONS = "d AS (SELECT lower(trim(video_id)) AS clip_id, max(CAST(round(duration * 1000) AS BIGINT)) AS dur FROM video_meta GROUP BY 1)"
 
 
-@add(f"WITH {_E}, {_DURATIONS} SELECT clip_id, label, max(score) AS best, count(DISTINCT s // 10000) AS chunks FROM v JOIN d USING (clip_id) WHERE s < 10000 OR dur - s // 10000 * 10000 >= 250 GROUP BY ALL")
+@add(f"WITH {_E}, {_DURATIONS} SELECT clip_id, label, max(score) AS best, count(DISTINCT s // 10000) AS chunks FROM v LEFT JOIN d USING (clip_id) WHERE s < 10000 OR dur IS NULL OR dur - s // 10000 * 10000 >= 250 GROUP BY ALL")
 def chunk_max(spark, base):
-    """Best score per clip and label over 10 s chunks; a trailing chunk below 0.25 s counts only if it is the first."""
+    """Best score per clip and label over 10 s chunks; a trailing chunk below 0.25 s counts only if it is the first.
+
+    A clip of unknown length has no trailing chunk.
+    """
     durations = table(spark, base, "video_meta").groupBy(key("video_id").alias("clip_id")).agg(F.max(to_millis(F.col("duration"))).alias("dur"))
     chunk = F.floor(F.col("start_ms") / 10_000)
-    kept = scored_events(spark, base).join(durations, "clip_id").where((F.col("start_ms") < 10_000) | (F.col("dur") - chunk * 10_000 >= 250))
+    kept = scored_events(spark, base).join(durations, "clip_id", "left").where((F.col("start_ms") < 10_000) | F.col("dur").isNull() | (F.col("dur") - chunk * 10_000 >= 250))
     per_chunk = kept.groupBy("clip_id", "label", chunk.alias("chunk")).agg(F.max("score").alias("best"))
     return per_chunk.groupBy("clip_id", "label").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("chunks"))
 
@@ -100,29 +104,51 @@ def clamp_spans(spark, base):
     return I.clamp_spans(scored_events(spark, base), "start_ms", "end_ms", 2_000, 20_000).select("clip_id", "label", "start_ms", "part", "part_start", "part_end")
 
 
+@add(f"WITH {_E} SELECT label, count(*) FILTER (WHERE t - s < 2000) AS dropped, coalesce(sum(t - s) FILTER (WHERE t - s < 2000), 0) AS dropped_millis, count(*) AS spans FROM v GROUP BY label")
+def dropped_spans(spark, base):
+    """What the least length of ``clamp_spans`` costs per label."""
+    length = F.col("end_ms") - F.col("start_ms")
+    return scored_events(spark, base).groupBy("label").agg(F.count_if(length < 2000).alias("dropped"), F.coalesce(F.sum(F.when(length < 2000, length)), F.lit(0)).alias("dropped_millis"), F.count(F.lit(1)).alias("spans"))
+
+
 @add(f"WITH {_E} SELECT clip_id, label, s * 16 AS first_frame, t * 16 AS end_frame FROM v")
 def span_frame_bounds(spark, base):
     return scored_events(spark, base).select("clip_id", "label", (F.col("start_ms") * 16).alias("first_frame"), (F.col("end_ms") * 16).alias("end_frame"))
 
 
-# Words of a segment, equally long, meet the events of the recording it is cut from.
-_WORDS = """w AS (SELECT lower(trim(id)) AS id, regexp_extract(lower(audio_path), '_(v[0-9a-z]{9})_', 1) AS clip_id, CAST(round(duration * 1000) AS BIGINT) AS dur,
-  list_filter(string_split(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM segments WHERE text IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY written_at DESC) = 1)"""
-_HITS = f"""{_E}, {_WORDS}, h AS (SELECT id, words, label, v.s, v.t, (v.s + v.t) // 2 % dur AS mid, dur // len(words) AS step FROM w JOIN v USING (clip_id) WHERE len(words) > 0 AND dur >= len(words)),
+# A recording is its segments end to end in the order of their ids; the words of a segment are equally long.
+_TAGS = "CASE label WHEN 'laughter' THEN '[kulgu]' WHEN 'music' THEN '[musiqa]' WHEN 'applause' THEN '[qarsak]' WHEN 'cough' THEN '[yoʻtal]' END"
+_WORDS = """w AS (SELECT lower(trim(id)) AS id, regexp_extract(lower(audio_path), '_(v[0-9a-z]{9})_', 1) AS clip_id, greatest(coalesce(CAST(round(duration * 1000) AS BIGINT), 0), 0) AS dur,
+  list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM segments
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY written_at DESC) = 1),
+l AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY clip_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM w WHERE clip_id <> '')"""
+_HITS = f"""{_E}, {_ISLANDS}, {_WORDS}, h AS (SELECT l.id, words, label, p.start_ms AS s, p.end_ms AS t, CAST((p.start_ms + p.end_ms) // 2 - begins AS BIGINT) AS mid, dur // greatest(len(words), 1) AS step
+  FROM l JOIN p ON p.clip_id = l.clip_id AND (p.start_ms + p.end_ms) // 2 >= begins AND (p.start_ms + p.end_ms) // 2 < begins + dur),
 k AS (SELECT *, list_transform(range(len(words) + 1), lambda j: abs(j * step - mid)) AS gaps FROM h), n AS (SELECT *, list_position(gaps, list_min(gaps)) - 1 AS place FROM k)"""
 
 
+def _spoken(spark: SparkSession, base: str) -> DataFrame:
+    """id, clip_id (null without a recording), dur, words of the latest version of every segment."""
+    rows = latest(table(spark, base, "segments"), "id", "written_at", {"text": F.col("text"), "audio_path": F.col("audio_path"), "duration": F.col("duration")})
+    split = F.filter(F.split(T.collapse(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
+    clip = F.nullif(F.regexp_extract(F.lower("audio_path"), "_(v[0-9a-z]{9})_", 1), F.lit(""))
+    return rows.select("id", clip.alias("clip_id"), F.greatest(F.coalesce(to_millis(F.col("duration")), F.lit(0)), F.lit(0)).alias("dur"), split.alias("words"))
+
+
 def _placed(spark: SparkSession, base: str) -> DataFrame:
-    segments = table(spark, base, "segments").where("text is not null").groupBy(key("id").alias("id")).agg(F.max(F.struct("written_at", "text", "audio_path", "duration")).alias("r"))
-    split = F.filter(F.split(T.collapse(F.col("r.text")), " "), lambda x: x != "")
-    rows = segments.select("id", F.regexp_extract(F.lower("r.audio_path"), "_(v[0-9a-z]{9})_", 1).alias("clip_id"), to_millis(F.col("r.duration")).alias("dur"), split.alias("words"))
-    rows = rows.where((F.size("words") > 0) & (F.col("dur") >= F.size("words")))
-    met = rows.join(scored_events(spark, base), "clip_id")
-    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2) % F.col("dur")
-    step = F.floor(F.col("dur") / F.size("words"))
-    boundaries = F.transform(F.sequence(F.lit(0), F.size("words")), lambda j: j * step)
-    return met.withColumn("place", I.nearest(boundaries, middle))
+    """Consolidated events at the word of the segment their middle lies in: id, label, start_ms, end_ms, place.
+
+    Segments and events meet by recording and minute, so a recording with many of both is no product.
+    """
+    rows = _spoken(spark, base).where("clip_id is not null").select("id", "clip_id", "dur", F.size("words").alias("n"))
+    laid = spread_prefix(rows, ["clip_id"], [F.col("id")], "dur", "begins").where("dur > 0")
+    minute = lambda c: F.floor(c / 60_000)
+    cells = laid.withColumn("minute", F.explode(F.sequence(minute(F.col("begins")), minute(F.col("begins") + F.col("dur") - 1))))
+    events = consolidate_intervals(spark, base).withColumn("middle", F.floor((F.col("start_ms") + F.col("end_ms")) / 2))
+    met = cells.join(events.withColumn("minute", minute(F.col("middle"))), ["clip_id", "minute"]).where("middle >= begins and middle < begins + dur")
+    step = F.floor(F.col("dur") / F.greatest("n", F.lit(1)))
+    boundaries = F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: j * step)
+    return met.select("id", "label", "start_ms", "end_ms", I.nearest(boundaries, F.col("middle") - F.col("begins")).alias("place"))
 
 
 @add(f"WITH {_HITS} SELECT id, label, s AS start_ms, place FROM n")
@@ -130,12 +156,19 @@ def nearest_boundary(spark, base):
     return _placed(spark, base).select("id", "label", "start_ms", "place")
 
 
-@add(f"WITH {_HITS}, u AS (SELECT DISTINCT id, place, label FROM n), g AS (SELECT id, place, string_agg(label, ' ' ORDER BY label) AS tags FROM u GROUP BY ALL) SELECT id, string_agg(place || ':' || tags, ' ' ORDER BY place) AS tags FROM g GROUP BY id")
+@add(
+    f"WITH {_HITS}, u AS (SELECT id, place, {_TAGS} AS tag, min({{'s': s, 't': t, 'label': label}}) AS first FROM n GROUP BY ALL), g AS (SELECT id, place, string_agg(tag, ' ' ORDER BY first) AS tags FROM u GROUP BY ALL), "
+    "m AS (SELECT id, map_from_entries(list({'k': place, 'v': tags})) AS m FROM g GROUP BY id) "
+    "SELECT w.id, coalesce(array_to_string(list_filter(flatten(list_transform(range(len(words) + 1), lambda i: [m[i], words[i + 1]])), lambda x: x IS NOT NULL), ' '), '') AS text FROM w LEFT JOIN m USING (id)"
+)
 def merge_transcript(spark, base):
-    """Event labels by the word they go before; one label once a place."""
-    placed = _placed(spark, base).groupBy("id", "place").agg(F.array_join(F.array_sort(F.collect_set("label")), " ").alias("tags"))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
-    return placed.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["tags"])), " ").alias("tags"))
+    """Words of every segment with the tags of its events before the word they are nearest to, in order of time, one tag once a place."""
+    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "label")))
+    tag = F.create_map(*[F.lit(x) for pair in T.EVENT_TAGS.items() for x in pair])
+    placed = _placed(spark, base).groupBy("id", "place").agg(F.array_join(F.array_distinct(F.transform(ordered, lambda e: tag[e["label"]])), " ").alias("tags"))
+    tags = placed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int"), "tags"))).alias("tags"))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: F.array(F.try_element_at("tags", i), F.get("words", i))))
+    return _spoken(spark, base).select("id", "words").join(tags, "id", "left").select("id", F.array_join(pieces, " ").alias("text"))
 
 
 # Embeddings stand for tracks of frame scores.
@@ -163,11 +196,11 @@ def frame_runs(spark, base):
     return I.runs(_tracks(spark, base), "vec_id", "smooth", "raw", _LEVEL).withColumn("score", F.round(F.col("score") * 1000000).cast("bigint"))
 
 
-@add(f"{_RUNS} SELECT vec_id, min(frame) * 40 AS start_ms, least((max(frame) + 1) * 40, 2500) AS end_ms FROM a JOIN embeddings USING (vec_id) WHERE label % 2 = 0 GROUP BY vec_id, island HAVING least((max(frame) + 1) * 40, 2500) > min(frame) * 40")
+@add(f"{_RUNS} SELECT vec_id, min(frame) * 40 AS start_ms, least((max(frame) + 1) * 40, 2500) AS end_ms FROM a WHERE vec_id IN (SELECT vec_id FROM m WHERE list_max(smooth) >= 0.57) GROUP BY vec_id, island HAVING least((max(frame) + 1) * 40, 2500) > min(frame) * 40")
 def localize_events(spark, base):
-    """Runs of the flagged tracks only, in time, cut to the clip's length."""
-    flagged = table(spark, base, "embeddings").where("label % 2 = 0").select("vec_id")
-    found = I.runs(_tracks(spark, base).join(flagged, "vec_id", "left_semi"), "vec_id", "smooth", "raw", _LEVEL)
+    """Runs, in time and cut to the clip's length, of the tracks whose greatest smoothed score flags them."""
+    flagged = _tracks(spark, base).where(F.array_max("smooth") >= 0.57)
+    found = I.runs(flagged, "vec_id", "smooth", "raw", _LEVEL)
     return found.select("vec_id", (F.col("first") * 40).alias("start_ms"), F.least(F.col("last") * 40, F.lit(2500)).alias("end_ms")).where("end_ms > start_ms")
 
 

@@ -68,27 +68,23 @@ def transliterate(spark, base):
 
 
 def _words_macro(n: str) -> str:
-    """SQL words of a whole number below 10**6."""
-    ones, tens = ["", *T.ONES[1:]], T.TENS
-    lit = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    """SQL words of a whole number below 10**18 (a BIGINT): the groups of three from the highest on, with their scales."""
+    ones = "['', 'bir', 'ikki', 'uch', 'toʻrt', 'besh', 'olti', 'yetti', 'sakkiz', 'toʻqqiz']"
+    tens = "['', 'oʻn', 'yigirma', 'oʻttiz', 'qirq', 'ellik', 'oltmish', 'yetmish', 'sakson', 'toʻqson']"
+    scales = "['', 'ming', 'million', 'milliard', 'trillion', 'kvadrillion']"
+    triple = f"list_filter([CASE WHEN g // 100 > 1 THEN {ones}[g // 100 + 1] ELSE '' END, CASE WHEN g >= 100 THEN 'yuz' ELSE '' END, {tens}[g % 100 // 10 + 1], {ones}[g % 10 + 1]], lambda w: w <> '')"
+    group = f"list_transform([abs({n}) // CAST(pow(1000, k) AS BIGINT) % 1000], lambda g: CASE WHEN g = 0 THEN '' WHEN g = 1 AND k = 1 THEN 'ming' ELSE trim(array_to_string({triple}, ' ') || ' ' || {scales}[k + 1]) END)[1]"
+    groups = f"list_filter(list_transform([5, 4, 3, 2, 1, 0], lambda k: {group}), lambda w: w <> '')"
+    return f"CASE WHEN {n} = 0 THEN 'nol' ELSE CASE WHEN {n} < 0 THEN 'minus ' ELSE '' END || array_to_string({groups}, ' ') END"
 
-    def triple(v: str) -> str:
-        return (
-            f"list_filter([CASE WHEN {v} // 100 > 1 THEN {lit(ones)}[{v} // 100 + 1] ELSE '' END, CASE WHEN {v} >= 100 THEN 'yuz' ELSE '' END, "
-            f"{lit(tens)}[{v} % 100 // 10 + 1], {lit(ones)}[{v} % 10 + 1]], lambda w: w <> '')"
-        )
 
-    high, low = f"({n} // 1000)", f"({n} % 1000)"
-    return (
-        f"CASE WHEN {n} = 0 THEN 'nol' ELSE array_to_string(list_concat(CASE WHEN {high} = 0 THEN [] WHEN {high} = 1 THEN ['ming'] "
-        f"ELSE list_append({triple(high)}, 'ming') END, {triple(low)}), ' ') END"
-    )
-
-
-@add(f"SELECT DISTINCT row_no AS n, {_words_macro('CAST(row_no AS BIGINT)')} AS words FROM asr_manifest WHERE row_no BETWEEN 0 AND 999999")
+@add(f"WITH x AS (SELECT DISTINCT CAST(row_no AS BIGINT) AS r FROM asr_manifest WHERE row_no IS NOT NULL), y AS (SELECT DISTINCT unnest([r, -r, r * 1000003, r * 1000000007]) AS n FROM x) SELECT n, {_words_macro('n')} AS words FROM y")
 def int_to_words(spark, base):
-    rows = table(spark, base, "asr_manifest").where("row_no between 0 and 999999").select(F.col("row_no").alias("n")).distinct()
-    return rows.select("n", T.int_to_words(F.col("n").cast("string")).alias("words"))
+    """Words of row numbers, of their negatives, and of multiples that reach the higher scales."""
+    r = F.col("row_no").cast("bigint")
+    rows = table(spark, base, "asr_manifest").where("row_no is not null").select(r.alias("r")).distinct()
+    numbers = rows.select(F.explode(F.array(F.col("r"), -F.col("r"), F.col("r") * 1000003, F.col("r") * 1000000007)).alias("n")).distinct()
+    return numbers.select("n", T.int_to_words(F.col("n").cast("string")).alias("words"))
 
 
 _NUMBERS = r"[0-9]{1,3}(?:[ ,][0-9]{3})+\b|[0-9]+"
@@ -118,22 +114,22 @@ def frontend_normalize(spark, base):
 
 @add(
     "SELECT id, trim(regexp_replace(regexp_replace(replace(" + sql_normalize("text") + ", ' ', '  '), ' {1,2}(da|ku|chi|mi|yu|ya|ta)( |$)', '\\1\\2', 'g'), ' +', ' ', 'g')) AS value "
-    "FROM segments WHERE text IS NOT NULL AND NOT regexp_matches(" + sql_normalize("text") + ", '^(da|ku|chi|mi|yu|ya|ta)( |$)')"
+    "FROM segments WHERE text IS NOT NULL"
 )
 def join_clitics(spark, base):
-    rows = _texts(spark, base).select("id", T.normalize_text(F.col("text")).alias("n")).where(~F.col("n").rlike(f"^({'|'.join(T.CLITICS)})( |$)"))
-    return rows.select("id", T.join_clitics(F.col("n")).alias("value"))
+    return _each(spark, base, T.join_clitics(T.normalize_text(F.col("text"))))
 
 
-_LOWERED = sql_collapse("lower(text)")
+_START = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_HEAD = f"CASE WHEN regexp_matches(lower(text), '^{_START}*[a-z]') THEN regexp_extract(lower(text), '^{_START}*') || upper(regexp_extract(lower(text), '^{_START}*([a-z])', 1)) || regexp_replace(lower(text), '^{_START}*[a-z]', '') ELSE lower(text) END"
 
 
 @add(
-    f"SELECT id, list_aggregate(list_transform(string_split(regexp_replace({_LOWERED}, '([.?!] )', '\\1' || chr(1), 'g'), chr(1)), "
-    "lambda p: CASE WHEN regexp_matches(p, '^[a-z]') THEN upper(p[1]) || p[2:] ELSE p END), 'string_agg', '') AS value FROM segments WHERE text IS NOT NULL"
+    f"WITH h AS (SELECT id, {_HEAD} AS t FROM segments WHERE text IS NOT NULL) SELECT id, array_to_string(list_transform(list_zip(string_split_regex(t, '[.?!]{_START}+[a-z]'), "
+    f"list_transform(regexp_extract_all(t, '[.?!]{_START}+[a-z]'), lambda m: m[:-2] || upper(m[-1]))), lambda z: z[1] || coalesce(z[2], '')), '') AS value FROM h"
 )
 def capitalize_sentences(spark, base):
-    return _each(spark, base, T.capitalize_sentences(T.collapse(F.lower("text"))))
+    return _each(spark, base, T.capitalize_sentences(F.lower("text")))
 
 
 @add(_sql(r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\s\x0B\x{85}\p{Z}.,?!ʻʼ''\x{200C}\x{200D}-]', ' ', 'g'), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ?([.,?!])', '\1', 'g'))"))
@@ -156,10 +152,11 @@ _CLEAN = sql_collapse("translate(translate(lower(text), 'ʻʼ’‘`´', '''''''
 _VOC = "[" + ", ".join("''''" if v == "'" else f"'{v}'" for v in VOCABULARY) + "]"
 
 
-@add(f"SELECT id, len({_CLEAN}) AS characters, list_sum(list_transform(string_split({_CLEAN}, ''), lambda c: list_position({_VOC}, c) - 1)) AS id_sum FROM segments WHERE text IS NOT NULL AND regexp_matches({_CLEAN}, '^[a-z ''.,?!]+$')")
+@add(f"SELECT id, CASE WHEN regexp_matches({_CLEAN}, '^[a-z ''.,?!]*$') THEN length({_CLEAN}) END AS characters, CASE WHEN regexp_matches({_CLEAN}, '^[a-z ''.,?!]*$') THEN coalesce(list_sum(list_transform(list_filter(string_split({_CLEAN}, ''), lambda c: c <> ''), lambda c: list_position({_VOC}, c) - 1)), 0) END AS id_sum FROM segments WHERE text IS NOT NULL")
 def encode_text(spark, base):
-    ids = _texts(spark, base).select("id", T.encode(F.lower("text"), VOCABULARY).alias("ids")).where("ids is not null and size(ids) > 0")
-    return ids.select("id", F.size("ids").cast("bigint").alias("characters"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+    """Number and sum of a text's character ids; null where a character has none."""
+    ids = _texts(spark, base).select("id", T.encode(F.lower("text"), VOCABULARY).alias("ids"))
+    return ids.select("id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("characters"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
 @add(f"SELECT count(*) FILTER (WHERE regexp_matches({_CLEAN}, '^[a-z ''.,?!]+$')) AS encodable, count(*) AS rows FROM segments WHERE text IS NOT NULL")
