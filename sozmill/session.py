@@ -35,12 +35,18 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The Hadoop file system and path object of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; a path that may not be looked at raises."""
+    files, at = file_system(spark, path)
+    return files.exists(at)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """This application's folder in the shared one that spark.checkpoint.dir names; it is deleted when the application ends.
 
@@ -54,7 +60,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sozmill-checkpoint-"))
-    files, path = _file_system(spark, context.getCheckpointDir())
+    files, path = file_system(spark, context.getCheckpointDir())
     files.deleteOnExit(path)
     return context.getCheckpointDir()
 

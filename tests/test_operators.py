@@ -53,6 +53,10 @@ def test_numbers_beyond_the_scales_stay(spark):
 def test_text_functions(spark):
     assert one(spark, T.join_clitics(F.lit("da bor da ku men chi"))) == "da bordaku menchi"
     assert one(spark, T.capitalize_sentences(F.lit("salom. qalay? yaxshi"))) == "Salom. Qalay? Yaxshi"
+    assert one(spark, T.capitalize_sentences(F.lit(" salom.  qalay?\nyaxshi!\tha.yo‘q . o"))) == " Salom.  Qalay?\nYaxshi!\tHa.yo‘q . O"
+    assert one(spark, T.capitalize_sentences(F.lit(""))) == "" and one(spark, T.capitalize_sentences(F.lit("Привет. да"))) == "Привет. да"
+    assert one(spark, T.int_to_words(F.lit("-7"))) == "minus yetti" and one(spark, T.int_to_words(F.lit("1000001000"))) == "bir milliard ming" and one(spark, T.int_to_words(F.lit("-"))) is None
+    assert one(spark, T.expand_numbers(F.lit("٣ kun, १२ % va 1 000"))) == "uch kun, oʻn ikki foiz va ming"
     assert one(spark, T.punct_target(F.lit("Salom , dunyo !  «ha»"))) == "salom, dunyo! ha"
     assert one(spark, T.word_distance(F.split(F.lit("a b c d e"), " "), F.split(F.lit("a x c d e"), " "))) == 1
     assert one(spark, T.encode(F.lit("ab–a"), ["a", "b", " "])) == [0, 1, 2, 0]
@@ -140,6 +144,45 @@ def test_json_lines(spark, tmp_path):
         scan_strict(spark, str(path), schema)
 
 
+def test_strict_scan_applies_the_rules(spark, tmp_path):
+    from sozmill.sources.jsonl import ManifestError, manifest_issues, numbered_lines, scan_strict
+
+    schema = spark.read.parquet("/root/testdata/sf0.001/segments.parquet").drop("written_at").schema
+    good = {"id": "a1", "audio_path": "x.wav", "speaker_id": "s1", "duration": 1.0, "sample_rate": 24000, "source": "s", "license": "owned"}
+    path = tmp_path / "m.jsonl"
+    lines = [good, good | {"id": "B"}, good, {}, good | {"id": "a2", "lang_prob": 1.5}, good | {"id": "a2"}]
+    path.write_text("\n".join(map(json.dumps, lines)), "utf-8")
+    found = {r["line_no"]: r["issue"] for r in manifest_issues(numbered_lines(spark, str(path)), schema, M.segment_issues(), "id").where("issue is not null").collect()}
+    # The second a1 repeats the first; a2 on line 5 is broken, so line 6 is its first.
+    assert set(found) == {2, 3, 4, 5} and found[3] == "duplicate id: a1" and "duration" in found[4]
+    with pytest.raises(ManifestError, match="m.jsonl:2: id: bad identifier"):
+        scan_strict(spark, str(path), schema, M.segment_issues(), "id")
+    path.write_text("{}\n", "utf-8")
+    with pytest.raises(ManifestError, match="m.jsonl:1"):
+        scan_strict(spark, str(path), schema, M.segment_issues())
+
+
+def test_manifest_survives_what_cannot_be_read(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from sozmill.sources import jsonl
+
+    schema = StructType.fromDDL("id string, n int")
+    out, rows = tmp_path / "out", spark.createDataFrame([("b", 1), ("b", 1), ("a", 2)], schema)
+    assert jsonl.append_then_compact(spark, rows, str(out), "id", schema) == 2
+    held = sorted(p.read_text() for p in out.glob("*.json"))
+    broken = out / "part-broken.json"
+    broken.write_text("not json\n")
+    with pytest.raises(jsonl.ManifestError):
+        jsonl.append_then_compact(spark, rows, str(out), "id", schema)
+    broken.unlink()
+    (out / ".part-broken.json.crc").unlink(missing_ok=True)
+    failing = rows.withColumn("n", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        jsonl.publish(failing, str(out))
+    assert sorted(p.read_text() for p in out.glob("*.json")) == held
+
+
 def _wav(seconds, rate=16000):
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
@@ -159,8 +202,18 @@ def test_media(spark, tmp_path):
         (folder / "audio.wav").write_bytes(content)
         if done:
             (folder / ".done").write_text("x")
+        if name != "v2":
+            (folder / "meta.json").write_text(json.dumps({"id": name, "title": "T", "channel": " ", "uploader": "Ali", "duration": 2}), "utf-8")
     rows = {r["video"]: r for r in media.scan_recordings(spark, str(tmp_path / "raw")).collect()}
     assert set(rows) == {"v1", "v2"} and math.isclose(rows["v1"]["duration"], 2.0) and rows["v2"]["issue"] == "unreadable audio"
+    assert rows["v1"]["owner"] == "Ali" and rows["v1"]["issue"] is None
+    (tmp_path / "raw" / "ch" / "v1" / "v1_00001.wav").write_bytes(_wav(0))
+    found = {r["id"]: r["issue"] for r in media.scan_segments(spark, str(tmp_path / "raw")).collect()}
+    assert found == {"ch_v1_audio": None, "ch_v1_v1_00001": "empty audio", "ch_v2_audio": "unreadable audio"}
+    cut_short = _wav(1)[:44] + b"\0" * 16000
+    lengths = spark.createDataFrame([(_wav(2),), (cut_short,), (b"x",), (None,)], "c binary").select(media.duration_of("c").alias("d")).collect()
+    assert [r["d"] for r in lengths] == [2.0, 0.5, None, None]
+    assert spark.createDataFrame([(_wav(0.001),)], "c binary").select(F.size(media.mono_samples("c")).alias("n")).first()["n"] == 16
     cut = spark.createDataFrame([(_wav(2), 0, 16000), (_wav(1), 20000, 30000), (None, 0, 1)], "c binary, a long, b long").select(media.wav_header(media.wav_cut("c", "a", "b")).alias("h"))
     assert [r["h"]["frames"] for r in cut.collect()] == [16000, None, None]
     (tmp_path / "t").mkdir()
@@ -174,15 +227,58 @@ def test_media(spark, tmp_path):
 
 
 def test_dereference(spark, tmp_path):
-    from sozmill.sources.media import dereference
+    from sozmill.sources.media import dereference, scan_corpus
 
     corpus = tmp_path / "src" / "data"
     corpus.mkdir(parents=True)
-    pd.DataFrame({"audio": [{"bytes": b"a", "path": None}, {"bytes": b"b", "path": None}]}).to_parquet(corpus / "p.parquet")
+    pd.DataFrame({"audio": [{"bytes": f"b{i}".encode(), "path": None} for i in range(10)], "n": range(10)}).to_parquet(corpus / "p.parquet", row_group_size=3)
     (tmp_path / "x.wav").write_bytes(b"w")
-    manifest = spark.createDataFrame([(1, "src/data/p.parquet", 1, None), (2, None, None, str(tmp_path / "x.wav")), (3, None, None, "/missing")], "id int, parquet string, row_no long, audio_filepath string")
-    rows = {r["id"]: r["content"] for r in dereference(manifest, spark.read.parquet(str(corpus)), "audio").collect()}
-    assert rows[1] == b"b" and rows[2] == b"w" and rows[3] is None
+    rows = [(1, "a", "src/data/p.parquet", 1, None), (2, "a", None, None, str(tmp_path / "x.wav")), (3, "a", None, None, "/missing"), (4, "a", "src/data/p.parquet", 9, None), (5, "a", "src/data/p.parquet", 10, None)]
+    rows += [(6, "a", "src/gone.parquet", 0, None), (7, "a", "src/data/p.parquet", 1, None), (8, "a", "src/data/p.parquet", None, None), (9, "a", None, None, None)]
+    manifest = spark.createDataFrame(rows, "sample_id int, source string, parquet string, row_no long, audio_filepath string")
+    got = {r["sample_id"]: r["content"] for r in dereference(manifest, str(tmp_path)).collect()}
+    assert got == {1: b"b1", 2: b"w", 3: None, 4: b"b9", 5: None, 6: None, 7: b"b1", 8: None, 9: None}
+    assert dereference(manifest.limit(0), str(tmp_path)).collect() == []
+    with pytest.raises(ValueError, match="unknown sources: a"):
+        dereference(manifest, str(tmp_path), sources={"b": "b"})
+    left = dereference(manifest.where("sample_id in (1, 4)"), str(tmp_path), sources={"a": "."}, finished=manifest.where("sample_id = 1"))
+    assert [(r["sample_id"], r["content"]) for r in left.collect()] == [(4, b"b9")]
+    scanned = scan_corpus(spark, str(corpus / "*.parquet"), ["n"])
+    assert scanned.columns == ["file", "row_no", "n"] and all(r["row_no"] == r["n"] for r in scanned.collect())
+
+
+def test_shards_and_splits(spark, tmp_path):
+    from sozmill.sources.shards import fan_out, write_shards
+
+    rows = spark.createDataFrame([("x/a.parquet", 1, "train"), ("x/a.parquet", 2, "val"), ("y/b.parquet", 3, "train")], "file string, n int, split string")
+    out = str(tmp_path / "shards")
+    assert sorted(r["rows"] for r in write_shards(rows.where("file = 'x/a.parquet'"), "file", out).collect()) == [2]
+    changed = rows.withColumn("n", F.col("n") + 10)
+    assert sorted(r["rows"] for r in write_shards(changed, "file", out).collect()) == [1, 2]
+    assert sorted(r["n"] for r in spark.read.json(out).collect()) == [1, 2, 13]
+    assert fan_out(rows, str(tmp_path / "splits")) == {"train": 2, "val": 1, "test": 0}
+    assert (tmp_path / "splits" / "split=test").is_dir()
+    with pytest.raises(ValueError, match="unknown split"):
+        fan_out(rows.withColumn("split", F.lit("dev")), str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
+def test_stages_keep_a_record(spark, tmp_path):
+    from sozmill.streaming.incremental import journal, mark, pending, progress, response
+
+    rows, audit = spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), str(tmp_path / "audit")
+    assert pending(spark, rows, audit, "cut", "k").count() == 3
+    mark(rows.where("k = 'a'"), audit, "cut", "k")
+    mark(rows.where("k = 'b'"), audit, "cut", "k", "filtered", F.lit("short"))
+    assert [r["k"] for r in pending(spark, rows, audit, "cut", "k").collect()] == ["c"] and pending(spark, rows, audit, "score", "k").count() == 3
+    journal(rows, str(tmp_path / "log"))
+    journal(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).where("at is not null").count() == 6
+    lines = [json.loads(x) for x in response(rows.orderBy("k"), {"source": "s"})]
+    assert lines[0] == {"type": "meta", "source": "s"} and lines[1] == {"type": "row", "k": "a"} and lines[-1] == {"type": "done", "rows": 3}
+    broken = [json.loads(x) for x in response(rows.select(F.raise_error(F.lit("no")).alias("k")), {})]
+    assert broken[-1]["type"] == "error"
+    assert progress(10, 30, 60.0)["minutes_left"] == 2 and progress(0, 3, 1.0)["per_minute"] is None
 
 
 def test_scorers(spark):
