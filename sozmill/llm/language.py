@@ -54,23 +54,28 @@ SWITCH_BETWEEN = 9
 #: Words of the shortest run that isn't a whole sentence.
 RUN_WORDS = 5
 
+#: Language of a text that can't be told.
+UNKNOWN = "und"
+
+_LETTERS = re.compile(r"[^\W\d_]+")
 _APOSTROPHES = "`´’‘ʼʻʽ‛′"
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_TAG = re.compile(r"\[[^\[\]]{0,40}\]")
+_TAG = re.compile(r"\[[^\[\]\n]*\]")
 _SENTENCE = re.compile(r"[.!?…](?=[\s»”\"’“)\]']|$)[.!?…»”\"’“)\]']*|[。！？।؟]+[」』”»]*|\n[^\S\n]*\n")
 _PIECE = re.compile(
     r"(?P<l>[a-zß-öø-ɏ']+(?:[\s,;:–—-]+[a-zß-öø-ɏ']+)*)|(?P<c>[Ѐ-ԯ']+(?:[\s,;:–—-]+[Ѐ-ԯ']+)*)|(?P<j>[぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ー々〆][぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ー々〆，、：；\s]*)"
     r"|(?P<a>[؀-ۿݐ-ݿ]+(?:[\s،؛:–—-]+[؀-ۿݐ-ݿ]+)*)|(?P<h>[ऀ-ॣॱ-ॿ]+(?:[\s,;:–—-]+[ऀ-ॣॱ-ॿ]+)*)|(?P<t>[ก-๎]+(?:\s+[ก-๎]+)*)"
 )
+_BETWEEN = re.compile(r"[\s,;:،؛–—-]+")
 _SPACED = set("lcah")
 _CHARS_PER_WORD = {"j": 2, "t": 4}
 _SINGLE = {"a", "h", "t", "j"}
 
 
-def label_language(label: Column) -> Column:
-    """Language of a label: two or three letters, any case, script and region suffixes dropped; null where it names none."""
+def label_language(label: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
+    """Language of a label: two or three letters, any case, script and region suffixes dropped; null where it names none of ``languages``."""
     head = F.substring_index(F.regexp_replace(key(label), "_", "-"), "-", 1)
-    mapping = F.create_map(*[x for pair in {**{k: k for k in LANGUAGES}, **LABEL_ALIASES}.items() for x in map(F.lit, pair)])
+    mapping = F.create_map(*[x for pair in {**{k: k for k in languages}, **LABEL_ALIASES}.items() for x in map(F.lit, pair)])
     return mapping[F.coalesce(head, F.lit(""))]
 
 
@@ -109,7 +114,7 @@ def blocks(text: str) -> list[tuple[str, str, int, bool, bool]]:
             script = p.lastgroup
             body = p.group()
             if script in _SPACED:
-                words = [w for w in re.split(r"[\s,;:،؛–—-]+", body) if w.strip("'")]
+                words = [w for w in _BETWEEN.split(body) if w.strip("'")]
                 if not words:
                     continue
                 if pieces and pieces[-1][0] == script:
@@ -144,6 +149,9 @@ class Compressor:
             content = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=options)
             self.by_script[script].append((language, zstd.ZstdCompressor(dict_data=content, compression_params=options).compress))
+        for of_script in self.by_script.values():
+            # Equal costs go to the language that comes first.
+            of_script.sort(key=lambda x: _rank(x[0]))
 
     def costs(self, script: str, text: str) -> tuple[dict[str, int], int]:
         raw = text.encode()
@@ -211,35 +219,32 @@ def _runs(path: list[str], found: list, whole: list[tuple[int, int]]) -> list[li
 
 
 def language_runs(text: str, compressor: Compressor, default: str | None = None) -> list[tuple[str, float, int]]:
-    """Runs (language, confidence, words) of a text; without any certain block the cheapest language, or ``default``."""
+    """Runs (language, confidence, words) of a text; without any certain block the cheapest language, or ``default``.
+
+    A text whose letters are of no known script, or whose blocks tell nothing, is one run of ``und`` with confidence 0.
+    """
     found: list[tuple[str, str, int, bool, bool]] = []
     costs, sure = [], []
     languages = set()
-    total: dict[str, int] = defaultdict(int)
+    raws: list[int] = []
+
     def keep(block: tuple[str, str, int, bool, bool], c: dict[str, int], raw: int) -> None:
         script, _, n, _, whole = block
         found.append(block)
-        best = second = None
+        raws.append(raw)
+        single = script in _SINGLE
+        good, gap, best = False, 0, None
         if c:
-            ordered = sorted(c.items(), key=lambda x: (x[1], _rank(x[0])))
-            best = ordered[0]
-            second = ordered[1][1] if len(ordered) > 1 else raw
-        # A whole sentence in a script of its own is a run however short it is.
-        other = raw + 4 + (4 * SWITCH_INSIDE if whole and script in _SINGLE else 0)
-        good = False
-        if best:
-            if len(c) == 1 or script in _SINGLE and script != "j":
-                good = True
-            else:
-                good = n >= 3 and second - best[1] >= max(MARGIN_BYTES, MARGIN_SHARE * second)
-            if script == "j":
-                good = True
+            ordered = sorted(c.values())
+            second = ordered[1] if len(ordered) > 1 else raw
+            gap = second - ordered[0]
+            good = len(c) == 1 or single or n >= 3 and gap >= max(MARGIN_BYTES, MARGIN_SHARE * second)
+            if good:
+                best = min(c, key=c.get)
+                languages.add(best)
         sure.append(good)
-        costs.append((c, other, (second - best[1]) if best else 0))
-        if good:
-            languages.add(best[0])
-        for language, size in c.items():
-            total[language] += size - raw
+        # A whole sentence in a script of its own is a run however short it is.
+        costs.append((c, raw + 4 + (4 * SWITCH_INSIDE if whole and single else 0), gap))
 
     def keep_words(stretch: list[tuple[str, str, int, bool, bool]]) -> None:
         words, sizes, certain = _by_word(stretch, compressor)
@@ -247,9 +252,7 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
         costs.extend(sizes)
         sure.extend([bool(certain)] * len(words))
         languages.update(certain)
-        for word, (c, _, _) in zip(words, sizes):
-            for language, size in c.items():
-                total[language] += size - len(word[1].encode()) + 1
+        raws.extend(len(word[1].encode()) - 1 for word in words)
 
     def keep_parts(block: tuple[str, str, int, bool, bool]) -> None:
         """A long block in shorter ones, those that aren't clear word by word."""
@@ -276,15 +279,25 @@ def language_runs(text: str, compressor: Compressor, default: str | None = None)
         else:
             keep(block, *compressor.costs(script, body))
     if not found:
-        return []
+        # Letters, but none of a script that any dictionary or pattern knows.
+        others = len(_LETTERS.findall(text))
+        return [(UNKNOWN, 0.0, others)] if others else []
     if not languages:
+        n = sum(f[2] for f in found)
+        total: dict[str, int] = defaultdict(int)
+        for (c, _, _), raw in zip(costs, raws):
+            for language, size in c.items():
+                total[language] += size - raw
         if default:
-            return [(default, 0.5, sum(f[2] for f in found))]
+            return [(default, 0.5, n)]
         if not total:
-            return []
+            return [(UNKNOWN, 0.0, n)]
         ordered = sorted(total.items(), key=lambda x: (x[1], x[0]))
         gap = (ordered[1][1] if len(ordered) > 1 else 0) - ordered[0][1]
-        return [(ordered[0][0], float(round(1 / (1 + np.exp(-gap / 8)), 4)), sum(f[2] for f in found))]
+        # Rejected in every block: the cheapest language if the whole text tells any, with the little confidence it deserves.
+        if not gap:
+            return [(UNKNOWN, 0.0, n)]
+        return [(ordered[0][0], float(round(1 / (1 + np.exp(-gap / 8)), 4)), n)]
     path, runs = _cut(found, costs, sure, languages)
     beside = _beside_changes(path, found)
     if beside:
@@ -455,14 +468,14 @@ def _clear_wins(compressor: Compressor, part: tuple[str, str], texts: list[str])
     return won
 
 
-def fit_on(documents: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id") -> dict[tuple[str, str], bytes]:
-    """Dictionaries from a hashed sample of at most about FIT_PER_LABEL labelled documents per language."""
-    rows = documents.select(label_language(F.col(label)).alias("label"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("label is not null and text is not null and text <> ''")
+def fit_on(documents: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", languages: tuple[str, ...] = LANGUAGES) -> dict[tuple[str, str], bytes]:
+    """Dictionaries from a hashed sample of at most about FIT_PER_LABEL labelled documents of each of ``languages``."""
+    rows = documents.select(label_language(F.col(label), languages).alias("label"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("label is not null and text is not null and text <> ''")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, FIT_PER_LABEL / n) * (1 << 30)))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share[F.col("label")]).limit(2 * FIT_PER_LABEL * len(LANGUAGES))
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share[F.col("label")]).limit(2 * FIT_PER_LABEL * len(languages))
     sample = chosen.select("label", F.substring("text", 1, FIT_CHARS).alias("text"), "id").collect()
     return fit_dictionaries([(r["label"], r["text"]) for r in sorted(sample, key=lambda r: (r["label"], str(r["id"])))])
 
@@ -473,7 +486,7 @@ RUNS = "record_kind string, record_key string, label string, part_no int, parts
 def identify(records: DataFrame, dictionaries: dict[tuple[str, str], bytes], default: str | None = None) -> DataFrame:
     """One row per language run of (record_kind, record_key, label, text): part_no, parts, lang, confidence, words.
 
-    Null texts and texts without a letter of a known script have no run; texts of any length are read whole; repeated rows
+    Null texts and texts without letters have no run, texts of no known script one run of ``und``; texts of any length are read whole; repeated rows
     give repeated runs; other columns are ignored; an empty table gives an empty result. Without dictionaries nothing is
     identified. ``default`` is the language of texts of which no block is certain.
     """

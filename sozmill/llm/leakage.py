@@ -2,7 +2,7 @@
 
 A window of 18 words with at most two edits keeps a run of at least six words, so the six-word seeds of all items lose
 nothing. Seeds are joined with the corpus' six-word windows inside the scan while the items' seeds are within a stated
-bound, and by a shuffled equi-join of window hashes beyond it. Hits of a document and item that lie on near diagonals
+bound; beyond it the scan drops windows that no item holds, and documents meet the shards of the seeds left. Hits of a document and item that lie on near diagonals
 make one stretch; rarer seeds come first, and a stretch is aligned once.
 """
 
@@ -16,15 +16,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sozmill.llm.coded import Coder, window_hashes
+from sozmill.llm.coded import Coder, passage_filter, window_hashes
 from sozmill.llm.fold import fold, split_words
-from sozmill.session import cut
+from sozmill.session import cut_to_table
 
 WINDOW = 18
 MAX_EDITS = 2
 SEED = 6
 #: Seeds (24 bytes each) that are sent to every task; beyond, hashes are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Beyond, seeds of one shard, and words of the documents that one task holds against them.
+SEEDS_PER_SHARD = 100_000
+WORDS_PER_TASK = 2_000_000
+#: Windows of an item that are compared in one go.
+WINDOWS_AT_ONCE = 512
 
 _TIME = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])>]?")
 #: One or two words and a colon where a sentence can start: after a terminator, a closing mark, a dash or a blank line.
@@ -53,13 +58,18 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, differ: int = -
 
 
 def best_window(item: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> int:
-    """Least number of word edits between any ``window`` consecutive item words and any stretch of the document.
+    """Least number of word edits between any ``window`` consecutive item words and the stretch of the document aligned with the item.
 
-    All windows advance together: one row of the edit table per window word, free start and end in the document.
+    Windows advance together, one row of the edit table per window word, free start and end in the document; long items
+    in parts, each against the part of the stretch its words can meet.
     """
     count = len(item) - window + 1
     if count <= 0 or not len(doc):
         return window
+    if count > WINDOWS_AT_ONCE:
+        pad = abs(len(doc) - len(item)) + 6 * MAX_EDITS
+        parts = [(a, min(a + WINDOWS_AT_ONCE, count)) for a in range(0, count, WINDOWS_AT_ONCE)]
+        return min(best_window(item[a : b + window - 1], doc[max(0, a - pad) : b + window + pad], window) for a, b in parts)
     same = item[:, None] == doc[None, :]
     steps = np.arange(len(doc) + 1)
     row = np.zeros((count, len(doc) + 1), np.int64)
@@ -173,42 +183,96 @@ def find_leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
 
         found = docs.mapInPandas(scan, schema)
     else:
-        found = _shuffled(docs, wanted, schema)
+        found = _sharded(docs, wanted, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.min("edits").alias("edits"))
 
 
-def _shuffled(docs: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
-    """As the scan with broadcast seeds, by an equi-join on window hashes; texts travel only for joined pairs."""
+def _surroundings(batches):
+    """Every seed of an item with the words around it, in which all windows that hold it lie."""
+    coder = Coder()
+    around = WINDOW - SEED
+    for pdf in batches:
+        rows = []
+        for i, t in zip(pdf["item_id"].tolist(), pdf["text"]):
+            codes = coder(plain_words(t))
+            if len(codes) >= WINDOW:
+                for q, h in enumerate(window_hashes(codes, SEED).view(np.int64).tolist()):
+                    rows.append((h, i, codes[max(0, q - around) : q + SEED + around].tobytes(), 1, 0))
+        yield pd.DataFrame(rows, columns=["key", "item_id", "around", "n", "at"])
 
-    def hashed(name: str):
-        def run(batches):
-            coder = Coder()
-            for pdf in batches:
-                ids, at, hs = [], [], []
-                for i, t in zip(pdf[name].tolist(), pdf["text"].tolist()):
-                    h = window_hashes(coder(plain_words(t)), SEED)
-                    ids.append(np.full(len(h), i, np.int64))
-                    at.append(np.arange(len(h), dtype=np.int64))
-                    hs.append(h.view(np.int64))
-                cat = lambda x: np.concatenate([np.empty(0, np.int64), *x])
-                yield pd.DataFrame({name: cat(ids), f"{name}_at": cat(at), "h": cat(hs)})
-
-        return run
-
-    left = docs.mapInPandas(hashed("doc_id"), "doc_id long, doc_id_at long, h long")
-    right = wanted.mapInPandas(hashed("item_id"), "item_id long, item_id_at long, h long")
-    rarity = right.groupBy("h").agg(F.count(F.lit(1)).alias("_many"))
-    hits = cut(left.join(right.join(rarity, "h"), "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("_many", "doc_id_at", "item_id_at")).alias("hits")))
-    full = hits.join(docs, "doc_id").join(wanted.withColumnRenamed("text", "item_text"), "item_id")
+
+def _routed(shards: int, known):
+    """Documents with each shard that has a seed they may hold, and their words."""
+
+    def run(batches):
+        passes, coder = known.value, Coder()
+        for pdf in batches:
+            rows = []
+            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"]):
+                words = plain_words(t)
+                h = window_hashes(coder(words), SEED)
+                hit = h[passes(h, np.ones(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64))]
+                rows += [(int(s), d, len(words), " ".join(words)) for s in np.unique(hit % np.uint64(shards))]
+            yield pd.DataFrame(rows, columns=["shard", "doc_id", "n", "words"])
+
+    return run
+
+
+def _meet(docs: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    """Documents of a block and items of a shard of which some window lies around a common seed."""
+    out = []
+    if len(docs) and len(seeds):
+        coder, back = Coder(), WINDOW - SEED + MAX_EDITS
+        seeds = seeds.drop_duplicates(["key", "item_id", "around"])
+        h = seeds["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        h, owner, around = h[order], seeds["item_id"].to_numpy()[order], seeds["around"].to_numpy()[order]
+        for d, text in zip(docs["doc_id"].tolist(), docs["words"]):
+            codes = coder(text.split(" "))
+            mine = window_hashes(codes, SEED)
+            low, high = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+            found: set[int] = set()
+            # The rarest seeds first: an item once found isn't looked at again.
+            hits = np.flatnonzero(high > low)
+            for p in hits[np.argsort((high - low)[hits], kind="stable")].tolist():
+                near = codes[max(0, p - back) : p + SEED + back]
+                for s in range(low[p], high[p]):
+                    if owner[s] not in found:
+                        item = np.frombuffer(around[s], np.uint64)
+                        if np.isin(item, near).sum() >= WINDOW - MAX_EDITS and best_window(item, near) <= MAX_EDITS:
+                            found.add(owner[s])
+            out += [(d, int(i), text) for i in found]
+    return pd.DataFrame(out, columns=["doc_id", "item_id", "words"])
+
+
+def _sharded(docs: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    """As the scan with broadcast seeds, for any number of items.
+
+    The scan drops what a bit filter of bounded size knows to hold no seed. A document is shuffled once for each shard of
+    seeds that it may hold, a shard meets its documents in bounded blocks, and only windows found go on to be scored.
+    """
+    spark = docs.sparkSession
+    seeds = cut_to_table(wanted.mapInPandas(_surroundings, "key long, item_id long, around binary, n int, at int"))
+    count = seeds.count()
+    shards = count // SEEDS_PER_SHARD + 1
+    known = spark.sparkContext.broadcast(passage_filter(seeds, count))
+    routed = cut_to_table(docs.mapInPandas(_routed(shards, known), "shard int, doc_id long, n long, words string"))
+    blocks = routed.groupBy("shard").agg(F.ceil(F.sum("n") / WORDS_PER_TASK).cast("int").alias("blocks"))
+    left = routed.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "words")
+    shard = F.pmod(F.pmod("key", F.lit(shards)) + F.when(F.col("key") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
+    copies = blocks.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = seeds.select(shard.cast("int").alias("shard"), "key", "item_id", "around").join(copies, "shard")
+    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_meet, "doc_id long, item_id long, words string")
+    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set("words").alias("texts"))
+    full = pairs.select("doc_id", "item_id", F.explode("texts").alias("words")).join(wanted.withColumnRenamed("text", "item_text"), "item_id")
 
     def align(batches):
         coder = Coder()
         for pdf in batches:
-            keys = list(zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist()))
-            pairs = [
-                (coder(plain_words(u)), coder(plain_words(t)), [(int(x["doc_id_at"]), int(x["item_id_at"])) for x in sorted(hs, key=lambda x: (x["_many"], x["doc_id_at"]))])
-                for hs, t, u in zip(pdf["hits"], pdf["text"], pdf["item_text"])
-            ]
+            keys, pairs = list(zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist())), []
+            for text, item in zip(pdf["words"], pdf["item_text"]):
+                codes, mine = coder(text.split(" ")), coder(plain_words(item))
+                pairs.append((mine, codes, [hit for _, hits in _joined(codes, _seed_table([(0, mine)])) for hit in hits]))
             rows = [(*k, *f) for k, f in zip(keys, _aligned(pairs)) if f]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "edits"])
 

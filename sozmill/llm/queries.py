@@ -32,7 +32,8 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     from sozmill.llm.language import label_language
 
     wrong = (F.col("parts") > 1) | ~label_language(F.col("label")).eqNullSafe(F.col("lang"))
-    return _runs(spark, base).where(wrong).select("record_kind", "record_key", "part_no", "lang")
+    # What can't be told is no case.
+    return _runs(spark, base).where(wrong & (F.col("lang") != "und")).select("record_kind", "record_key", "part_no", "lang")
 
 
 def p1_runs(spark: SparkSession, base: str) -> DataFrame:
@@ -63,7 +64,7 @@ def p3_counts(spark: SparkSession, base: str) -> DataFrame:
 def _packed(spark: SparkSession, base: str) -> DataFrame:
     from sozmill.llm.packing import pack
 
-    length = F.when(~F.isnan("duration") & (F.col("duration") < 1e12), F.ceil(F.col("duration") * 1000 - 1e-6))
+    length = F.when(~F.isnan("duration") & (F.col("duration") < 9e12), F.ceil(F.col("duration") * 1000 - 1e-6))
     segments = _segments(spark, base, grp=key("source"), duration=F.col("duration")).select(F.concat(F.lit("segment "), "id").alias("item"), "grp", length.alias("length"))
     manifest = table(spark, base, "asr_manifest").where("sample_id is not null").groupBy("sample_id").agg(F.max(F.struct("duration", key("source").alias("grp"))).alias("r"))
     samples = manifest.select(F.concat(F.lit("sample "), F.col("sample_id").cast("string")).alias("item"), F.col("r.grp").alias("grp"), F.col("r.duration").alias("duration"))

@@ -61,15 +61,40 @@ def direct_components(edges):
 
 def test_components(spark):
     rng = random.Random(5)
-    edges = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(260)] + [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("solo", "solo")]
+    edges = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(130)] + [(f"p{i}", f"p{i + 1}") for i in range(18)] + [("solo", "solo")]
     df = spark.createDataFrame([(*e, 1) for e in [*edges, *edges[:20], (None, "n1")] if e], "a string, b string, label int")
     want = direct_components(edges)
-    for small in (200_000, 3):  # merged in one task, and solved recursively
-        got = {r["node"]: r["component"] for r in components(df, small).collect()}
+    for small, hub in ((200_000, None), (3, None), (3, 2)):  # merged in one task, solved recursively, and most nodes spread
+        got = {r["node"]: r["component"] for r in components(df, small, hub).collect()}
         assert got == want
     assert components(df.limit(0)).collect() == []
 
 
+def test_a_hop_shuffles_only_what_it_reached(spark):
+    from sozmill.llm import grouped_split as g
+
+    edges = spark.range(4000).selectExpr("concat('n', id % 900) as a", "concat('n', (id * 7) % 1300) as b")
+    lists, hubs = g._adjacency(edges, 4, 10_000)
+    frontier = g.cut_by(edges.where("hash(a) % 5 = 0").selectExpr("a as node", "a as label").distinct(), 4, "node")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hop = g._hop(frontier, frontier, lists, hubs, 4)
+        plan = hop._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 1 and plan.count("SortMergeJoin") == 3, plan
+
+
+def test_many_collisions_are_merged_distributed(spark):
+    """More label links than one task may merge."""
+    rng = random.Random(15)
+    edges = [(f"c{rng.randrange(8_000):05d}", f"c{rng.randrange(8_000):05d}") for _ in range(12_000)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string"), 100).collect()}
+    assert got == direct_components(edges)
+
+
 SEGMENT = "id string, channel_id string, source string, speaker_id string, written_at timestamp, group_key string"
 
 

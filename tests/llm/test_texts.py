@@ -71,6 +71,12 @@ def test_labels(spark):
     assert [r["v"] for r in rows.select(language.label_language(F.col("l")).alias("v")).collect()] == ["uz", "uz", "uz", "uz", "zh", None, None, None, None, None]
 
 
+def test_texts_of_no_known_script(compressor):
+    for text in ("오늘은 날씨가 매우 좋습니다", "Ο καιρός είναι καλός σήμερα", "היום מזג האוויר נעים"):
+        assert language.language_runs(text, compressor) == [("und", 0.0, len(text.split()))]
+    assert language.language_runs("", compressor) == language.language_runs("12 — 3!", compressor) == []
+
+
 def test_held_out_accuracy(spark):
     """Labelled documents that the dictionaries have not seen; labels are wrong in some rows, so agreement stays below 1."""
     rows = spark.read.parquet(f"{BASE}/documents.parquet").where("text <> ''").withColumn("label", language.label_language(F.col("lang"))).where("label is not null").collect()
@@ -174,7 +180,7 @@ def direct_window(item, doc):
     return best
 
 
-def test_leaks_match_brute_force(spark):
+def test_leaks_match_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, passage(rng, rng.choice([12, 18, 25, 40]))) for i in range(12)]
     docs = []
@@ -187,12 +193,27 @@ def test_leaks_match_brute_force(spark):
     assert len(want) > 10
     left = spark.createDataFrame([(d, " ".join(doc), 1) for d, doc in docs] + [(99, None, 1), (98, "", 1), (None, "x", 1)], "doc_id long, text string, score int")
     right = spark.createDataFrame([(i, " ".join(item), 1) for i, item in items] + [(50, None, 1), (51, "", 1)], "item_id long, text string, edits int")
-    for bound in (leakage.BROADCAST_SEEDS, 0):  # seeds sent to the scan, and seeds joined by a shuffle
+    for bound, shard in ((leakage.BROADCAST_SEEDS, 100_000), (0, 100_000), (0, 30)):  # seeds sent to the scan, and seeds in one and many shards
+        monkeypatch.setattr(leakage, "SEEDS_PER_SHARD", shard)
+        monkeypatch.setattr(leakage, "WORDS_PER_TASK", 20 * shard)
         got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(left, right, broadcast_seeds=bound).collect()}
         assert got == want
     assert leakage.find_leaks(left.limit(0), right).collect() == [] and leakage.find_leaks(left, right.limit(0)).collect() == []
 
 
+def test_both_ways_find_the_same_leaks(spark):
+    docs, items = (spark.read.parquet(f"{BASE}/{name}.parquet") for name in ("documents", "eval_items"))
+    few, many = (sorted(map(tuple, leakage.find_leaks(docs, items, broadcast_seeds=bound).collect())) for bound in (leakage.BROADCAST_SEEDS, 0))
+    assert few == many and len(few) > 20
+
+
+def test_long_items_are_aligned_in_parts():
+    rng = np.random.default_rng(4)
+    item = rng.integers(1, 1 << 60, 3_000).astype(np.uint64)
+    doc = np.concatenate([rng.integers(1, 1 << 60, 40).astype(np.uint64), item[1_900:1_950], rng.integers(1, 1 << 60, 900).astype(np.uint64)])
+    assert leakage.best_window(item, doc) == 0 and leakage.best_window(item, doc[60:75]) == 3 and leakage.best_window(item[:800], doc) == 18
+
+
 def test_leaks_ignore_layout(spark):
     rng = random.Random(9)
     seq = [rng.choice(["qo‘shni", "bola", "eskirgan", "ta’mirladi", "shahar", "yozib", "oldi", "choy"]) + "a" * rng.randrange(3) for _ in range(24)]
