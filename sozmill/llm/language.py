@@ -63,7 +63,7 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _TAG = re.compile(r"\[[^\[\]\n]*\]")
 _SENTENCE = re.compile(r"[.!?…](?=[\s»”\"’“)\]']|$)[.!?…»”\"’“)\]']*|[。！？।؟]+[」』”»]*|\n[^\S\n]*\n")
 _PIECE = re.compile(
-    r"(?P<l>[a-zß-öø-ɏ']+(?:[\s,;:–—-]+[a-zß-öø-ɏ']+)*)|(?P<c>[Ѐ-ԯ']+(?:[\s,;:–—-]+[Ѐ-ԯ']+)*)|(?P<j>[぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ー々〆][぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ー々〆，、：；\s]*)"
+    r"(?P<l>[a-zß-öø-ɏ']+(?:[\s,;:–—-]+[a-zß-öø-ɏ']+)*)|(?P<c>[Ѐ-ԯ']+(?:[\s,;:–—-]+[Ѐ-ԯ']+)*)|(?P<j>[぀-ヿㇰ-ㇿ㐀-鿿\uf900-\ufaffー々〆][぀-ヿㇰ-ㇿ㐀-鿿\uf900-\ufaffー々〆，、：；\s]*)"
     r"|(?P<a>[؀-ۿݐ-ݿ]+(?:[\s،؛:–—-]+[؀-ۿݐ-ݿ]+)*)|(?P<h>[ऀ-ॣॱ-ॿ]+(?:[\s,;:–—-]+[ऀ-ॣॱ-ॿ]+)*)|(?P<t>[ก-๎]+(?:\s+[ก-๎]+)*)"
 )
 _BETWEEN = re.compile(r"[\s,;:،؛–—-]+")
