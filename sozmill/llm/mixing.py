@@ -32,6 +32,8 @@ FILL = 0.98
 SHIFT_BINS = 8192
 #: Sources a mix may have; a vector of so many numbers goes to the driver each step.
 MOST_SOURCES = 1_000
+#: Largest classifier that is sent to every task.
+MOST_BYTES = 256 << 20
 
 
 def default_vocabulary() -> str:
@@ -51,24 +53,26 @@ def load_tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def fit_classifier(rows: list[tuple[int, str]], sources: int, path: str) -> np.ndarray:
+def fit_classifier(rows: list[tuple[int, str]], sources: int, path: str, fit_tokens: int = FIT_TOKENS) -> np.ndarray:
     """Log probabilities (token, source) of a naive Bayes model with add-one smoothing over all texts' frequencies."""
     encoder = load_tokenizer(path)
     counts = np.zeros((encoder.n_vocab, sources))
     for source, text in rows:
-        np.add.at(counts[:, source], encoder.encode_ordinary(text[: 4 * FIT_TOKENS])[:FIT_TOKENS], 1)
+        np.add.at(counts[:, source], encoder.encode_ordinary(text[: 4 * fit_tokens])[:fit_tokens], 1)
     overall = counts.sum(1, keepdims=True) + 0.1
     smoothed = counts + overall / overall.sum() * 1000.0
     return np.log(smoothed / smoothed.sum(0, keepdims=True)).astype(np.float32)
 
 
-def memberships(documents: DataFrame, sources: list[str], vocabulary: str, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def memberships(documents: DataFrame, sources: list[str], vocabulary: str, fit_documents: int = FIT_DOCUMENTS, fit_tokens: int = FIT_TOKENS, label_noise: float = LABEL_NOISE) -> DataFrame:
     """(doc_id, label, tokens, posterior) of documents with one of the sources; tokens over whole texts."""
     numbers = F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i)])
     rows = documents.withColumn("label", numbers[F.coalesce(key("source"), F.lit(""))]).where("label is not null and doc_id is not null and text is not null")
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text")
-    sample = bounded_sample(rows, "doc_id", fit_documents).select("label", F.substring("text", 1, 4 * FIT_TOKENS).alias("text"))
-    table = fit_classifier([(r["label"], r["text"]) for r in sample.collect()], len(sources), vocabulary)
+    sample = bounded_sample(rows, "doc_id", fit_documents).select("label", F.substring("text", 1, 4 * fit_tokens).alias("text"))
+    table = fit_classifier([(r["label"], r["text"]) for r in sample.collect()], len(sources), vocabulary, fit_tokens)
+    if table.nbytes > MOST_BYTES:
+        raise ValueError(f"the classifier has {table.nbytes} bytes, more than tasks may be sent")
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -79,8 +83,8 @@ def memberships(documents: DataFrame, sources: list[str], vocabulary: str, fit_d
             n = np.array([len(e) for e in encoded], np.int64)
             # Token evidence is far from independent; its root tempers it.
             logits = np.array([weights[e].sum(0) / np.sqrt(len(e)) if e else np.zeros(weights.shape[1]) for e in encoded]).reshape(len(n), -1)
-            logits += np.log(LABEL_NOISE / max(1, weights.shape[1] - 1))
-            logits[np.arange(len(n)), labels] += np.log(1 - LABEL_NOISE) - np.log(LABEL_NOISE / max(1, weights.shape[1] - 1))
+            logits += np.log(label_noise / max(1, weights.shape[1] - 1))
+            logits[np.arange(len(n)), labels] += np.log(1 - label_noise) - np.log(label_noise / max(1, weights.shape[1] - 1))
             p = np.exp(logits - logits.max(1, keepdims=True)) if len(n) else logits
             p /= p.sum(1, keepdims=True) if len(n) else 1
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "tokens": n, "posterior": [r.tobytes() for r in p.astype(np.float32)]})
@@ -88,43 +92,54 @@ def memberships(documents: DataFrame, sources: list[str], vocabulary: str, fit_d
     return rows.mapInPandas(run, "doc_id long, label int, tokens long, posterior binary")
 
 
-def _rates(tokens: np.ndarray, labels: np.ndarray, p: np.ndarray, caps: np.ndarray, start: np.ndarray, residuals: list[np.ndarray]) -> np.ndarray:
-    """The rates after the given steps; every document repeats the projected steps from the stored residuals."""
-    rate = np.minimum(start[labels], caps[labels])
-    for residual in residuals:
-        rate = np.clip(rate - p @ residual, 0.0, caps[labels])
-    return rate
+def _posteriors(pdf: pd.DataFrame, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["posterior"]), np.float32).reshape(len(pdf), size).astype(float)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, available: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Start rates and residual steps whose expected tokens per source match ``targets``; one small aggregate per step.
+def _rates(labels: np.ndarray, p: np.ndarray, caps: np.ndarray, start: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Rates of documents: their source's start, less the part of every source's correction that is theirs, projected to [0, cap]."""
+    return np.clip(start[labels] - p @ taken, 0.0, caps[labels])
 
-    Least squares of expected minus wanted tokens by gradient steps, scaled by each source's tokens, clipped to [0, cap].
+
+def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, available: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start rates and corrections by source with which the expected tokens of every source are near ``targets``.
+
+    Least squares of expected minus wanted tokens by projected gradient: a document's rate depends on the corrections
+    alone, so a pass does the same little work for each document however many went before. Gradients are scaled by the
+    Gram matrix of the memberships of documents that aren't at a bound, which saves most passes. Each pass brings the
+    driver one row per source.
     """
     size = len(targets)
     start = np.minimum(np.divide(targets, available, out=np.zeros(size), where=available > 0), caps)
-    steps: list[np.ndarray] = []
+    taken, best, least = np.zeros(size), np.zeros(size), np.inf
     for _ in range(STEPS):
-        done = list(steps)
+        now = taken.copy()
 
         def totals(batches):
-            sums = np.zeros(size)
+            sums, gram = np.zeros(size), np.zeros((size, size))
             for pdf in batches:
                 if len(pdf):
-                    p = np.frombuffer(b"".join(pdf["posterior"]), np.float32).reshape(len(pdf), size).astype(float)
-                    n = pdf["tokens"].to_numpy(float)
-                    sums += (_rates(n, pdf["label"].to_numpy(), p, caps, start, done) * n) @ p
-            yield pd.DataFrame({"source": np.arange(size), "expected": sums})
-
-        found = members.mapInPandas(totals, "source int, expected double").groupBy("source").agg(F.sum("expected").alias("expected")).collect()
-        expected = np.zeros(size)
+                    p, n, labels = _posteriors(pdf, size), pdf["tokens"].to_numpy(float), pdf["label"].to_numpy()
+                    rate = _rates(labels, p, caps, start, now)
+                    sums += (rate * n) @ p
+                    free = (rate > 0) & (rate < caps[labels])
+                    gram += (p[free] * n[free, None]).T @ p[free]
+            yield pd.DataFrame({"source": np.arange(size), "expected": sums, "gram": list(gram)})
+
+        found = members.mapInPandas(totals, "source int, expected double, gram array<double>")
+        found = found.groupBy("source").agg(F.sum("expected").alias("expected"), *[F.sum(F.get("gram", i)).alias(f"g{i}") for i in range(size)]).collect()
+        expected, gram = np.zeros(size), np.zeros((size, size))
         for r in found:
             expected[r["source"]] = r["expected"]
+            gram[r["source"]] = r[2:]
         off = expected - targets
-        if np.abs(off).max(initial=0.0) <= TOLERANCE * max(targets.sum(), 1.0):
+        if np.abs(off).max(initial=0.0) < least:
+            best, least = now, np.abs(off).max(initial=0.0)
+        if least <= TOLERANCE * max(targets.sum(), 1.0) or not len(found):
             break
-        steps.append(np.divide(off, available, out=np.zeros(size), where=available > 0))
-    return start, steps
+        gram[np.diag_indices(size)] += 1e-3 * np.maximum(available, 1.0)
+        taken = now + np.linalg.solve(gram, off)
+    return start, best
 
 
 def own_factors(spread: list[tuple[int, float, int]], goal: np.ndarray, caps: np.ndarray) -> np.ndarray:
@@ -148,10 +163,15 @@ def own_factors(spread: list[tuple[int, float, int]], goal: np.ndarray, caps: np
     return factors
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, fit_documents: int = FIT_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """Selection (doc_id, source, tokens, rate, copies) and shares (source, target_share, actual_share, documents, copies, tokens).
+def mix(
+    documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, fit_documents: int = FIT_DOCUMENTS, fit_tokens: int = FIT_TOKENS, fill: float = FILL, label_noise: float = LABEL_NOISE
+) -> tuple[DataFrame, DataFrame]:
+    """Selection (doc_id, source, tokens, rate, copies) and shares (source, target_share, actual_share, expected_share, documents, copies, tokens).
+
+    actual_share counts a document's tokens for the source it is labelled with, expected_share divides them by its
+    posteriors. The classifier is fitted on about ``fit_documents`` documents and ``fit_tokens`` tokens of each.
 
-    The mix is FILL times as large as the repeats allow: the least over sources of tokens * max_repeats / share. Shares are scaled to
+    The mix is ``fill`` times as large as the repeats allow: the least over sources of tokens * max_repeats / share. Shares are scaled to
     1 over the sources that have a share above 0 and documents; other sources and documents of unlisted sources are not
     selected, listed sources without either are reported with 0. Null texts have no tokens and aren't selected, null
     max_repeats mean 1, a source listed twice counts with its greatest share; doc_id is taken as unique (repeated rows are
@@ -164,7 +184,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     if len(listed) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = [r["source"] for r in listed] or [""]
-    members = cut(memberships(documents, names, vocabulary, fit_documents))
+    members = cut(memberships(documents, names, vocabulary, fit_documents, fit_tokens, label_noise))
     size = len(names)
     tokens = np.zeros(size)
     for r in members.groupBy("label").agg(F.sum("tokens").alias("t")).collect():
@@ -172,19 +192,15 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     caps = np.array([float(r["cap"]) for r in listed] or [0.0])
     share = np.array([r["share"] for r in listed] or [0.0]) * (tokens > 0) * (caps > 0)
     share = share / share.sum() if share.sum() > 0 else share
-    total = FILL * min((tokens[i] * caps[i] / share[i] for i in range(size) if share[i] > 0), default=0.0)
+    total = fill * min((tokens[i] * caps[i] / share[i] for i in range(size) if share[i] > 0), default=0.0)
     goal, caps = total * share, caps * (share > 0)
-    start, steps = fit_rates(members, goal, caps, tokens)
+    start, taken = fit_rates(members, goal, caps, tokens)
 
     def rated(batches):
         for pdf in batches:
-            p = np.frombuffer(b"".join(pdf["posterior"]), np.float32).reshape(len(pdf), size).astype(float)
-            n = pdf["tokens"].to_numpy(float)
-            pdf = pdf.drop(columns="posterior")
-            pdf["rate"] = _rates(n, pdf["label"].to_numpy(), p, caps, start, steps) if len(pdf) else np.empty(0)
-            yield pdf
+            yield pdf.assign(rate=_rates(pdf["label"].to_numpy(), _posteriors(pdf, size), caps, start, taken) if len(pdf) else np.empty(0))
 
-    rates = cut(members.mapInPandas(rated, "doc_id long, label int, tokens long, rate double"))
+    rates = cut(members.mapInPandas(rated, "doc_id long, label int, tokens long, posterior binary, rate double"))
     spread = rates.groupBy("label", F.round(F.col("rate"), 3).alias("rate")).agg(F.sum("tokens").alias("tokens")).collect() if total else []
     factors = own_factors([(r["label"], r["rate"], r["tokens"]) for r in spread], goal, caps)
     factor_of = F.element_at(F.array(*[F.lit(float(f)) for f in factors]), F.col("label") + 1)
@@ -194,7 +210,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     rates = rates.withColumn("rate", F.least(F.col("rate") * factor_of, cap_of))
     placed = cut(rates.withColumn("x", F.col("rate") + unit).withColumn("low", F.floor(F.col("x") - 0.5)).withColumn("cap", cap_of))
     bounded = lambda c: F.least(F.greatest(c, F.lit(0)), F.col("cap")).cast("bigint")
-    placed = placed.select("doc_id", "label", "tokens", "rate", bounded(F.col("low")).alias("base"), bounded(F.col("low") + 1).alias("more"), F.floor((F.col("low") + 1.5 - F.col("x")) * SHIFT_BINS).cast("int").alias("bin"))
+    placed = placed.select("doc_id", "label", "tokens", "posterior", "rate", bounded(F.col("low")).alias("base"), bounded(F.col("low") + 1).alias("more"), F.floor((F.col("low") + 1.5 - F.col("x")) * SHIFT_BINS).cast("int").alias("bin"))
     bins = placed.groupBy("label", "bin").agg(F.sum(F.col("tokens") * F.col("base")).alias("base"), F.sum(F.col("tokens") * (F.col("more") - F.col("base"))).alias("gain"))
     reach = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("label")
@@ -202,13 +218,22 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     error = F.abs(F.sum("base").over(whole) + F.sum("gain").over(reach) - goal_of)
     shift = bins.select("label", "bin", error.alias("error")).groupBy("label").agg(F.min_by("bin", F.struct("error", "bin")).alias("last"))
     name_of = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("label") + 1)
-    chosen = placed.join(F.broadcast(shift), "label").select("doc_id", name_of.alias("source"), "tokens", "rate", F.when(F.col("bin") <= F.col("last"), F.col("more")).otherwise(F.col("base")).alias("copies"))
+    chosen = placed.join(F.broadcast(shift), "label").select("doc_id", name_of.alias("source"), "tokens", "posterior", "rate", F.when(F.col("bin") <= F.col("last"), F.col("more")).otherwise(F.col("base")).alias("copies"))
     chosen = cut(chosen.where("copies > 0 and tokens > 0"))
+
+    def domains(batches):
+        sums = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                sums += (pdf["tokens"] * pdf["copies"]).to_numpy(float) @ _posteriors(pdf, size)
+        yield pd.DataFrame({"source": names, "expected": sums})
+
     plan = spark.createDataFrame([(n, float(s)) for n, s in zip(names, share) if n], "source string, target_share double")
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    by_domain = chosen.mapInPandas(domains, "source string, expected double").groupBy("source").agg(F.sum("expected").alias("expected"))
     all_used = used.agg(F.sum("tokens").alias("all"))
-    shares = plan.join(used, "source", "left").crossJoin(F.broadcast(all_used)).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"),
+    shares = plan.join(used, "source", "left").join(by_domain, "source", "left").crossJoin(F.broadcast(all_used)).select(
+        "source", "target_share", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"), F.coalesce(F.col("expected") / F.col("all"), F.lit(0.0)).alias("expected_share"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "copies", "tokens")],
     )
-    return chosen, shares
+    return chosen.drop("posterior"), shares

@@ -20,7 +20,7 @@ GRID = 120
 DEPTH = 4
 #: Most left-over pieces that one task packs.
 BLOCK = 20_000
-#: Copies of a pattern that one row expands to.
+#: Copies of a pattern, and pieces of an item, that one row expands to.
 RUN = 50_000
 
 
@@ -150,10 +150,16 @@ def pack(items: DataFrame, limits: DataFrame, item: str = "item", group: str = "
     rows = items.select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(length).cast("bigint").alias("length")).where("item is not null")
     rows = rows.join(caps, "grp", "left")
     usable = F.col("length").isNotNull() & (F.col("length") > 0) & F.col("capacity").isNotNull()
-    unusable = rows.where(~usable).select("item", "grp", F.lit(1).alias("piece"), F.lit(1).alias("pieces"), "length", "capacity", F.lit(None).cast("string").alias("container"))
+    unusable = rows.where(~usable).select("item", "grp", F.lit(1).cast("bigint").alias("piece"), F.lit(1).cast("bigint").alias("pieces"), "length", "capacity", F.lit(None).cast("string").alias("container"))
 
     count = F.expr("(length + capacity - 1) div capacity")
-    pieces = rows.where(usable).withColumn("pieces", count.cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
+    long = F.col("pieces") > RUN
+    cuttable = rows.where(usable).withColumn("pieces", count)
+    # Items of very many pieces are laid out in bounded runs, which are spread before they are expanded.
+    whole_runs = cuttable.where(long).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(pieces - 1) div {RUN}")))).repartition("item", "run")
+    numbers = F.sequence(F.col("run") * RUN + 1, F.least((F.col("run") + 1) * RUN, F.col("pieces")))
+    spread = whole_runs.withColumn("piece", F.explode(numbers)).drop("run")
+    pieces = cuttable.where(~long).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("pieces")))).unionByName(spread)
     rest = F.col("length") - (F.col("piece") - 1) * F.col("capacity")
     pieces = pieces.withColumn("length", F.least(rest, F.col("capacity")))
     pieces = pieces.withColumn("bin", F.expr(f"cast((length * {GRID} + capacity - 1) div capacity as int)"))
@@ -178,7 +184,7 @@ def pack(items: DataFrame, limits: DataFrame, item: str = "item", group: str = "
     left = matched.where("container is null").drop("container")
     blocks = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     left = left.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.col("blocks")).cast("int"))
-    greedy = left.groupBy("grp", "block").applyInPandas(_best_fit, "item string, piece int, container string")
+    greedy = left.groupBy("grp", "block").applyInPandas(_best_fit, "item string, piece long, container string")
     greedy = left.drop("blocks", "block").join(greedy, ["item", "piece"])
     out = ["item", "grp", "piece", "pieces", "length", "capacity", "container"]
     return unusable.unionByName(full.select(*out)).unionByName(planned.select(*out)).unionByName(greedy.select(*out))

@@ -143,6 +143,14 @@ def test_plan_never_uses_more_than_there_is():
     assert all(used[b] <= histogram.get(b, 0) for b in used) and sum(used.values()) > 0.8 * sum(histogram.values())
 
 
+def test_items_of_very_many_pieces(spark):
+    items = spark.createDataFrame([("long", "g", 1_000_003), ("short", "g", 4)], "item string, grp string, length long")
+    limits = spark.createDataFrame([("g", 5)], "grp string, capacity long")
+    rows = pack(items, limits)
+    assert rows.agg(F.count(F.lit(1)), F.sum("length"), F.max("pieces"), F.countDistinct("container")).first()[:3] == (200_002, 1_000_007, 200_001)
+    assert rows.where("container is null or length > 5").isEmpty()
+
+
 def test_pack(spark):
     rng = random.Random(4)
     items = [(f"i{n}", rng.choice(["a", "b"]), int(min(70_000, rng.lognormvariate(9, 0.7)))) for n in range(3000)]

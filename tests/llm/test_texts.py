@@ -345,7 +345,11 @@ def test_mix(spark):
     assert set(got) == {"big", "mid", "small", "gone", "none"} and got["gone"]["copies"] == got["none"]["copies"] == 0
     for s, want in (("big", 0.5 / 1.05), ("mid", 0.3 / 1.05), ("small", 0.25 / 1.05)):
         assert abs(got[s]["target_share"] - want) < 1e-9 and abs(got[s]["actual_share"] - want) < 0.01
+        assert abs(got[s]["expected_share"] - got[s]["target_share"]) < 0.05
+    assert abs(sum(r["expected_share"] for r in got.values()) - 1) < 1e-6
     limit = {"big": 1, "mid": 2, "small": 3}
+    full = {r["source"]: r for r in mix(docs, targets, fill=1.0)[1].collect()}
+    assert full["mid"]["tokens"] > got["mid"]["tokens"] and abs(full["mid"]["actual_share"] - 0.3 / 1.05) < 0.02
     picked = chosen.collect()
     assert picked and all(1 <= r["copies"] <= limit[r["source"]] and r["tokens"] > 0 for r in picked)
     assert mix(docs.limit(0), targets)[0].collect() == [] and mix(docs, targets.limit(0))[0].collect() == []
