@@ -9,6 +9,7 @@ from sozmill.functions.keys import key
 from sozmill.operators import sampling as S
 from sozmill.operators.ranking import spread_rank
 from sozmill.plans.catalog import Catalog
+from sozmill.plans.texts import _CLEAN, _VOC, VOCABULARY
 from sozmill.plans.corpus import _M, _MS, _S, _SEG, _V, _millis, manifest, manifest_rows, segments, videos
 
 CATALOG = Catalog()
@@ -103,35 +104,43 @@ def crc_shard(spark, base):
     return manifest(spark, base, "parquet", "audio_filepath").groupBy(owner.alias("worker")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_BATCHES = f"""{_OK}, f AS (SELECT {_FILE} AS file, sample_id, millis, row_number() OVER (PARTITION BY {_FILE} ORDER BY sample_id) AS n FROM d)"""
+_BATCHES = f"""{_OK}, f AS (SELECT {_FILE} AS file, sample_id, millis, text, row_number() OVER (PARTITION BY {_FILE} ORDER BY sample_id) AS n FROM d WHERE regexp_matches({_CLEAN}, '^[a-z ''.,?!]*$'))"""
 
 
-@add(
-    f"""WITH RECURSIVE {_BATCHES.removeprefix('WITH ')}, b AS (
-  SELECT file, sample_id, n, millis AS longest, 1 AS rows, 0 AS batch FROM f WHERE n = 1
-  UNION ALL SELECT f.file, f.sample_id, f.n,
+_OPEN = f"""WITH RECURSIVE {_BATCHES.removeprefix('WITH ')}, b AS (
+  SELECT file, sample_id, text, n, millis AS longest, 1 AS rows, 0 AS batch FROM f WHERE n = 1
+  UNION ALL SELECT f.file, f.sample_id, f.text, f.n,
     CASE WHEN greatest(b.longest, f.millis) * (b.rows + 1) > 60000 THEN f.millis ELSE greatest(b.longest, f.millis) END,
     CASE WHEN greatest(b.longest, f.millis) * (b.rows + 1) > 60000 THEN 1 ELSE b.rows + 1 END,
     CASE WHEN greatest(b.longest, f.millis) * (b.rows + 1) > 60000 THEN b.batch + 1 ELSE b.batch END
-  FROM b JOIN f ON f.file = b.file AND f.n = b.n + 1)
-SELECT file, sample_id, batch FROM b"""
-)
+  FROM b JOIN f ON f.file = b.file AND f.n = b.n + 1)"""
+
+
+def _batched(spark, base):
+    """Rows whose text can be encoded, in padded batches of at most a minute; other rows are skipped before a batch is formed."""
+    ids = T.encode(F.lower("text"), VOCABULARY)
+    rows = _timed(spark, base, F.coalesce("parquet", "audio_filepath").alias("file"), "text").where(ids.isNotNull())
+    return S.greedy_batches(rows, "file", ["sample_id"], "millis", 60_000, ["text"]).withColumn("ids", ids)
+
+
+@add(f"{_OPEN} SELECT file, sample_id, batch FROM b")
 def greedy_batches(spark, base):
-    rows = _timed(spark, base, F.coalesce("parquet", "audio_filepath").alias("file"))
-    return S.greedy_batches(rows, "file", ["sample_id"], "millis", 60_000, []).select("file", "sample_id", "batch")
+    return _batched(spark, base).select("file", "sample_id", "batch")
 
 
-@add()
+_IDS = f"list_transform(list_filter(string_split({_CLEAN}, ''), lambda c: c <> ''), lambda c: CAST(list_position({_VOC}, c) - 1 AS INTEGER))"
+
+
+@add(
+    f"{_OPEN}, e AS (SELECT file, batch, sample_id, {_IDS} AS ids FROM b), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY file, batch) AS longest FROM e) "
+    "SELECT file, batch, sample_id, list_concat(ids, list_transform(range(longest - len(ids)), lambda x: CAST(0 AS INTEGER))) AS ids, len(ids) AS length FROM w"
+)
 def pad_targets(spark, base):
     """Encoded targets of every batch padded to its longest, with their lengths."""
-    rows = _timed(spark, base, F.coalesce("parquet", "audio_filepath").alias("file"), "text")
-    batched = S.greedy_batches(rows, "file", ["sample_id"], "millis", 60_000, ["text"])
-    from sozmill.plans.texts import VOCABULARY
-
-    coded = batched.withColumn("ids", T.encode(F.lower("text"), VOCABULARY)).where("ids is not null")
+    coded = _batched(spark, base)
     longest = coded.groupBy("file", "batch").agg(F.max(F.size("ids")).alias("longest"))
     joined = coded.join(longest, ["file", "batch"])
-    return joined.select("file", "batch", "sample_id", S.pad(F.col("ids"), F.col("longest")).alias("ids"), F.size("ids").alias("length"))
+    return joined.select("file", "batch", "sample_id", S.pad(F.col("ids"), F.col("longest")).alias("ids"), F.size("ids").cast("bigint").alias("length"))
 
 
 @add(

@@ -87,27 +87,39 @@ def int_to_words(spark, base):
     return numbers.select("n", T.int_to_words(F.col("n").cast("string")).alias("words"))
 
 
-_NUMBERS = r"[0-9]{1,3}(?:[ ,][0-9]{3})+\b|[0-9]+"
-_FOUND = f"regexp_extract_all(text, '({_NUMBERS})(\\s*%)?')"
-_DIGITS = "CAST(translate(regexp_replace(m, '\\s*%$', ''), ' ,', '') AS BIGINT)"
-_SPELLED = f"list_transform({_FOUND}, lambda m: {_words_macro(_DIGITS)} || CASE WHEN m LIKE '%\\%' ESCAPE '\\' THEN ' foiz' ELSE '' END)"
+# Digits of the corpus' other scripts, each ten in a row.
+_OTHER_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९๐๑๒๓๔๕๖๗๘๙０１２３４５６７８９"
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
-@add(
-    f"SELECT id, array_to_string(list_transform(list_zip(string_split_regex(text, '({_NUMBERS})(\\s*%)?'), {_SPELLED}), lambda z: z[1] || coalesce(z[2], '')), '') AS value "
-    "FROM segments WHERE text IS NOT NULL"
-)
+def _sql_expand(text: str) -> str:
+    """Numbers of a text as words. A group of three must not go on in a digit, which RE2 cannot look ahead for; so a mark
+    goes behind every digit that isn't followed by one."""
+    marked = rf"regexp_replace({text}, '(\p{{Nd}})(\P{{Nd}}|$)', '\1' || chr(1) || '\2', 'g')"
+    number = rf"\p{{Nd}}{{1,3}}(?:\x01[ ,]\p{{Nd}}{{3}})+\x01|\p{{Nd}}+\x01"
+    digits = f"translate(translate(regexp_replace(m, '{_SPACE}*%$', ''), ' ,' || chr(1), ''), '{_OTHER_DIGITS}', '{'0123456789' * 5}')"
+    words = f"list_transform([TRY_CAST({digits} AS BIGINT)], lambda n: {_words_macro('n')})[1]"
+    spelled = f"list_transform(regexp_extract_all({marked}, '({number})({_SPACE}*%)?'), lambda m: CASE WHEN length(ltrim({digits}, '0')) > 18 THEN m ELSE {words} || CASE WHEN m LIKE '%\\%' ESCAPE '\\' THEN ' foiz' ELSE '' END END)"
+    return f"replace(array_to_string(list_transform(list_zip(string_split_regex({marked}, '({number})({_SPACE}*%)?'), {spelled}), lambda z: z[1] || coalesce(z[2], '')), ''), chr(1), '')"
+
+
+@add(_sql(_sql_expand("text")))
 def expand_numbers(spark, base):
     return _each(spark, base, T.expand_numbers(F.col("text")))
 
 
-@add()
+@add(f"SELECT doc_id, {_sql_expand('text')} AS value FROM documents")
 def expand_numbers_documents(spark, base):
-    """Numbers of whole documents, whose sizes exceed what the SQL words cover."""
+    """Numbers of whole documents."""
     return table(spark, base, "documents").select("doc_id", T.expand_numbers(F.col("text")).alias("value"))
 
 
-@add()
+_FRONT = sql_collapse("regexp_replace(lower(v), '[^a-zʻʼ ]', ' ', 'g')")
+
+
+@add(
+    f"WITH a AS (SELECT id, {_sql_translit(sql_apostrophes('text', T.FRONTEND_APOSTROPHES))} AS t FROM segments WHERE text IS NOT NULL), b AS (SELECT id, {_sql_expand('t')} AS v FROM a) SELECT id, {_FRONT} AS value FROM b"
+)
 def frontend_normalize(spark, base):
     return _each(spark, base, T.frontend_normalize(F.col("text")))
 

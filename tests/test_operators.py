@@ -331,10 +331,22 @@ def test_session_stream_matches_batch(spark, tmp_path):
     assert good.count() == 1 and failed.count() == 1
 
 
-def test_llm_is_optional():
+def test_llm_is_optional(tmp_path):
+    """Without the subpackage the rest imports and lists its queries; a broken dependency isn't taken for its absence."""
     import pathlib
+    import shutil
+    import subprocess
+    import sys
 
     root = pathlib.Path(__file__).resolve().parents[1]
     for path in (root / "sozmill").rglob("*.py"):
         if "llm" not in path.parts:
             assert "sozmill.llm" not in path.read_text("utf-8")
+    shutil.copytree(root / "sozmill", tmp_path / "sozmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": ""})
+    alone = run()
+    assert alone.returncode == 0 and int(alone.stdout) > 100
+    (tmp_path / "sozmill" / "llm").mkdir()
+    (tmp_path / "sozmill" / "llm" / "queries.py").write_text("import no_such_module\n")
+    assert "no_such_module" in run().stderr
