@@ -65,12 +65,12 @@ def channel_issues(host_ok: Column) -> Column:
 
 
 def outside_bounds(seconds: Column, least: float | None = None, most: float | None = None) -> Column:
-    """Why a duration is rejected, or null; a bound that is None or 0 doesn't count."""
+    """Why a duration is rejected, or null; a bound that is None or 0 does not count. Halves are shown as the even second."""
     out = F.lit(None).cast("string")
     if most:
-        out = F.when(seconds > most, F.format_string(f"duration %.0fs > max {most:.0f}s", seconds)).otherwise(out)
+        out = F.when(seconds > most, F.format_string(f"duration %.0fs > max {most:.0f}s", F.bround(seconds, 0))).otherwise(out)
     if least:
-        out = F.when(seconds < least, F.format_string(f"duration %.0fs < min {least:.0f}s", seconds)).otherwise(out)
+        out = F.when(seconds < least, F.format_string(f"duration %.0fs < min {least:.0f}s", F.bround(seconds, 0))).otherwise(out)
     return out
 
 
