@@ -82,6 +82,13 @@ def p4_packed(spark: SparkSession, base: str) -> DataFrame:
     return _packed(spark, base).select("item_kind", "item_key", F.col("grp").alias("source"), "piece", "pieces", F.col("length").alias("length_ms"), "container")
 
 
+def p4_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """Every item with its pieces put together again: all of its length is placed, in as few pieces as its capacity allows."""
+    placed = F.col("container").isNotNull()
+    rows = _packed(spark, base).groupBy("item_kind", "item_key")
+    return rows.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.bool_and(placed), F.lit(False)).alias("placed"), F.sum("length").alias("length_ms"))
+
+
 def p4_containers(spark: SparkSession, base: str) -> DataFrame:
     used = _packed(spark, base).where("container is not null").groupBy("grp", "container").agg(F.sum("length").alias("used"), F.max("capacity").alias("capacity"))
     return used.groupBy(F.col("grp").alias("source")).agg(
@@ -152,7 +159,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p8_selection, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_sample, p3_counts, p4_found, p4_packed, p4_pieces, p4_containers, p5_found, p5_counts, p6_found, p6_split, p7_found, p7_leaks, p8_selection, p8_shares, p9_found)}
 
 
 _CURRENT = """current_segments AS (
@@ -166,8 +173,19 @@ ranked AS (SELECT sid, channel, row_number() OVER (PARTITION BY channel ORDER BY
   FROM current_segments WHERE channel IS NOT NULL)"""
 
 
+_TIES = f"""WITH RECURSIVE {_CURRENT}, n AS (SELECT sid, 'c:' || channel AS c, CASE WHEN regexp_matches(speaker, '^spk_[0-9]{{7}}$') THEN 's:' || src || '/' || speaker END AS s FROM current_segments),
+e AS (SELECT DISTINCT coalesce(c, s) AS a, coalesce(s, c) AS b FROM n WHERE coalesce(c, s) IS NOT NULL), pair AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS reached FROM pair UNION SELECT r.node, pair.b FROM r JOIN pair ON pair.a = r.reached), k AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"""
+
+_COUNTED = f"""WITH {_CURRENT}, lim AS (SELECT lower(trim(source)) AS src, max(CAST(floor(capacity_seconds * 1000 + 1e-6) AS BIGINT)) AS cap FROM batch_limits GROUP BY 1),
+x AS (SELECT 'segment' AS item_kind, sid AS item_key, src, duration FROM current_segments UNION ALL SELECT 'sample', CAST(sample_id AS VARCHAR), max(lower(trim(source))), max(duration) FROM asr_manifest GROUP BY sample_id),
+y AS (SELECT x.*, cap, CASE WHEN NOT isnan(duration) THEN CAST(ceil(duration * 1000 - 1e-6) AS BIGINT) END AS len FROM x LEFT JOIN lim USING (src))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": f"{_TIES} SELECT sid AS id, coalesce(component[3:], sid) AS group_key FROM n LEFT JOIN k ON k.node = coalesce(c, s)",
+        "p4_pieces": f"{_COUNTED} SELECT item_kind, item_key, CAST(CASE WHEN len > 0 AND cap > 0 THEN (len + cap - 1) // cap ELSE 1 END AS BIGINT) AS pieces, coalesce(len > 0 AND cap > 0, false) AS placed, len AS length_ms FROM y",
         "p4_found": f"""WITH {_CURRENT}, lim AS (SELECT lower(trim(source)) AS src, max(capacity_seconds) AS cap FROM batch_limits GROUP BY 1)
 SELECT DISTINCT 'segment' AS item_kind, sid AS item_key FROM current_segments JOIN lim USING (src) WHERE duration > cap
 UNION ALL SELECT DISTINCT 'sample', CAST(sample_id AS VARCHAR) FROM asr_manifest m JOIN lim ON lim.src = lower(trim(m.source)) WHERE duration > cap""",
