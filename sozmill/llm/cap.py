@@ -9,6 +9,8 @@ from sozmill.session import cut
 
 #: Resolution of the first pass: key buckets per contributor.
 BUCKETS = 2048
+#: Contributors above their cap (some 60 bytes each) that are sent to every task; beyond, they are joined by a shuffle.
+MOST_CUTS = 500_000
 
 
 def reservoir_key(weight_log: Column, unit: Column, randomness: float) -> Column:
@@ -47,10 +49,15 @@ def cap_contributors(records: DataFrame, id_col: str, contributor: str, score: s
     held = held.withColumn("_bucket", bucket)
     counts = held.groupBy("contributor", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_cap").alias("_limit"))
     order = Window.partitionBy("contributor").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    through = counts.withColumn("_through", F.sum("_n").over(order)).select("contributor", "_bucket", "_n", "_through", "_limit")
-    fate = through.select("contributor", "_bucket", (F.col("_limit") - F.col("_through") + F.col("_n")).alias("_room"), F.col("_n").alias("_size"))
-    marked = cut(held.join(fate, ["contributor", "_bucket"]))
-    whole = marked.where((F.col("_room") >= F.col("_size")) | (F.col("_room") <= 0)).select("id", "contributor", (F.col("_room") > 0).alias("keep"))
-    split = marked.where((F.col("_room") < F.col("_size")) & (F.col("_room") > 0)).select("id", "contributor", "_key", "_room")
+    through = counts.withColumn("_through", F.sum("_n").over(order)).where(F.col("_through") > F.col("_limit"))
+    # One row for each contributor above its cap: the bucket of the cut, and how many of that bucket stay.
+    room = F.greatest(F.col("_limit") - F.col("_through") + F.col("_n"), F.lit(0))
+    cuts = cut(through.groupBy("contributor").agg(F.min(F.struct(F.col("_bucket").alias("at"), room.alias("room"))).alias("_cut")))
+    # All rows of a contributor would be one join key, so the cuts are sent to them; with a cap above 1 they are few.
+    few = cuts.count() <= MOST_CUTS
+    marked = held.join(F.broadcast(cuts) if few else cuts, "contributor", "left")
+    at_cut = (F.col("_bucket") == F.col("_cut.at")) & (F.col("_cut.room") > 0)
+    whole = marked.where(~F.coalesce(at_cut, F.lit(False))).select("id", "contributor", F.coalesce(F.col("_bucket") < F.col("_cut.at"), F.lit(True)).alias("keep"))
+    split = marked.where(at_cut).select("id", "contributor", "_key", F.col("_cut.room").alias("_room"))
     exact = spread_rank(split, ["contributor"], [F.col("_key").desc_nulls_last(), F.col("id").asc()]).select("id", "contributor", (F.col("rank") <= F.col("_room")).alias("keep"))
     return free.unionByName(whole).unionByName(exact)

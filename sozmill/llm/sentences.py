@@ -45,6 +45,11 @@ _CLOSERS = "»”\"’“)]」』"
 _OPENERS = "«“„\"(‘[「『—–-•"
 
 
+_BLANKS = re.compile(r"\s*")
+#: Characters from the next token on, and up to the end of the last one, that features are taken from; longer tokens count by these.
+AHEAD, BEHIND = 48, 28
+
+
 def _script(c: str) -> str:
     if c < "ɐ":
         return "l"
@@ -96,13 +101,16 @@ def _contexts(text: str, lo: int, hi: int, cased: bool):
             e -= len(marks) - len(marks.rstrip("“\"’"))
             closing = ""
             after = text[e] if e < hi else ""
-        rest = text[e : e + 48] if e + 48 <= hi else text[e:hi]
-        head = rest.lstrip()
-        gap = len(rest) - len(head)
+        # The next tokens and the last ones, however many blanks lie between.
+        begin = _BLANKS.match(text, e, hi).end()
+        head, gap = text[begin : min(hi, begin + AHEAD)], begin - e
         if head and head[0] in ",;:)،、，；：%":
             continue
         kind = "f" if first in _FULL else "." if marks.rstrip(_CLOSERS) == "." else "E" if first == "…" else "e" if first == "." else "!"
-        before = text[max(lo, s - 28) : s].rstrip(_CLOSERS)
+        last = s
+        while last > lo and text[last - 1].isspace():
+            last -= 1
+        before = text[max(lo, last - BEHIND) : last].rstrip(_CLOSERS)
         tokens = before.translate(_DROP).split()
         token = tokens[-1].lstrip(_OPENERS + "'") if tokens else ""
         glued = _GLUED.match(token) if len(token) > 5 else None
