@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 OKINA = "ʻ"
 TUTUQ = "ʼ"
@@ -248,3 +250,15 @@ def word_distance(a: Column, b: Column) -> Column:
 def _char(n: Column) -> Column:
     """A character of the CJK block by number, below the surrogates."""
     return F.decode(F.unhex(F.lpad(F.hex(n + 0x4E00), 4, "0")), "UTF-16BE")
+
+
+def zip_strict(a: Column, b: Column, names: tuple[str, str] = ("left", "right")) -> Column:
+    """Pairs of two arrays of one length, in order; arrays that differ in length raise."""
+    message = F.format_string("lengths differ: %d and %d", F.size(a), F.size(b))
+    return F.when(F.size(a) == F.size(b), F.arrays_zip(a.alias(names[0]), b.alias(names[1]))).otherwise(F.raise_error(message))
+
+
+@F.pandas_udf(DoubleType())
+def round_half_even(value: pd.Series, digits: pd.Series) -> pd.Series:
+    """Rounded by the exact binary value, exact halves to the even digit; ``round`` rounds the shortest decimal spelling half up."""
+    return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(value, digits)], dtype="float64")
