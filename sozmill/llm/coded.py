@@ -14,9 +14,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(29)
 #: Words that a task works on at once, whatever the number of rows they come from.
 WORDS_AT_ONCE = 1_000_000
-#: A filter has this many slots of 32 bits for each passage, between the two bounds; the upper one is 32 MB that every task gets.
+#: A filter has this many slots of 32 bits for each passage, between the two bounds; the upper one is 64 MB that every task gets.
 SLOTS_PER_HASH = 8
-LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 24
 
 
 class Coder:
