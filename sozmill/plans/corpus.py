@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sozmill.functions import text as T
 from sozmill.functions import urls as U
 from sozmill.functions.keys import key, split_name
+from sozmill.functions.metadata import iso_date as as_iso, parse_info
 from sozmill.operators import manifest as M
 from sozmill.plans.catalog import Catalog, sql_normalize, sql_raw
 from sozmill.session import table
@@ -408,15 +409,26 @@ def stats_merge(spark, base):
 # --- videos ----------------------------------------------------------------------------------------------------------
 
 
-@add(f"WITH {_V} SELECT video_id, nullif(trim(channel), '') AS channel, nullif(trim(language), '') AS language, duration, coalesce(uz_subtitles IN ('manual', 'automatic'), false) AS subtitled FROM v")
+@add(
+    f"WITH {_V} SELECT video_id, url, title, nullif(trim(channel), '') AS channel, duration, nullif(trim(language), '') AS language, "
+    "CASE WHEN regexp_full_match(upload_date, '[0-9]{8}') THEN substr(upload_date, 1, 4) || '-' || substr(upload_date, 5, 2) || '-' || substr(upload_date, 7, 2) END AS upload_date, "
+    "CASE WHEN uz_subtitles IN ('manual', 'automatic') THEN uz_subtitles END AS uz_subtitles, CASE WHEN nullif(trim(video_id), '') IS NULL THEN 'no video id' WHEN duration IS NULL THEN 'no duration' END AS issue FROM v"
+)
 def metadata_parse(spark, base):
-    return videos(spark, base).select("video_id", F.nullif(F.trim("channel"), F.lit("")).alias("channel"), F.nullif(F.trim("language"), F.lit("")).alias("language"), "duration", F.coalesce(F.col("uz_subtitles").isin("manual", "automatic"), F.lit(False)).alias("subtitled"))
+    """Descriptions as JSON, the owner under either name, read back."""
+    rows = videos(spark, base)
+    odd = F.pmod(F.length("video_id") + F.length("url"), F.lit(2)) == 1
+    tracks = lambda kind: F.create_map(F.when(F.col("uz_subtitles") == kind, "uz-Latn").otherwise("ru"), F.lit("x"))
+    info = F.to_json(F.struct(
+        F.col("video_id").alias("id"), "title", F.when(odd, F.col("channel")).otherwise(" ").alias("channel"), F.col("channel").alias("uploader"), "duration", "language", "upload_date",
+        tracks("manual").alias("subtitles"), tracks("automatic").alias("automatic_captions"),
+    ))
+    return rows.select(parse_info(info, F.col("url")).alias("m")).select("m.*")
 
 
 @add(f"WITH {_V} SELECT video_id, CASE WHEN regexp_full_match(upload_date, '[0-9]{{8}}') THEN substr(upload_date, 1, 4) || '-' || substr(upload_date, 5, 2) || '-' || substr(upload_date, 7, 2) END AS iso FROM v")
 def iso_date(spark, base):
-    d = F.col("upload_date")
-    return videos(spark, base).select("video_id", F.when(d.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))).alias("iso"))
+    return videos(spark, base).select("video_id", as_iso(F.col("upload_date")).alias("iso"))
 
 
 @add(f"WITH {_V} SELECT {_S('channel_id')} AS channel_id, count(*) AS videos, round(sum(duration) / 3600, 2) AS hours FROM v GROUP BY ALL")

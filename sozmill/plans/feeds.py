@@ -152,12 +152,28 @@ def class_lookup(spark, base):
     return found.select("wanted", F.when(F.size("found") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("found")).alias("found"))
 
 
-@add(
+_FRESH = (
     f"WITH {_POSTS}, k AS (SELECT DISTINCT {_S('channel_id')} AS id, url FROM channels WHERE {_S('status')} = 'approved'), c AS (SELECT {_MINTED} AS id, {_CANON} AS canonical, post_id FROM p), "
-    "n AS (SELECT * FROM c WHERE canonical IS NOT NULL AND id NOT IN (SELECT id FROM k) AND canonical NOT IN (SELECT url FROM k)) SELECT id AS channel_id, min_by(canonical, post_id) AS url, min(post_id) AS post_id FROM n GROUP BY id"
+    "n AS (SELECT * FROM c WHERE canonical IS NOT NULL AND id NOT IN (SELECT id FROM k) AND canonical NOT IN (SELECT url FROM k))"
 )
+
+
+@add(f"{_FRESH} SELECT id AS channel_id, min_by(canonical, post_id) AS url, min(post_id) AS post_id FROM n GROUP BY id")
 def registry_upsert(spark, base):
     """Posts against the approved registry: skipped when their id or address is known, the first post of an id admitted."""
-    known = channels(spark, base).where("status = 'approved'").select("channel_id", "url")
-    made = posts(spark, base).select(U.mint_id(F.col("url")).alias("channel_id"), U.canonical_channel(F.col("url"), BASE_URL, SHORT).alias("url"), "post_id")
-    return admitted(made, known, "post_id")
+    return admitted(_made(spark, base), _known(spark, base), "post_id")
+
+
+@add(f"{_FRESH} SELECT id AS channel_id, url, false AS added FROM k UNION ALL SELECT id, min_by(canonical, post_id), true FROM n GROUP BY id")
+def registry_after(spark, base):
+    """The registry with what was admitted."""
+    known, fresh = _known(spark, base), registry_upsert(spark, base)
+    return known.withColumn("added", F.lit(False)).unionByName(fresh.select("channel_id", "url", F.lit(True).alias("added")))
+
+
+def _known(spark: SparkSession, base: str) -> DataFrame:
+    return channels(spark, base).where("status = 'approved'").select("channel_id", "url").distinct()
+
+
+def _made(spark: SparkSession, base: str) -> DataFrame:
+    return posts(spark, base).select(U.mint_id(F.col("url")).alias("channel_id"), U.canonical_channel(F.col("url"), BASE_URL, SHORT).alias("url"), "post_id")

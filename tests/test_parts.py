@@ -84,3 +84,15 @@ def test_playlists_and_exclusions(spark):
     assert sorted(tuple(r) for r in M.exclusion_rows(maps, "j").collect()) == [("a", 1), ("a", 2)]
     bounds = spark.createDataFrame([(1.0,), (28.5,), (5.0,), (None,)], "d double").select(M.outside_bounds(F.col("d"), 2, 20).alias("v"), M.outside_bounds(F.col("d"), 0, None).alias("w")).collect()
     assert [r["v"] for r in bounds] == ["duration 1s < min 2s", "duration 28s > max 20s", None, None] and all(r["w"] is None for r in bounds)
+
+
+def test_video_descriptions(spark):
+    from sozmill.functions.metadata import parse_info
+
+    rows = [
+        ('{"id": "v", "duration": 5, "channel": " ", "uploader": "Ali", "upload_date": "20240131", "subtitles": {"ru": "x"}, "automatic_captions": {"uz-Cyrl": "x"}}', ("v", "u", "", "Ali", 5.0, None, "2024-01-31", "automatic", None)),
+        ('{"id": "v", "duration": 5, "webpage_url": "w", "title": "T", "language": "uz", "upload_date": "soon", "subtitles": {"uz": "x"}, "automatic_captions": {"uz": "x"}}', ("v", "w", "T", None, 5.0, "uz", None, "manual", None)),
+        ('{"id": "v"}', ("v", "u", "", None, None, None, None, None, "no duration")), ("{}", (None, "u", "", None, None, None, None, None, "no video id")), (None, (None, "u", "", None, None, None, None, None, "no video id")),
+    ]
+    got = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(rows)], "i int, j string").select("i", parse_info(F.col("j"), F.lit("u")).alias("m")).collect()
+    assert {r["i"]: tuple(r["m"]) for r in got} == {i: want for i, (_, want) in enumerate(rows)}
