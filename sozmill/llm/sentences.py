@@ -9,11 +9,13 @@ token that often stands there but never ends a paragraph is an abbreviation.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +194,10 @@ class MaxEnt:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, ...]], labels: np.ndarray, sizes: np.ndarray | None = None, rounds: int = 120, penalty: float = 0.3) -> MaxEnt:
-        seen = Counter(f for row in rows for f in row)
+        seen: Counter = Counter()
+        for row, n in zip(rows, [1] * len(rows) if sizes is None else sizes.tolist()):
+            for f in row:
+                seen[f] += n
         index = {f: i for i, f in enumerate(f for f, n in seen.items() if n > 1)}
         width = max((len(r) for r in rows), default=1)
         x = np.full((len(rows), width), len(index), np.int64)
@@ -215,48 +220,58 @@ class MaxEnt:
         return sum([get(f, 0.0) for f in features])
 
 
-def fit_boundaries(texts: list[tuple[str, bool]]) -> MaxEnt:
-    """Train on (text, raw lines) pairs; only certain candidates are labels, periods before capitals by contrast."""
+def examples(text: str, raw: bool) -> tuple[list, list, list, list, list]:
+    """What one text teaches: certain candidates with their labels, tokens before periods with what follows them, and unsure candidates."""
     sure, labels, left, left_label, unsure = [], [], [], [], []
-    for text, raw in texts:
-        if raw:
-            continue
-        text = text[:FIT_CHARS]
-        cased, last = _is_cased(text), 0
-        for lo, hi in _paragraphs(text, False):
-            found, last = _items(text, lo, hi, last)
-            starts = [s for s, _ in found]
-            numbers = {e for _, e in found}
-            for e, features, (kind, closing, follows, told, low, gap, span) in _contexts(text, lo, hi, cased):
-                if e in numbers:
+    if raw:
+        return sure, labels, left, left_label, unsure
+    text = text[:FIT_CHARS]
+    cased, last = _is_cased(text), 0
+    for lo, hi in _paragraphs(text, False):
+        found, last = _items(text, lo, hi, last)
+        starts = [s for s, _ in found]
+        numbers = {e for _, e in found}
+        for e, features, (kind, closing, follows, told, low, gap, span) in _contexts(text, lo, hi, cased):
+            if e in numbers:
+                continue
+            final = e >= hi or not follows and not text[e:hi].strip() or any(e <= s <= e + 8 and not text[e:s].strip() for s in starts)
+            if final:
+                if e >= len(text) and len(text) == FIT_CHARS:
                     continue
-                final = e >= hi or not follows and not text[e:hi].strip() or any(e <= s <= e + 8 and not text[e:s].strip() for s in starts)
-                if final:
-                    if e >= len(text) and len(text) == FIT_CHARS:
-                        continue
-                    sure.append(tuple(f for f in features if f[0] in "bLSKGF"))
-                    labels.append(1)
-                    if kind in ".eE" and not closing:
-                        left.append((kind, low))
-                        left_label.append(1)
-                elif cased and follows == "l":
-                    sure.append(features)
-                    labels.append(0)
-                elif told and follows == "o":
-                    # Without case: a short tail after speech that opens a sentence attributes it.
-                    sure.append(features)
-                    labels.append(0 if text[e] == "と" or told == "0" and span <= 5 else 1)
-                elif kind in "f!" and not closing and (follows != "l" or kind == "f"):
-                    sure.append(features)
-                    labels.append(1)
-                elif low.isdigit() and follows == "d" and kind == ".":
-                    sure.append(features)
-                    labels.append(0)
-                elif cased or follows == "o":
-                    unsure.append((features, kind, closing, low))
-                    if kind in ".eE" and not closing:
-                        left.append((kind, low))
-                        left_label.append(0)
+                sure.append(tuple(f for f in features if f[0] in "bLSKGF"))
+                labels.append(1)
+                if kind in ".eE" and not closing:
+                    left.append((kind, low))
+                    left_label.append(1)
+            elif cased and follows == "l":
+                sure.append(features)
+                labels.append(0)
+            elif told and follows == "o":
+                # Without case: a short tail after speech that opens a sentence attributes it.
+                sure.append(features)
+                labels.append(0 if text[e] == "と" or told == "0" and span <= 5 else 1)
+            elif kind in "f!" and not closing and (follows != "l" or kind == "f"):
+                sure.append(features)
+                labels.append(1)
+            elif low.isdigit() and follows == "d" and kind == ".":
+                sure.append(features)
+                labels.append(0)
+            elif cased or follows == "o":
+                unsure.append((features, kind, closing, low))
+                if kind in ".eE" and not closing:
+                    left.append((kind, low))
+                    left_label.append(0)
+    return sure, labels, left, left_label, unsure
+
+
+def fit_boundaries(texts: list[tuple[str, bool]]) -> MaxEnt:
+    """Train on (text, raw lines) pairs; only certain candidates are labels, periods before capitals by contrast."""
+    return fit_examples([examples(text, raw) for text, raw in texts])
+
+
+def fit_examples(taught: list[tuple[list, list, list, list, list]]) -> MaxEnt:
+    """The model of the examples of all texts."""
+    sure, labels, left, left_label, unsure = ([x for part in taught for x in part[i]] for i in range(5))
     often = Counter(left)
     seen = [_left(k, low, often[k, low] >= CONTRAST_LEAST) for k, low in left]
     known = MaxEnt.fit(seen, np.array(left_label, float), penalty=0.1)
@@ -268,11 +283,15 @@ def fit_boundaries(texts: list[tuple[str, bool]]) -> MaxEnt:
             labels.append(1.0 if known.score(_left(kind, low, often[kind, low] >= CONTRAST_LEAST)) > middle - 2.0 else 0.0)
         else:
             labels.append(1.0)
-    # Every example also without case, for texts that lost it.
-    bare = []
-    for row in sure:
-        bare.append(tuple(_without_case(f) for f in row))
-    return MaxEnt.fit(sure + bare, np.array(labels + labels, float))
+    # Every example also without case, for texts that lost it; equal examples count as one of that size.
+    changed: dict[str, str] = {}
+    sizes: Counter = Counter(zip(sure, labels))
+    for (row, label), n in list(sizes.items()):
+        for f in row:
+            if f not in changed:
+                changed[f] = _without_case(f)
+        sizes[tuple(changed[f] for f in row), label] += n
+    return MaxEnt.fit([row for row, _ in sizes], np.array([label for _, label in sizes], float), np.array(list(sizes.values()), float))
 
 
 def _left(kind: str, low: str, often: bool) -> tuple[str, ...]:
@@ -337,7 +356,15 @@ def sentence_units(documents: DataFrame, doc: str = "doc_id", text: str = "text"
     raw = F.coalesce(key(source) == raw_source, F.lit(False))
     rows = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), raw.alias("raw")).dropna()
     sample = bounded_sample(rows, "doc_id", fit_documents).select(F.substring("text", 1, FIT_CHARS).alias("text"), "raw")
-    model = fit_boundaries(sorted((r["text"], r["raw"]) for r in sample.collect()))
+
+    def teach(batches):
+        for pdf in batches:
+            found = [pickle.dumps(examples(t, r)) for t, r in zip(pdf["text"], pdf["raw"].tolist())]
+            yield pd.DataFrame({"at": [xxhash.xxh3_64_intdigest(t) >> 1 for t in pdf["text"]], "taught": found})
+
+    # Examples are found in the cluster; the sample bounds what reaches the driver. Their order is that of a hash, at any partitioning.
+    taught = sorted(sample.mapInPandas(teach, "at long, taught binary").collect())
+    model = fit_examples([pickle.loads(r["taught"]) for r in taught])
     shared = rows.sparkSession.sparkContext.broadcast(model.weights)
 
     def cut_batches(batches):
