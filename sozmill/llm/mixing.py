@@ -32,6 +32,8 @@ FILL = 0.98
 SHIFT_BINS = 8192
 #: Sources a mix may have; a vector of so many numbers goes to the driver each step.
 MOST_SOURCES = 1_000
+#: Sources up to which gradients are scaled by the memberships' Gram matrix.
+GRAM_SOURCES = 64
 #: Largest classifier that is sent to every task.
 MOST_BYTES = 256 << 20
 
@@ -66,6 +68,7 @@ def fit_classifier(rows: list[tuple[int, str]], sources: int, path: str, fit_tok
 
 def memberships(documents: DataFrame, sources: list[str], vocabulary: str, fit_documents: int = FIT_DOCUMENTS, fit_tokens: int = FIT_TOKENS, label_noise: float = LABEL_NOISE) -> DataFrame:
     """(doc_id, label, tokens, posterior) of documents with one of the sources; tokens over whole texts."""
+    label_noise = min(max(label_noise, 1e-9), 1 - 1e-9)
     numbers = F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i)])
     rows = documents.withColumn("label", numbers[F.coalesce(key("source"), F.lit(""))]).where("label is not null and doc_id is not null and text is not null")
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text")
@@ -112,32 +115,34 @@ def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, availab
     size = len(targets)
     start = np.minimum(np.divide(targets, available, out=np.zeros(size), where=available > 0), caps)
     taken, best, least = np.zeros(size), np.zeros(size), np.inf
+    # The matrix of many sources isn't worth its size: each gradient is then scaled by its source's tokens.
+    wide = size if size <= GRAM_SOURCES else 0
     for _ in range(STEPS):
         now = taken.copy()
 
         def totals(batches):
-            sums, gram = np.zeros(size), np.zeros((size, size))
+            sums, gram = np.zeros(size), np.zeros((size, wide))
             for pdf in batches:
                 if len(pdf):
                     p, n, labels = _posteriors(pdf, size), pdf["tokens"].to_numpy(float), pdf["label"].to_numpy()
                     rate = _rates(labels, p, caps, start, now)
                     sums += (rate * n) @ p
                     free = (rate > 0) & (rate < caps[labels])
-                    gram += (p[free] * n[free, None]).T @ p[free]
+                    gram += (p[free] * n[free, None]).T @ p[free, :wide]
             yield pd.DataFrame({"source": np.arange(size), "expected": sums, "gram": list(gram)})
 
         found = members.mapInPandas(totals, "source int, expected double, gram array<double>")
-        found = found.groupBy("source").agg(F.sum("expected").alias("expected"), *[F.sum(F.get("gram", i)).alias(f"g{i}") for i in range(size)]).collect()
+        found = found.groupBy("source").agg(F.sum("expected").alias("expected"), *[F.sum(F.get("gram", i)).alias(f"g{i}") for i in range(wide)]).collect()
         expected, gram = np.zeros(size), np.zeros((size, size))
         for r in found:
             expected[r["source"]] = r["expected"]
-            gram[r["source"]] = r[2:]
+            gram[r["source"], :wide] = r[2:]
         off = expected - targets
         if np.abs(off).max(initial=0.0) < least:
             best, least = now, np.abs(off).max(initial=0.0)
         if least <= TOLERANCE * max(targets.sum(), 1.0) or not len(found):
             break
-        gram[np.diag_indices(size)] += 1e-3 * np.maximum(available, 1.0)
+        gram[np.diag_indices(size)] += (1e-3 if wide else 1.0) * np.maximum(available, 1.0)
         taken = now + np.linalg.solve(gram, off)
     return start, best
 

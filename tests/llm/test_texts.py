@@ -332,6 +332,19 @@ def test_routes_grow_with_the_rows(spark, monkeypatch):
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
+def test_many_sources_take_the_other_scale(spark, monkeypatch):
+    from sozmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "GRAM_SOURCES", 1)
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(n, " ".join(passage(rng, rng.randrange(20, 120))), s) for n, s in enumerate(["a"] * 150 + ["b"] * 60)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["actual_share"] for r in mixing.mix(docs, targets)[1].collect()}
+    assert all(abs(v - 0.5) < 0.02 for v in got.values())
+    alone = mixing.mix(docs, targets.where("source = 'a'"), label_noise=0.0)[1].collect()
+    assert [(r["source"], r["actual_share"], r["expected_share"]) for r in alone] == [("a", 1.0, 1.0)]
+
+
 def test_mix(spark):
     from sozmill.llm.mixing import mix
 
