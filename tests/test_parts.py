@@ -96,3 +96,24 @@ def test_video_descriptions(spark):
     ]
     got = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(rows)], "i int, j string").select("i", parse_info(F.col("j"), F.lit("u")).alias("m")).collect()
     assert {r["i"]: tuple(r["m"]) for r in got} == {i: want for i, (_, want) in enumerate(rows)}
+
+
+def test_listers_and_resolvers(spark):
+    from sozmill.sources.listing import acknowledgement, fetched_stats, resolved
+
+    def lister():
+        return lambda url: {"a": [3600.0, 1800.0], "b": []}[url]
+
+    channels = spark.createDataFrame([("ch_a", "a"), ("ch_b", "b"), ("ch_c", "c")], "channel_id string, url string")
+    got = {r["channel_id"]: tuple(r)[1:3] for r in fetched_stats(channels, lister).collect()}
+    assert got == {"ch_a": (2, 1.5), "ch_b": (0, 0.0), "ch_c": (None, None)}
+    assert "failed 3 times" in fetched_stats(channels.where("url = 'c'"), lister).first()["error"]
+
+    def resolver():
+        return lambda url: {"x": "https://video.example/@x"}.get(url)
+
+    links = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3), (None, 4)], "link string, n int")
+    rows = {r["n"]: (r["resolved"], r["error"]) for r in resolved(links, resolver).collect()}
+    assert rows == {1: ("https://video.example/@x", None), 2: (None, "no channel"), 3: ("https://video.example/@x", None), 4: (None, None)}
+    line = spark.range(1).select(acknowledgement(F.lit("ch_a"), F.lit(None).cast("string"), F.lit("u")).alias("v")).first()["v"]
+    assert line == "+ ch_a [other] u"
