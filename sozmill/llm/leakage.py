@@ -236,10 +236,15 @@ def _meet(docs: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
             hits = np.flatnonzero(high > low)
             for p in hits[np.argsort((high - low)[hits], kind="stable")].tolist():
                 near = codes[max(0, p - back) : p + SEED + back]
+                # Items that share their words here share the verdict.
+                verdicts: dict[bytes, bool] = {}
                 for s in range(low[p], high[p]):
                     if owner[s] not in found:
-                        item = np.frombuffer(around[s], np.uint64)
-                        if np.isin(item, near).sum() >= WINDOW - MAX_EDITS and best_window(item, near) <= MAX_EDITS:
+                        words = around[s]
+                        if words not in verdicts:
+                            item = np.frombuffer(words, np.uint64)
+                            verdicts[words] = bool(np.isin(item, near).sum() >= WINDOW - MAX_EDITS and best_window(item, near) <= MAX_EDITS)
+                        if verdicts[words]:
                             found.add(owner[s])
             out += [(d, int(i), text) for i in found]
     return pd.DataFrame(out, columns=["doc_id", "item_id", "words"])
