@@ -26,6 +26,8 @@ FIT_TOKENS = 400
 LABEL_NOISE = 0.02
 STEPS = 40
 TOLERANCE = 1e-4
+#: A pass that lessens the error by less than this part of it counts as none; after two such the fit ends.
+STALL = 0.01
 #: Part of the largest possible mix that is filled, so that the scarcest source's rates can differ between documents.
 FILL = 0.98
 #: Resolution of the shift that turns rates into whole copies.
@@ -114,7 +116,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, availab
     """
     size = len(targets)
     start = np.minimum(np.divide(targets, available, out=np.zeros(size), where=available > 0), caps)
-    taken, best, least = np.zeros(size), np.zeros(size), np.inf
+    taken, best, least, stale = np.zeros(size), np.zeros(size), np.inf, 0
     # The matrix of many sources isn't worth its size: each gradient is then scaled by its source's tokens.
     wide = size if size <= GRAM_SOURCES else 0
     for _ in range(STEPS):
@@ -138,9 +140,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, availab
             expected[r["source"]] = r["expected"]
             gram[r["source"], :wide] = r[2:]
         off = expected - targets
-        if np.abs(off).max(initial=0.0) < least:
-            best, least = now, np.abs(off).max(initial=0.0)
-        if least <= TOLERANCE * max(targets.sum(), 1.0) or not len(found):
+        # Sources without a share still get a part of others' documents, so the least possible error need not be 0.
+        error = float(np.sqrt((off**2).sum()))
+        stale = stale + 1 if error > least * (1 - STALL) else 0
+        if error < least:
+            best, least = now, error
+        if least <= TOLERANCE * max(targets.sum(), 1.0) or stale >= 2 or not len(found):
             break
         gram[np.diag_indices(size)] += (1e-3 if wide else 1.0) * np.maximum(available, 1.0)
         taken = now + np.linalg.solve(gram, off)
