@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(29)
+_BITS = np.uint64(0xD6E8FEB86659FD93)
 #: Words that a task works on at once, whatever the number of rows they come from.
 WORDS_AT_ONCE = 1_000_000
-#: A filter has this many slots of 32 bits for each passage, between the two bounds; the upper one is 64 MB that every task gets.
-SLOTS_PER_HASH = 8
-LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 24
+#: A filter has this many slots of 32 bits for each passage, between the two bounds, and half as many sets of 64 bits; both together
+#: are 64 MB at most, which every task gets.
+SLOTS_PER_HASH = 4
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 
 
 class Coder:
@@ -87,11 +89,22 @@ def _length_bucket(n: np.ndarray) -> np.ndarray:
 class PassageFilter:
     """Says of a hash at a place of a text whether a passage of a near text may have it; never a wrong no.
 
-    A hash has two slots, a slot the buckets of text length and of place of all passages that share it.
+    A hash has four bits of one set, and a slot with the buckets of text length and of place of all passages that share it.
     """
 
-    def __init__(self, slots: np.ndarray) -> None:
-        self.slots, self.last = slots, np.uint64(len(slots) - 1)
+    def __init__(self, slots: np.ndarray, sets: np.ndarray) -> None:
+        self.slots, self.sets = slots, sets
+
+    @staticmethod
+    def bits(keys: np.ndarray) -> np.ndarray:
+        """The bits that a hash has in its set."""
+        h = (keys * _BITS) >> np.uint64(40)
+        return np.bitwise_or.reduce([np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63)) for i in range(4)])
+
+    @staticmethod
+    def places(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and set of a hash."""
+        return (keys & np.uint64(slots - 1)).astype(np.int64), ((keys >> np.uint64(23)) & np.uint64(slots // 2 - 1)).astype(np.int64)
 
     @staticmethod
     def marks(n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,11 +113,13 @@ class PassageFilter:
 
     def __call__(self, keys: np.ndarray, n: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
         """``most`` is by how much places may differ."""
-        seen = self.slots[keys & self.last] & self.slots[(keys >> np.uint64(33)) & self.last]
-        out = np.flatnonzero(seen)
+        slot, place = self.places(keys, len(self.slots))
+        bits = self.bits(keys)
+        out = np.flatnonzero((self.sets[place] & bits) == bits)
+        seen = self.slots[slot[out]]
         low = np.maximum(at[out] - most[out], 0) // 4
         length, place = _turned(_length_bucket(n[out]) - 1, np.full(len(out), 3)), _turned(low, (at[out] + most[out]) // 4 - low + 1)
-        return out[((seen[out] & length) != 0) & (((seen[out] >> np.uint32(16)) & place) != 0)]
+        return out[((seen & length) != 0) & (((seen >> np.uint32(16)) & place) != 0)]
 
 
 def passage_filter(passages: DataFrame, count: int) -> PassageFilter:
@@ -119,15 +134,20 @@ def passage_filter(passages: DataFrame, count: int) -> PassageFilter:
     def touched(batches):
         for pdf in batches:
             keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
-            marks = PassageFilter.marks(pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64))
-            last = np.uint64(size - 1)
-            slot, marks = np.concatenate([keys & last, (keys >> np.uint64(33)) & last]), np.concatenate([marks, marks])
+            marks = PassageFilter.marks(pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)).astype(np.uint64)
+            slot, place = PassageFilter.places(keys, size)
+            # Sets are numbered after the slots.
+            slot, marks = np.concatenate([slot, place + size]), np.concatenate([marks, PassageFilter.bits(keys)])
             order = np.argsort(slot, kind="stable")
             slot, first = np.unique(slot[order], return_index=True)
             ored = np.bitwise_or.reduceat(marks[order], first) if len(slot) else marks
-            yield pd.DataFrame({"slot": slot.astype(np.int32), "marks": ored.view(np.int32)})
-
-    found = passages.select("key", "n", "at").mapInPandas(touched, "slot int, marks int").groupBy("slot").agg(F.bit_or("marks").alias("marks")).toArrow()
-    slots = np.zeros(size, np.uint32)
-    slots[found["slot"].to_numpy()] = found["marks"].to_numpy().view(np.uint32)
-    return PassageFilter(slots)
+            yield pd.DataFrame({"slot": slot.astype(np.int32), "marks": ored.view(np.int64)})
+
+    found = passages.select("key", "n", "at").mapInPandas(touched, "slot int, marks long").groupBy("slot").agg(F.bit_or("marks").alias("marks")).toArrow()
+    slots, sets = np.zeros(size, np.uint32), np.zeros(size // 2, np.uint64)
+    for batch in found.to_batches():
+        slot, marks = batch.column("slot").to_numpy(), batch.column("marks").to_numpy().view(np.uint64)
+        low = slot < size
+        slots[slot[low]] = marks[low].astype(np.uint32)
+        sets[slot[~low] - size] = marks[~low]
+    return PassageFilter(slots, sets)

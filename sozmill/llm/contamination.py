@@ -1,17 +1,19 @@
-"""Same or near-same records across splits, found by Aho-Corasick automata over word sequences.
+"""Same or near-same records across splits, found by passages that must occur unchanged.
 
 Two texts of n and m folded words match if their word edit distance is at most max(n, m) // 6. A held-out text that may
-differ by k words is cut into k + 1 passages, one of which must then occur unchanged, so passages lose no pair. Passages
-are sharded by their hash, and a training text goes only to the shards of passages it may hold: a bit filter of bounded
-size says so in the scan, before anything is shuffled. A shard meets its training texts in as many blocks as those need.
-A passage that many held-out texts share is replaced by its combinations with parts of the rest, so a common opening is
-neither one shard nor a product. Candidates are compared word by word at the end.
+differ by k words is cut into k + 1 passages, one of which must then occur unchanged, so passages lose no pair. Training
+texts are never sent to the passages: a filter of bounded size says in the scan which of a text's windows a passage may be,
+and only these go on, as a row of numbers each (hash, text, place, set of words), to be joined by hash. What length, places
+and words in common allow to be near is a candidate, and only texts of candidates are fetched and compared word by word.
+A passage that many held-out texts share is replaced by its combinations with parts of the rest, so a common opening is no
+product.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from sozmill.session import cut, cut_to_table
 
 MIN_WORDS = 8
 ONE_IN = 6
-#: Passages of one automaton, and words of the training texts that one task scans with it.
+#: Passages of one shard, and words of the training texts that a task looks up at once.
 PASSAGES_PER_SHARD = 100_000
 WORDS_PER_TASK = 1_000_000
 #: Edits of a stretch of a long text within which its passages are looked for.
@@ -35,8 +37,8 @@ COMMON_TEXTS = 200
 COMMON_ONE_IN = 50_000
 
 _FOLDED = "id string, split string, source string, class binary, n int, text string"
-_PATTERN = "key long, passage long, class binary, n int, at int, length int, phrase binary, other int, size int, sig0 long, sig1 long"
-_CANDIDATE = "train_class binary, held_class binary, train_text string, spans binary"
+_PATTERN = "key long, held long, n int, at int, length int, other int, size int, sig0 long, sig1 long"
+_HIT = "key long, train long, m int, here int, place int, own0 long, own1 long"
 _MATCHED = "train_class binary, held_class binary, edits int, covered int, held_words int"
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -121,7 +123,7 @@ def _patterns(common: np.ndarray, pairs: np.ndarray):
         coder = Coder()
         for pdf in (part for whole in batches for part in slices(whole, whole["n"].to_numpy())):
             rows = []
-            for cls, text in zip(pdf["class"], pdf["text"]):
+            for held, text in zip(pdf["short"], pdf["text"]):
                 w = coder(text.split(" "))
                 two, often = window_hashes(w, 2), np.zeros(len(w), bool)
                 sig = _signatures(w, np.zeros(1, np.int64))[0].view(np.int64).tolist()
@@ -132,54 +134,53 @@ def _patterns(common: np.ndarray, pairs: np.ndarray):
                 for lo, hi, edits, cuts in passages(len(w)):
                     for a, b in cuts:
                         passage = window_hashes(w[a:b], b - a)
-                        rest = [cls, len(w), a, b - a, w[a:b].tobytes()]
-                        number = int(passage.view(np.int64)[0])
+                        rest = [held, len(w), a, b - a]
                         if _isin(passage, common)[0]:
                             for other, size in others(lo, hi, edits, a, b, often):
                                 joint = _joint(passage, (two if size == 2 else w)[other : other + 1], size)
-                                rows.append((int(joint.view(np.int64)[0]), number, *rest, other, size, *sig))
+                                rows.append((int(joint.view(np.int64)[0]), *rest, other, size, *sig))
                         else:
-                            rows.append((number, number, *rest, -1, 0, *sig))
-            yield pd.DataFrame(rows, columns=["key", "passage", "class", "n", "at", "length", "phrase", "other", "size", "sig0", "sig1"])
+                            rows.append((int(passage.view(np.int64)[0]), *rest, -1, 0, *sig))
+            yield pd.DataFrame(rows, columns=["key", "held", "n", "at", "length", "other", "size", "sig0", "sig1"])
 
     return run
 
 
-def _routes(shards: int, known, common: np.ndarray):
-    """Training texts with each shard that has a passage they may hold; a task sends a copy on once while its memory of classes lasts."""
+def _hits(known, common: np.ndarray):
+    """Windows of training texts that a passage may be; a task looks copies up once while its memory of texts lasts."""
 
     def run(batches):
         passes, sent, coder = known.value, set(), Coder()
         for whole in batches:
-            fresh = [c not in sent and not sent.add(c) for c in whole["class"]]
+            fresh = [c not in sent and not sent.add(c) for c in whole["short"]]
             if len(sent) > 500_000:
                 sent.clear()
             whole = whole[fresh]
-            for pdf in slices(whole, whole["n"].to_numpy()):
-                n = pdf["n"].to_numpy(np.int64)
+            for pdf in slices(whole, whole["n"].to_numpy(), WORDS_PER_TASK):
+                n, train = pdf["n"].to_numpy(np.int64), pdf["short"].to_numpy(np.int64)
                 flat = _flat(pdf["text"], coder)
                 start = np.cumsum(n) - n
                 row = np.repeat(np.arange(len(n)), n)
                 pairs = window_hashes(flat, 2)
-                found = []
+                sig = _signatures(flat, start).view(np.int64)
 
-                def send(r: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
-                    good = passes(keys, n[r], at, max_edits(n[r]))
-                    found.append(np.unique(r[good] * np.int64(shards) + (keys[good] % np.uint64(shards)).astype(np.int64)))
+                def hits(r: np.ndarray, keys: np.ndarray, here: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+                    good = passes(keys, n[r], here, max_edits(n[r]))
+                    r, keys, here, place = r[good], keys[good], here[good], place[good]
+                    return pd.DataFrame({"key": keys.view(np.int64), "train": train[r], "m": n[r].astype(np.int32), "here": here.astype(np.int32), "place": place.astype(np.int32), "own0": sig[r, 0], "own1": sig[r, 1]})
 
                 for size in LENGTHS:
                     h = window_hashes(flat, size)
                     inside = np.flatnonzero(row[: len(h)] == row[len(row) - len(h) :])
-                    send(row[inside], h[inside], inside - start[row[inside]])
+                    r = row[inside]
+                    yield hits(r, h[inside], inside - start[r], np.full(len(r), -1))
                     hit = inside[_isin(h[inside], common)]
                     for part in _parts(n[row[hit]]):
                         p = hit[part]
                         at, owner = runs(start[row[p]], n[row[p]])
+                        r, p = row[p][owner], p[owner]
                         for words_, other in ((1, flat[at]), (2, np.append(pairs, pairs[-1:])[at])):
-                            send(row[p][owner], _joint(h[p][owner], other, words_), (p - start[row[p]])[owner])
-                route = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
-                take = pdf.iloc[route // shards]
-                yield pd.DataFrame({"shard": (route % shards).astype(np.int32), "class": take["class"].to_numpy(), "n": take["n"].to_numpy(), "text": take["text"].to_numpy()})
+                            yield hits(r, _joint(h[p], other, words_), p - start[r], at - start[r])
 
     return run
 
@@ -190,91 +191,26 @@ def _parts(many: np.ndarray, most: int = 500_000) -> list[np.ndarray]:
     return np.split(some, np.flatnonzero(np.diff(np.cumsum(many[some]) // most)) + 1) if len(some) else []
 
 
-def _scan(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """One automaton over a shard's passages, run over a bounded block of training texts."""
-    import ahocorasick
-
-    columns = ["train_class", "held_class", "train_text", "spans"]
-    if not len(train) or not len(held):
-        return pd.DataFrame([], columns=columns)
-    train = train.drop_duplicates("class")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    passage, phrase, length = (held[c].to_numpy() for c in ("passage", "phrase", "length"))
-    numbers, first, number = np.unique(passage, return_index=True, return_inverse=True)
-    # The automaton takes small numbers: a word's place among the shard's own words, 0 for any other.
-    own = np.unique(np.frombuffer(b"".join(phrase[first]), np.uint64))
-
-    def numbered(w: np.ndarray) -> tuple[int, ...]:
-        place = np.minimum(np.searchsorted(own, w), len(own) - 1)
-        return tuple(np.where(own[place] == w, place + 1, 0).tolist())
-
-    for j, i in enumerate(first.tolist()):
-        automaton.add_word(numbered(np.frombuffer(phrase[i], np.uint64)), j)
-    automaton.make_automaton()
-    n, at, other, size = (held[c].to_numpy(np.int64) for c in ("n", "at", "other", "size"))
-    sig = held[["sig0", "sig1"]].to_numpy(np.int64).view(np.uint64)
-    # Plain rows by number of their passage; rows of common passages by their key.
-    plain = np.flatnonzero(other < 0)
-    plain = plain[np.argsort(number[plain], kind="stable")]
-    begin = np.searchsorted(number[plain], np.arange(len(numbers) + 1))
-    paired = np.flatnonzero(other >= 0)
-    keys = held["key"].to_numpy(np.int64).view(np.uint64)
-    paired = paired[np.argsort(keys[paired], kind="stable")]
-    keys = keys[paired]
-    common = np.zeros(len(numbers), bool)
-    common[number[paired]] = True
-
-    out, coder = [], Coder()
-    classes = held["class"].to_numpy()
-    for block in slices(train, train["n"].to_numpy(), 50_000):
-        m = block["n"].to_numpy(np.int64)
-        flat, starts = _flat(block["text"], coder), np.cumsum(m) - m
-        # Texts stand end to end; what reaches over a border is no hit.
-        hits = np.array(list(automaton.iter(numbered(flat))), np.int64).reshape(-1, 2)
-        here, j = hits[:, 0] - length[first[hits[:, 1]]] + 1, hits[:, 1]
-        t = np.searchsorted(starts, hits[:, 0], "right") - 1
-        whole = here >= starts[t]
-        t, j, here = t[whole], j[whole], (here - starts[t])[whole]
-        if not len(t):
-            continue
-        mine = _signatures(flat, starts)
-        found: dict[tuple[int, bytes], set[tuple[int, int]]] = {}
-
-        def judge(t, k, here, place):
-            """Keep what length, places and words in common allow to be near."""
-            most = np.maximum(m[t], n[k]) // ONE_IN
-            ok = (np.abs(m[t] - n[k]) <= most) & (np.abs(here - at[k]) <= most)
-            ok &= (other[k] < 0) | (np.abs((place - here) - (other[k] - at[k])) <= most)
-            t, k, most = t[ok], k[ok], most[ok]
-            ok = (np.bitwise_count(sig[k] & ~mine[t]).sum(1) <= most) & (np.bitwise_count(mine[t] & ~sig[k]).sum(1) <= most)
-            for a, b in zip(t[ok].tolist(), k[ok].tolist()):
-                spans = found.setdefault((a, classes[b]), set())
-                spans.add((int(at[b]), int(at[b] + length[b])))
-                if other[b] >= 0:
-                    spans.add((int(other[b]), int(other[b] + size[b])))
-
-        many = begin[j + 1] - begin[j]
-        for part in _parts(many):
-            which, h = runs(begin[j[part]], many[part])
-            judge(t[part][h], plain[which], here[part][h], np.zeros(len(h), np.int64))
-        hot = np.flatnonzero(common[j])
-        pairs = window_hashes(flat, 2)
-        for part in _parts(m[t[hot]]):
-            i = hot[part]
-            at_word, owner = runs(starts[t[i]], m[t[i]])
-            i = i[owner]
-            for words_, values in ((1, flat), (2, np.append(pairs, pairs[-1:]))):
-                probe = _joint(passage.view(np.uint64)[first[j[i]]], values[at_word], words_)
-                low = np.searchsorted(keys, probe, "left")
-                met = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == probe)
-                many_ = np.searchsorted(keys, probe[met], "right") - low[met]
-                for few in _parts(many_):
-                    which, h = runs(low[met[few]], many_[few])
-                    x = met[few][h]
-                    judge(t[i[x]], paired[which], here[i[x]], at_word[x] - starts[t[i[x]]])
-        ids, texts = block["class"].tolist(), block["text"].tolist()
-        out += [(ids[a], b, texts[a], np.array(sorted(spans), np.int32).tobytes()) for (a, b), spans in found.items()]
-    return pd.DataFrame(out, columns=columns)
+def _near():
+    """What length, places and words in common allow to be near, of a hit and a passage with the same hash."""
+    most = F.expr(f"greatest(m, n) div {ONE_IN}")
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    placed = F.when(F.col("other") < 0, F.col("place") < 0).otherwise((F.col("place") >= 0) & (F.abs(F.expr("(place - here) - (other - at)")) <= most))
+    missing, added = apart("sig0", "own0") + apart("sig1", "own1"), apart("own0", "sig0") + apart("own1", "sig1")
+    return (F.abs(F.expr("m - n")) <= most) & (F.abs(F.expr("here - at")) <= most) & placed & (missing <= most) & (added <= most)
+
+
+def _wanted(known):
+    """Rows of texts whose number a filter of candidates has."""
+
+    def run(batches):
+        passes = known.value
+        for batch in batches:
+            keys = batch.column("short").to_numpy().view(np.uint64)
+            none = np.zeros(len(keys), np.int64)
+            yield batch.take(pa.array(passes(keys, batch.column("n").to_numpy().astype(np.int64), none, none)))
+
+    return run
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -337,7 +273,7 @@ def _verify(batches):
             edits = edit_distance(a, b, limit)
             if edits <= limit:
                 covered, reach = 0, 0
-                for x, y in sorted(s for part in spans for s in np.frombuffer(part, np.int32).reshape(-1, 2).tolist()):
+                for x, y in sorted((s // 8, s // 8 + s % 8) for s in spans):
                     covered += max(0, y - max(x, reach))
                     reach = max(reach, y)
                 rows.append((train, held, edits, covered, len(b)))
@@ -367,28 +303,22 @@ def _common(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
 
 
 def routed_texts(folded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(held classes, their patterns with shard and block, training classes with shard and block)."""
+    """(held classes, their patterns, hits of training texts); a class goes by the number ``short`` until texts are compared.
+
+    Two classes of one number are no harm: both texts are compared then. A pattern's shard says which share of about
+    PASSAGES_PER_SHARD patterns it is of; each is one block, since the join needs no copies of patterns.
+    """
     spark = folded.sparkSession
-    held = cut_to_table(folded.where("split <> 'train'").groupBy("class").agg(F.first("n").alias("n"), F.first("text").alias("text")))
+    held = cut_to_table(folded.where("split <> 'train'").groupBy("class").agg(F.first("n").alias("n"), F.first("text").alias("text")).withColumn("short", F.xxhash64("class")), freed=True)
     none = np.empty(0, np.uint64)
-    plain = held.mapInPandas(_patterns(none, none), _PATTERN)
-    common, total = _common(plain, "passage")
+    patterns = cut_to_table(held.mapInPandas(_patterns(none, none), _PATTERN))
+    common, count = _common(patterns, "key")
     if len(common):
-        patterns = cut(held.mapInPandas(_patterns(common, _common(held.mapInPandas(_word_pairs, "pair long"), "pair")[0]), _PATTERN))
-    else:
-        patterns = plain
-    count = patterns.count() if len(common) else total
-    shards = count // PASSAGES_PER_SHARD + 1
+        patterns = cut_to_table(held.mapInPandas(_patterns(common, _common(held.mapInPandas(_word_pairs, "pair long"), "pair")[0]), _PATTERN))
+        count = patterns.count()
     known = spark.sparkContext.broadcast(passage_filter(patterns, count))
-    routed = cut_to_table(folded.where("split = 'train'").select("class", "n", "text").mapInPandas(_routes(shards, known, common), "shard int, class binary, n int, text string"))
-    blocks = routed.groupBy("shard").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / WORDS_PER_TASK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    train = routed.join(blocks, "shard").select("shard", block.alias("block"), "class", "n", "text")
-    # The routes take keys as unsigned, so the remainder of a negative long is put right.
-    shard = F.pmod(F.pmod("key", F.lit(shards)) + F.when(F.col("key") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
-    copies = blocks.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = patterns.withColumn("shard", shard.cast("int")).join(copies, "shard")
-    return held, placed, train
+    hits = folded.where("split = 'train'").select(F.xxhash64("class").alias("short"), "n", "text").mapInPandas(_hits(known, common), _HIT)
+    return held, patterns.withColumns({"shard": F.pmod("key", F.lit(count // PASSAGES_PER_SHARD + 1)).cast("int"), "block": F.lit(0)}), hits
 
 
 def cross_split_overlaps(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -399,13 +329,20 @@ def cross_split_overlaps(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared once. Returns (members: id, split, source, class) and (pairs: train_class, held_class, edits, covered,
     held_words), ``covered`` being the held-out words inside unchanged passages. Empty inputs give empty results.
     """
-    folded = cut_to_table(utterances.select("id", "split", "source", "text").mapInPandas(_fold_batches, _FOLDED))
+    folded = cut_to_table(utterances.select("id", "split", "source", "text").mapInPandas(_fold_batches, _FOLDED), freed=True)
     members = folded.select("id", "split", "source", "class")
-    held, patterns, train = routed_texts(folded)
-    candidates = train.groupBy("shard", "block").cogroup(patterns.groupBy("shard", "block")).applyInPandas(_scan, _CANDIDATE)
-    merged = candidates.groupBy("train_class", "held_class").agg(F.first("train_text").alias("train_text"), F.collect_set("spans").alias("spans"))
-    pairs = merged.join(held.withColumnRenamed("class", "held_class"), "held_class").mapInPandas(_verify, _MATCHED)
-    return members, cut(pairs)
+    held, patterns, hits = routed_texts(folded)
+    # Unchanged stretches as eight times their first word and their words, of which there are less than eight.
+    stretches = F.concat(F.collect_set(F.expr("at * 8L + length")), F.collect_set(F.expr("if(other < 0, null, other * 8L + size)")))
+    met = hits.join(patterns, (hits["key"] == patterns["key"]) & _near()).groupBy("train", "held").agg(stretches.alias("spans"), F.first("m").alias("m"))
+    met = cut_to_table(met, freed=True)
+    wanted = met.select(F.col("train").alias("key"), F.col("m").alias("n"), F.lit(0).alias("at"))
+    known = folded.sparkSession.sparkContext.broadcast(passage_filter(wanted, met.count()))
+    texts = folded.where("split = 'train'").select(F.xxhash64("class").alias("short"), "class", "n", "text")
+    texts = texts.mapInArrow(_wanted(known), texts.schema).groupBy("short", "class").agg(F.first("text").alias("train_text"))
+    texts = texts.select(F.col("short").alias("train"), F.col("class").alias("train_class"), "train_text")
+    candidates = met.join(texts, "train").join(held.select(F.col("short").alias("held"), F.col("class").alias("held_class"), "text"), "held")
+    return members, cut(candidates.mapInPandas(_verify, _MATCHED))
 
 
 def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,11 +87,25 @@ def cut_by(df: DataFrame, partitions: int, *columns: str, placed: bool = False)
     return out
 
 
-def cut_to_table(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a compressed Parquet table beside the checkpoints: for wide rows of which later stages read some columns."""
+#: Whether Spark deletes the shuffle files of a plan once it has run.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_to_table(df: DataFrame, freed: bool = False) -> DataFrame:
+    """As ``cut``, as a compressed Parquet table beside the checkpoints: for wide rows of which later stages read some columns.
+
+    ``freed`` deletes the shuffle files that the table was made from, which else stay until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREED, "false")
+    if freed:
+        spark.conf.set(_FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if freed:
+            spark.conf.set(_FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
